@@ -27,8 +27,8 @@ SAMPLE_DOCS, SLICE = 400, 400
 DICT_BYTES, WINDOW = 32 * 1024, 2048
 #: Four bytes are a match: syllables count, not only words.
 PARAMETERS = {"strategy": zstd.STRATEGY_LAZY2, "min_match": 4, "window_log": 17, "hash_log": 15, "chain_log": 16, "search_log": 2, "target_length": 8, "write_content_size": False}
-#: Rejected below this many bytes per 100 bytes of the best encoding.
-MARGIN = 0.5
+#: Narrow: the score stays below this, as when three languages or more encode a text alike.
+NARROW = 0.34
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -83,8 +83,7 @@ class Coder:
         # each byte saved is one factor; words settle near ties
         gain = [(sizes[i] - sizes[win]) * 0.5 + (hits[win] - hits.get(i, 0) if i in hits else 0) for i in range(len(sizes)) if i != win]
         score = 1.0 / (1.0 + sum(math.exp(-max(-50.0, min(50.0, g))) for g in gain))
-        margin = min((s for i, s in enumerate(sizes) if i != win), default=2 * best + 10) - sizes[win]
-        return self.langs[win], score, bool(100.0 * margin < MARGIN * best and score < 0.5)
+        return self.langs[win], score, score < NARROW
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, exact, langid, quality
+from lodestone.llm import chat, decontam, exact, langid, near, quality
 from lodestone.llm.common import table
 
 
@@ -22,8 +22,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality.op2_quality,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op5_chat_format": chat.op5_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_dedup": near.op9_near_dedup,
     "op10_language_id": langid.op10_language_id,
 }
-ORACLES: dict[str, str] = {"op5_chat_format": chat.OP5_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_chat_format": chat.OP5_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": near.OP9_SQL}
