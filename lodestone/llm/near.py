@@ -195,7 +195,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         at = lambda name: first.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
         joined = confirmed(docs, more).join(at("a"), "a", "left").join(at("b"), "b", "left")
         second = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        both = first.select("id", "component").join(second.withColumnsRenamed({"id": "component", "component": "top"}), "component", "full")
+        both = first.select("id", "component").join(second.select(F.col("component").alias("top"), F.col("id").alias("component")), "component", "full")
         labels = both.select(F.coalesce("id", "component").alias("id"), F.coalesce("top", "component").alias("component"))
     by_class = reps.select("rep", "sig").join(labels, reps["rep"] == labels["id"], "left").select("sig", F.coalesce("component", "rep").alias("component"))
     by_class = staged(by_class, "classes")
