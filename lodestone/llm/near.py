@@ -10,6 +10,8 @@ Documents are sets of 5-word shingles (64-bit hashes); two are linked where 100
    confirmed on full shingle sets.
 5. Rest round: buckets whose members are still in several components compare members of different components, in blocks of
    BLOCK members a side, so that no link between components is lost and no task holds more than 2 * BLOCK sketches of a bucket. Members of one component need no further pair.
+   Here a second bitmap, the parities of the full set, is an exact bound: each shingle that only one of two sets has flips one bit, so a population count above
+   what a link may differ by rules the pair out. What is left for confirmation is links and near misses, not the pairs of a crowd.
 6. Components by contraction in rounds, each of which is a few shuffles of what edges are left.
 
 Defined cases: null or empty text has an empty set, links with nothing and is its own component; a null doc_id is dropped from linking and is its own (null) component;
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import body, by_ids, small_batches, staged, table
 from lodestone.llm.tokens import WordHashes, mixed, shingles, words_of
 
-BANDS, ROWS, BITS, BLOCK = 26, 6, 512, 256
+BANDS, ROWS, BITS, BLOCK = 26, 6, 512, 1024
+#: Bits of the parities of a full set.
+FULL_BITS = 4096
 K = BANDS * ROWS
 #: Similarity 0.70 in XOR population count: 2K * 0.30 differing samples, folded into BITS parities.
 MOST_BITS = int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * K * 0.30))) + 1
@@ -64,8 +68,12 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def full_parities(found: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((found % np.uint64(FULL_BITS)).astype(np.int64), minlength=FULL_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, bands, odd; the last three null for empty sets."""
+    """doc_id, n, sig, bands, odd, parity; the last four null for empty sets."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,14 +84,14 @@ def features(docs: DataFrame) -> DataFrame:
                 found = shingles(hashes.of(words_of(text)))
                 if len(found):
                     low = minhash(found)
-                    rows.append((len(found), xxhash.xxh128_digest(found.tobytes()), bands(low), odd_sketch(low)))
+                    rows.append((len(found), xxhash.xxh128_digest(found.tobytes()), bands(low), odd_sketch(low), full_parities(found)))
                 else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n", "sig", "bands", "odd"])
+                    rows.append((0, None, None, None, None))
+            out = pd.DataFrame(rows, columns=["n", "sig", "bands", "odd", "parity"])
             out.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInPandas(run, "doc_id long, n long, sig binary, bands array<long>, odd array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInPandas(run, "doc_id long, n long, sig binary, bands array<long>, odd array<long>, parity binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -152,6 +160,7 @@ def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = np.array([m["rep"] for m in members])
             at, n, block = (np.array([m[c] for m in members]) for c in ("at", "n", "block"))
             odd = np.array([m["odd"] for m in members], dtype=np.int64).view(np.uint8)
+            full = np.frombuffer(b"".join(m["parity"] for m in members), dtype=np.uint8).reshape(len(ids), -1)
             rows = np.flatnonzero(block == bi)
             cols = rows if bi == bj else np.flatnonzero(block == bj)
             for r in rows:
@@ -159,6 +168,7 @@ def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 c = c[(at[c] != at[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * SHARE)]
                 if len(c):
                     c = c[ones[odd[c] ^ odd[r]].sum(axis=1) <= MOST_BITS]
+                    c = c[ones[full[c] ^ full[r]].sum(axis=1) * (100 + SHARE) <= (n[c] + n[r]) * (100 - SHARE)]
                     out += [(min(ids[r], ids[x]), max(ids[r], ids[x])) for x in c]
         yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
@@ -169,8 +179,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     found = staged(features(docs), "features")
     full = found.where("n > 0 and doc_id is not null")
     classes = full.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    members = full.select(F.col("doc_id").alias("rep"), "sig", "n", "bands", "odd").join(classes, ["rep", "sig"])
-    reps = staged(members.groupBy("rep").agg(F.min(F.struct("sig", "n", "bands", "odd")).alias("m")).select("rep", "m.*"), "reps")
+    members = full.select(F.col("doc_id").alias("rep"), "sig", "n", "bands", "odd", "parity").join(classes, ["rep", "sig"])
+    reps = staged(members.groupBy("rep").agg(F.min(F.struct("sig", "n", "bands", "odd", "parity")).alias("m")).select("rep", "m.*"), "reps")
 
     banded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -183,11 +193,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     crowd = held.where("size > 2").select("key", "rep", "size").join(first.withColumnsRenamed({"id": "rep", "component": "at"}), "rep", "left").withColumn("at", F.coalesce("at", "rep"))
     mixed_keys = crowd.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("key")
-    rest = crowd.join(mixed_keys, "key").join(reps.select("rep", "n", "odd"), "rep")
+    rest = crowd.join(mixed_keys, "key").join(reps.select("rep", "n", "odd", "parity"), "rep")
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     rest = rest.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    blocks = rest.groupBy("key", "bi", "bj").agg(F.collect_list(F.struct("rep", "at", "n", "odd", "block")).alias("members"))
+    blocks = rest.groupBy("key", "bi", "bj").agg(F.collect_list(F.struct("rep", "at", "n", "odd", "parity", "block")).alias("members"))
     more = staged(blocks.where(F.size("members") > 1).select("bi", "bj", "members").mapInPandas(_blocks, "a long, b long").distinct(), "rest")
     more = staged(more.join(stars, ["a", "b"], "left_anti"), "rest")
     labels = first
