@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontam, exact, langid, near, quality
+from lodestone.llm import chat, decontam, exact, html, langid, lm, mixing, near, pii, quality
 from lodestone.llm.common import table
 
 
@@ -21,10 +21,14 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": html.op1_html_extract,
     "op2_quality": quality.op2_quality,
+    "op3_pii_surrogates": pii.op3_pii_surrogates,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_score": lm.op8_lm_score,
     "op9_near_dedup": near.op9_near_dedup,
     "op10_language_id": langid.op10_language_id,
 }
