@@ -64,10 +64,12 @@ class Classifier:
         """Of all domains but the first, on the grid; the first has the rest."""
         known = F.array(*map(F.lit, self.words)) if self.words else F.array().cast("array<string>")
         present = F.transform(F.array_intersect(tokens, known), lambda w: F.array_position(known, w).cast("int"))
-        logs = []
-        for start, gain in zip(self.start, self.gain, strict=True):
+
+        def log_of(start: float, gain: np.ndarray) -> Column:
             gains = F.array(*(F.lit(float(g)) for g in gain))
-            logs.append(F.aggregate(present, F.lit(float(start)), lambda a, i, gains=gains: a + F.element_at(gains, i)) if len(gain) else F.lit(float(start)))
+            return F.aggregate(present, F.lit(float(start)), lambda a, i: a + F.element_at(gains, i)) if len(gain) else F.lit(float(start))
+
+        logs = [log_of(start, gain) for start, gain in zip(self.start, self.gain, strict=True)]
         top = F.greatest(*logs)
         mass = [F.exp(x - top) for x in logs]
         return [F.floor(m / reduce(lambda a, b: a + b, mass) * GRID + F.lit(1e-9)) / F.lit(float(GRID)) for m in mass[1:]]
