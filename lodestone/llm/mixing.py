@@ -2,10 +2,10 @@
 
 1. A classifier learned from the labelled table (Bernoulli naive Bayes over the VOCABULARY most telling words and a few binned
    text statistics) gives each document a posterior over domains, on a grid of 1/GRID.
-2. Document rates r >= 0 minimise  1/2 sum_k (s_k - T_k)^2 / m_k + RIDGE/2 sum_i w_i (r_i - 1)^2,  s_k = sum_i w_i r_i q_ik,
-   where w is a document's share of all tokens, m_k a domain's natural share and T_k its target, by projected gradient.
-   All documents start at rate 1, so a step depends on the posterior only: documents of one grid cell share their rate. Cells are at most as
-   many as the grid has, each iteration sums over them in a distributed aggregate, and the rate of a document is the fold of the steps.
+2. Document rates r >= 0 minimise  1/2 (s - T)' M (s - T) + RIDGE/2 sum_i w_i (r_i - 1)^2,  s_k = sum_i w_i r_i q_ik,
+   where w is a document's share of all tokens, T the targets and M the inverse of the domains' second moments, by projected gradient with lazy projection: gradient steps add up
+   in the span of the posteriors, as a point v of one number a domain, and rates are the projection max(0, 1 - q v). Each iteration is a distributed sum over
+   grid cells of equal posteriors, of which there are at most as many as the grid has. At its fixed point the conditions of the constrained minimum hold.
 
 Defined cases: null text is empty, has no tokens and keeps the rate its posterior gives; a label row with a null is ignored; several labels of a document count each; a domain
 without labelled documents gets posterior 0 and its target is shared out among the others; without any label all rates are 1; repeated rows count each.
@@ -25,7 +25,7 @@ DOMAINS = ("plain", "low", "toxic")
 TARGETS = {"plain": 0.94, "low": 0.05, "toxic": 0.01}
 #: The classifier is fitted on about so many labelled documents at most, chosen by a hash of their id.
 LABELLED, VOCABULARY = 20_000, 128
-GRID, RIDGE, STEPS, CLOSE = 100, 1e-3, 80, 1e-4
+GRID, RIDGE, STEPS, CLOSE = 100, 1e-4, 60, 1e-3
 
 
 def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -41,9 +41,10 @@ def _share(part: Column, whole: Column, name: str, steps: int) -> Column:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, tokens: the distinct words of the whole text and its binned statistics."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).select("doc_id", "text", _words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text", F.size("words").alias("n_tokens"), F.array_distinct("words").alias("seen"))
+    """row (all of the input), doc_id, n_tokens, tokens: the distinct words of the whole text and its binned statistics."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    rows = rows.select("row", "doc_id", "text", _words(F.col("text")).alias("words"))
+    rows = rows.select("row", "doc_id", "text", F.size("words").alias("n_tokens"), F.array_distinct("words").alias("seen"))
     length = F.length("text")
     marks = length - F.length(F.translate("text", "*!|%$&#{}", ""))
     upper = length - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
@@ -51,7 +52,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
         _share(marks, F.col("n_tokens"), "marks", 6), _share(upper, length, "upper", 8), _share(F.size("seen"), F.col("n_tokens"), "distinct", 8),
         F.concat(F.lit("#length"), F.least(F.lit(9), F.floor(F.log10(F.col("n_tokens") + F.lit(1.0)) * 2)).cast("string")),
     )
-    return rows.select("doc_id", "n_tokens", F.concat("seen", extra).alias("tokens"))
+    return rows.select("row", "doc_id", "n_tokens", F.concat("seen", extra).alias("tokens"))
 
 
 class Classifier:
@@ -99,76 +100,67 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     return Classifier(words, prior + np.log(1 - share).sum(axis=1), np.log(share) - np.log(1 - share))
 
 
-def rate_of(qs: list[Column], steps: list[list[float]], eta: float) -> Column:
-    """The rate after the given gradient steps, of a document with posteriors qs."""
-    if not steps:
-        return F.lit(1.0)
-    return F.aggregate(
-        F.array(*(F.array(*map(F.lit, g)) for g in steps)), F.lit(1.0),
-        lambda r, g: F.greatest(F.lit(0.0), r - F.lit(eta) * (sum(q * g[k] for k, q in enumerate(qs)) + F.lit(RIDGE) * (r - 1))),
-    )
+def rate_of(v: list[float]) -> Column:
+    """The rate at the point v, of a row with posteriors q_<domain>."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"q_{d}") * F.lit(float(x)) for d, x in zip(DOMAINS, v, strict=True)), F.lit(0.0)))
 
 
-def fitted_rates(cells: DataFrame, targets: dict[str, float]) -> tuple[list[list[float]], float]:
-    """The gradient steps and their length. cells: q_<domain> and w (tokens)."""
+def fitted(cells: DataFrame, targets: dict[str, float]) -> list[float]:
+    """The point v that fits the targets. cells: q_<domain> and w (tokens)."""
     qs = [F.col(f"q_{d}") for d in DOMAINS]
     weigh = lambda c, name: F.coalesce(F.sum(F.col("w") * c), F.lit(0.0)).alias(name)
     moments = cells.agg(weigh(F.lit(1.0), "w"), *(weigh(q, f"m{k}") for k, q in enumerate(qs)), *(weigh(a * b, f"c{i}{j}") for i, a in enumerate(qs) for j, b in enumerate(qs))).first()
-    total = moments["w"]
+    total, v = moments["w"], np.zeros(len(qs))
     if not total:
-        return [], 0.0
+        return v.tolist()
     m = np.array([moments[f"m{k}"] for k in range(len(qs))]) / total
-    there = m > 0
-    target = np.where(there, [targets[d] for d in DOMAINS], 0.0)
+    target = np.where(m > 0, [targets[d] for d in DOMAINS], 0.0)
     target = target / target.sum() if target.sum() else m
-    scale = np.where(there, 1 / np.maximum(m, 1e-12), 0.0)
-    c = np.array([[moments[f"c{i}{j}"] for j in range(len(qs))] for i in range(len(qs))]) / total
-    eta = 1.0 / (np.linalg.eigvalsh(np.sqrt(scale)[:, None] * c * np.sqrt(scale)).max() + RIDGE)
-    steps: list[list[float]] = []
+    metric = np.linalg.pinv(np.array([[moments[f"c{i}{j}"] for j in range(len(qs))] for i in range(len(qs))]) / total, rcond=1e-9, hermitian=True)
+    eta = 1.0 / (1.0 + RIDGE)
     for _ in range(STEPS):
-        r = rate_of(qs, steps, eta)
-        got = cells.select("*", r.alias("r")).agg(*(weigh(F.col("r") * q, f"s{k}") for k, q in enumerate(qs))).first()
+        got = cells.select("*", rate_of(v.tolist()).alias("r")).agg(*(weigh(F.col("r") * q, f"s{k}") for k, q in enumerate(qs))).first()
         gap = np.array([got[f"s{k}"] for k in range(len(qs))]) / total - target
-        if np.abs(gap / np.maximum(target, 1e-9))[there].max() < CLOSE:
+        if np.abs(gap[target > 0] / target[target > 0]).max() < CLOSE:
             break
-        steps.append([float(g) for g in gap * scale])
-    return steps, float(eta)
+        v = v * (1 - eta * RIDGE) + eta * metric @ gap
+    return v.tolist()
 
 
 def posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """doc_id, n_tokens, q_<domain>."""
+    """row (the whole input row), doc_id, n_tokens, q_<domain>."""
     rows = tokenised(docs)
     others = model.posteriors(F.col("tokens")) if model else [F.lit(0.0) for _ in DOMAINS[1:]]
-    rows = rows.select("doc_id", "n_tokens", *(q.alias(f"q_{d}") for q, d in zip(others, DOMAINS[1:], strict=True)))
+    rows = rows.select("row", "doc_id", "n_tokens", *(q.alias(f"q_{d}") for q, d in zip(others, DOMAINS[1:], strict=True)))
     first = F.round(F.lit(1.0) - sum(F.col(f"q_{d}") for d in DOMAINS[1:]), 6)
-    return rows.select("doc_id", "n_tokens", first.alias(f"q_{DOMAINS[0]}"), *(f"q_{d}" for d in DOMAINS[1:]))
+    return rows.select("row", "doc_id", "n_tokens", first.alias(f"q_{DOMAINS[0]}"), *(f"q_{d}" for d in DOMAINS[1:]))
+
+
+def _copies() -> Column:
+    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor(F.col("rate") + draw)
+
+
+def _point(found: DataFrame, model: Classifier | None, targets: dict[str, float] | None) -> list[float]:
+    if not model:
+        return [0.0] * len(DOMAINS)
+    cells = found.groupBy(*(f"q_{d}" for d in DOMAINS)).agg(F.sum("n_tokens").cast("double").alias("w"))
+    return fitted(staged(cells, "cells"), targets or TARGETS)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, q_<domain>, rate, copies (the rate, rounded up or down by a hash of the id so that it holds on average)."""
     model = fit(docs, labels)
-    found = staged(posteriors(docs, model), "posteriors")
-    q_names = [f"q_{d}" for d in DOMAINS]
-    cells = staged(found.groupBy(*q_names).agg(F.sum("n_tokens").cast("double").alias("w")), "cells")
-    steps, eta = fitted_rates(cells, targets or TARGETS) if model else ([], 0.0)
-    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = found.withColumn("rate", rate_of([F.col(q) for q in q_names], steps, eta))
-    return rated.withColumn("copies", F.floor(F.col("rate") + draw))
+    found = staged(posteriors(docs, model).drop("row"), "posteriors")
+    return found.withColumn("rate", rate_of(_point(found, model, targets))).withColumn("copies", _copies())
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs, all rows and columns, and mix_rate and mix_copies. The rate is computed beside the row: no join."""
+    """docs, all rows and columns, and mix_rate and mix_copies, computed beside the row: texts are not shuffled."""
     model = fit(docs, labels)
-    found = staged(posteriors(docs, model), "posteriors")
-    q_names = [f"q_{d}" for d in DOMAINS]
-    cells = staged(found.groupBy(*q_names).agg(F.sum("n_tokens").cast("double").alias("w")), "cells")
-    steps, eta = fitted_rates(cells, targets or TARGETS) if model else ([], 0.0)
-    rates = staged(cells.select(*q_names, rate_of([F.col(q) for q in q_names], steps, eta).alias("rate")), "rates")
-    by_doc = found.join(F.broadcast(rates), q_names).groupBy("doc_id").agg(F.max("rate").alias("mix_rate"))  # rates: a row a grid cell
-    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    by_doc = staged(by_doc.withColumn("mix_copies", F.floor(F.col("mix_rate") + draw)), "by_doc")
-    key = by_doc.withColumnRenamed("doc_id", "mix_doc_id")
-    return docs.join(key, docs["doc_id"].cast("long").eqNullSafe(key["mix_doc_id"]), "left").drop("mix_doc_id")
+    found = posteriors(docs, model)
+    v = _point(found, model, targets)
+    return found.withColumn("rate", rate_of(v)).select("row.*", F.col("rate").alias("mix_rate"), _copies().alias("mix_copies"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
