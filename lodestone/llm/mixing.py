@@ -61,19 +61,20 @@ class Classifier:
     def __init__(self, words: list[str], start: np.ndarray, gain: np.ndarray) -> None:
         self.words, self.start, self.gain = words, start, gain
 
-    def posteriors(self, tokens: Column) -> list[Column]:
-        """Of all domains but the first, on the grid; the first has the rest."""
+    def posteriors(self, rows: DataFrame) -> DataFrame:
+        """rows (with tokens) and q_<domain> of all domains but the first, on the grid; the first has the rest. Step by step, so that nothing is computed twice."""
         known = F.array(*map(F.lit, self.words)) if self.words else F.array().cast("array<string>")
-        present = F.transform(F.array_intersect(tokens, known), lambda w: F.array_position(known, w).cast("int"))
+        present = F.transform(F.array_intersect("tokens", known), lambda w: F.array_position(known, w).cast("int"))
 
         def log_of(start: float, gain: np.ndarray) -> Column:
             gains = F.array(*(F.lit(float(g)) for g in gain))
-            return F.aggregate(present, F.lit(float(start)), lambda a, i: a + F.element_at(gains, i)) if len(gain) else F.lit(float(start))
+            return F.aggregate("present", F.lit(float(start)), lambda a, i: a + F.element_at(gains, i)) if len(gain) else F.lit(float(start))
 
-        logs = [log_of(start, gain) for start, gain in zip(self.start, self.gain, strict=True)]
-        top = F.greatest(*logs)
-        mass = [F.exp(x - top) for x in logs]
-        return [F.floor(m / reduce(lambda a, b: a + b, mass) * GRID + F.lit(1e-9)) / F.lit(float(GRID)) for m in mass[1:]]
+        logs = [f"log_{d}" for d in DOMAINS]
+        rows = rows.withColumn("present", present).drop("tokens").withColumns({c: log_of(*x) for c, x in zip(logs, zip(self.start, self.gain, strict=True), strict=True)})
+        rows = rows.withColumn("top", F.greatest(*logs)).withColumns({f"mass_{d}": F.exp(F.col(c) - F.col("top")) for c, d in zip(logs, DOMAINS, strict=True)})
+        rows = rows.withColumn("mass", reduce(lambda a, b: a + b, (F.col(f"mass_{d}") for d in DOMAINS)))
+        return rows.withColumns({f"q_{d}": F.floor(F.col(f"mass_{d}") / F.col("mass") * GRID + F.lit(1e-9)) / F.lit(float(GRID)) for d in DOMAINS[1:]})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
@@ -130,8 +131,7 @@ def fitted(cells: DataFrame, targets: dict[str, float]) -> list[float]:
 def posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """row (the whole input row), doc_id, n_tokens, q_<domain>."""
     rows = tokenised(docs)
-    others = model.posteriors(F.col("tokens")) if model else [F.lit(0.0) for _ in DOMAINS[1:]]
-    rows = rows.select("row", "doc_id", "n_tokens", *(q.alias(f"q_{d}") for q, d in zip(others, DOMAINS[1:], strict=True)))
+    rows = model.posteriors(rows) if model else rows.withColumns({f"q_{d}": F.lit(0.0) for d in DOMAINS[1:]})
     first = F.round(F.lit(1.0) - sum(F.col(f"q_{d}") for d in DOMAINS[1:]), 6)
     return rows.select("row", "doc_id", "n_tokens", first.alias(f"q_{DOMAINS[0]}"), *(f"q_{d}" for d in DOMAINS[1:]))
 
