@@ -3,7 +3,7 @@
 1. A classifier learned from the labelled table (Bernoulli naive Bayes over the VOCABULARY most telling words and a few binned
    text statistics) gives each document a posterior over domains, on a grid of 1/GRID.
 2. Document rates r >= 0 minimise  1/2 (s - T)' M (s - T) + RIDGE/2 sum_i w_i (r_i - 1)^2,  s_k = sum_i w_i r_i q_ik,
-   where w is a document's share of all tokens, T the targets and M the inverse of the domains' second moments, by projected gradient with lazy projection: gradient steps add up
+   where w is a document's share of all tokens, T the targets and M the inverse of the second moments of the rows that are free to move, by projected gradient with lazy projection: gradient steps add up
    in the span of the posteriors, as a point v of one number a domain, and rates are the projection max(0, 1 - q v). Each iteration is a distributed sum over
    grid cells of equal posteriors, of which there are at most as many as the grid has. At its fixed point the conditions of the constrained minimum hold.
 
@@ -25,7 +25,7 @@ DOMAINS = ("plain", "low", "toxic")
 TARGETS = {"plain": 0.94, "low": 0.05, "toxic": 0.01}
 #: The classifier is fitted on about so many labelled documents at most, chosen by a hash of their id.
 LABELLED, VOCABULARY = 20_000, 128
-GRID, RIDGE, STEPS, CLOSE = 100, 1e-4, 60, 1e-3
+GRID, RIDGE, STEPS, CLOSE = 100, 1e-4, 40, 1e-3
 
 
 def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -110,21 +110,31 @@ def fitted(cells: DataFrame, targets: dict[str, float]) -> list[float]:
     """The point v that fits the targets. cells: q_<domain> and w (tokens)."""
     qs = [F.col(f"q_{d}") for d in DOMAINS]
     weigh = lambda c, name: F.coalesce(F.sum(F.col("w") * c), F.lit(0.0)).alias(name)
-    moments = cells.agg(weigh(F.lit(1.0), "w"), *(weigh(q, f"m{k}") for k, q in enumerate(qs)), *(weigh(a * b, f"c{i}{j}") for i, a in enumerate(qs) for j, b in enumerate(qs))).first()
+    moments = cells.agg(weigh(F.lit(1.0), "w"), *(weigh(q, f"m{k}") for k, q in enumerate(qs))).first()
     total, v = moments["w"], np.zeros(len(qs))
     if not total:
         return v.tolist()
     m = np.array([moments[f"m{k}"] for k in range(len(qs))]) / total
     target = np.where(m > 0, [targets[d] for d in DOMAINS], 0.0)
     target = target / target.sum() if target.sum() else m
-    metric = np.linalg.pinv(np.array([[moments[f"c{i}{j}"] for j in range(len(qs))] for i in range(len(qs))]) / total, rcond=1e-9, hermitian=True)
-    eta = 1.0 / (1.0 + RIDGE)
+    free = F.col("w") * (F.col("r") > 0).cast("double")
+    pairs = [(i, j) for i in range(len(qs)) for j in range(i, len(qs))]
+    best, origin = np.inf, v
     for _ in range(STEPS):
-        got = cells.select("*", rate_of(v.tolist()).alias("r")).agg(*(weigh(F.col("r") * q, f"s{k}") for k, q in enumerate(qs))).first()
+        rated = cells.select("*", rate_of(v.tolist()).alias("r"))
+        got = rated.agg(*(weigh(F.col("r") * q, f"s{k}") for k, q in enumerate(qs)), *(F.sum(free * qs[i] * qs[j]).alias(f"f{i}{j}") for i, j in pairs)).first()
         gap = np.array([got[f"s{k}"] for k in range(len(qs))]) / total - target
-        if np.abs(gap[target > 0] / target[target > 0]).max() < CLOSE:
+        size = np.abs(gap[target > 0] / target[target > 0]).max()
+        if size < CLOSE:
             break
-        v = v * (1 - eta * RIDGE) + eta * metric @ gap
+        if size > best:  # too far: halfway back
+            v = (v + origin) / 2
+            continue
+        best, origin = size, v
+        second = np.zeros((len(qs), len(qs)))
+        for i, j in pairs:
+            second[i, j] = second[j, i] = got[f"f{i}{j}"] / total
+        v = v + np.linalg.pinv(second + RIDGE * np.diag(m), rcond=1e-12, hermitian=True) @ gap - RIDGE * v
     return v.tolist()
 
 
