@@ -36,9 +36,16 @@ END = WordHashes()[b"\n"] >> 1
 OTHER, END_ID, FIRST, SHIFT = 0, 1, (1 << 20) - 1, 20
 
 
-def word_keys(hashes: WordHashes, words: list[bytes]) -> np.ndarray:
-    """63-bit keys of the tokens of a text, the end included."""
-    return np.append(hashes.of(words) >> np.uint64(1), np.uint64(END)).view(np.int64)
+def word_keys(hashes: WordHashes, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit keys of the tokens of all texts, each text's end included, and how many each text has."""
+    words: list[bytes] = []
+    sizes = []
+    for text in texts:
+        own = words_of(text)
+        words += own
+        words.append(b"\n")
+        sizes.append(len(own) + 1)
+    return (hashes.of(words) >> np.uint64(1)).view(np.int64), np.array(sizes, dtype=np.int64)
 
 
 class Counter:
@@ -49,11 +56,10 @@ class Counter:
         self.tuning: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, keys: np.ndarray, tuning: bool) -> None:
+    def add(self, keys: np.ndarray, tuning: np.ndarray) -> None:
         self.all.append(keys)
         self.n += len(keys)
-        if tuning:
-            self.tuning.append(keys)
+        self.tuning.append(keys[tuning])
 
     def take(self) -> pd.DataFrame:
         none = np.empty(0, dtype=np.int64)
@@ -71,10 +77,10 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, found = keys_of(), Counter()
         for b in batches:
-            for text, tuning in zip(b["text"], b["tuning"], strict=True):
-                found.add(keys(text), tuning)
-                if found.n > FLUSH:
-                    yield found.take()
+            got, sizes = keys(b["text"])
+            found.add(got, np.repeat(b["tuning"].to_numpy(bool), sizes))
+            if found.n > FLUSH:
+                yield found.take()
         yield found.take()
 
     out = rows.mapInPandas(run, "key long, c long, h long")
@@ -83,7 +89,7 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
 
 def _unigram_keys():
     hashes = WordHashes()
-    return lambda text: word_keys(hashes, words_of(text))
+    return lambda texts: word_keys(hashes, texts)
 
 
 class Ids:
@@ -101,14 +107,23 @@ class Ids:
         return np.where(keys == END, END_ID, np.where(self.keys[at] == keys, self.ids[at], OTHER))
 
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    return (np.append(FIRST, ids[:-1]) << SHIFT) | ids
+def pair_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """prev << SHIFT | x for each token; FIRST stands before each text."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.cumsum(sizes) - sizes] = FIRST
+    return (before << SHIFT) | ids
 
 
 def _pair_keys(vocabulary: np.ndarray):
     def make():
         hashes, ids = WordHashes(), Ids(vocabulary)
-        return lambda text: pair_keys(ids.of(word_keys(hashes, words_of(text))))
+
+        def keys(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            words, sizes = word_keys(hashes, texts)
+            return pair_keys(ids.of(words), sizes), sizes
+
+        return keys
 
     return make
 
@@ -244,26 +259,33 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         vocabulary, head_keys, head_base, pair_head, pair_gain, log_p1, log_rest = shared.value
         hashes, ids = WordHashes(), Ids(vocabulary)
         for b in batches:
-            out, sums = [], []
-            for row, doc, text in zip(b["row"], b["doc_id"].astype("Int64"), b["text"], strict=True):
-                keys = word_keys(hashes, words_of(text))
-                x = ids.of(keys)
-                at, known = look(keys, head_keys)
-                base = head_base[at[known]].sum()
-                others = x == OTHER
-                # a head word of the other class has its own weight here, any other below
-                total = log_p1[x].sum() + log_rest[place(np.append(FIRST, x[:-1]))].sum() - others.sum() * log_other + head_base[at[known & others]].sum()
-                pair = pair_keys(x)
-                pat, seen = look(pair, pair_head)
-                total += pair_gain[pat[seen]].astype(float).sum()
-                sums.append((row, doc, len(keys), int(known.sum()), base, total))
-                # a type sent for its weight: words ask for base and score, pairs for score
-                k, n = np.unique(np.concatenate([keys[~known], -1 - pair[~seen]]), return_counts=True)
-                out.append((np.full(len(k), row), k, n))
-            lost = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in zip(*out, strict=True)] or [np.empty(0, dtype=np.int64)] * 3
-            tail = pd.DataFrame({"row": lost[0], "key": lost[1], "n": pd.array(lost[2], dtype="Int64")})
-            head = pd.DataFrame(sums, columns=["row", "doc_id", "tokens", "known", "base", "total"])
-            head["key"] = -(1 << 62) - head["row"].abs() % (1 << 61)
+            if not len(b):
+                continue
+            keys, sizes = word_keys(hashes, b["text"])
+            starts, doc, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(b)), sizes), b["row"].to_numpy()
+            types, type_of = np.unique(keys, return_inverse=True)
+            type_ids = ids.of(types)
+            at, known = look(types, head_keys)
+            base = np.where(known, head_base[at], 0.0) if len(head_base) else np.zeros(len(types))
+            # a word of the other class has its own weight, here if it is a head word, else below
+            own = log_p1[type_ids] + np.where(type_ids == OTHER, base - log_other, 0.0)
+            x = type_ids[type_of]
+            pairs = pair_keys(x, sizes)
+            pair_types, pair_of = np.unique(pairs, return_inverse=True)
+            pat, seen = look(pair_types, pair_head)
+            gains = np.where(seen, pair_gain[pat], 0.0) if len(pair_gain) else np.zeros(len(pair_types))
+            total = np.add.reduceat(own[type_of] + log_rest[place(pairs >> SHIFT)] + gains[pair_of], starts)
+            head = pd.DataFrame({"row": row, "doc_id": b["doc_id"], "tokens": sizes, "known": np.add.reduceat(known[type_of].astype(np.int64), starts), "base": np.add.reduceat(base[type_of], starts), "total": total})
+            head["key"] = -(1 << 62) - row % (1 << 61)
+            # types sent for their weights, once a text
+            rows, sent, counts = [], [], []
+            for found, of, listed in ((known, type_of, types), (seen, pair_of, -1 - pair_types)):
+                lost = ~found[of]
+                place_, n = np.unique(doc[lost] * len(listed) + of[lost], return_counts=True)
+                rows.append(row[place_ // len(listed)])
+                sent.append(listed[place_ % len(listed)])
+                counts.append(n)
+            tail = pd.DataFrame({"row": np.concatenate(rows), "key": np.concatenate(sent), "n": np.concatenate(counts)})
             yield pd.concat([head, tail]).astype({"doc_id": "Int64", "tokens": "Int64", "known": "Int64", "n": "Int64"})[["row", "key", "n", "doc_id", "tokens", "known", "base", "total"]]
 
     # rows are told apart by their place in the scan, which a recomputed task gives again
