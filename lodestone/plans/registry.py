@@ -129,11 +129,11 @@ def longest_prefix_module(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT p_name, p_brand, p_type, count(*) AS n, min(p_partkey) AS id FROM part GROUP BY ALL)
-SELECT p_partkey, CASE WHEN n = 1 THEN id END AS resolved FROM part JOIN k USING (p_name, p_brand, p_type)""")
+SELECT p_partkey, CASE WHEN n = 1 THEN id ELSE -1 END AS resolved FROM part JOIN k USING (p_name, p_brand, p_type)""")
 def unique_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference by name resolves only where the name is unique."""
     part = _t(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\u0001", "p_name", "p_brand", "p_type").alias("full"))
-    return incremental.resolve_unique(part, "full", part, "full", "p_partkey", "resolved").select("p_partkey", "resolved")
+    return incremental.resolve_unique(part, "full", part, "full", "p_partkey", "resolved").select("p_partkey", F.coalesce("resolved", F.lit(-1)).alias("resolved"))
 
 
 @query("""SELECT n_name, s_suppkey AS best_supplier, s_name AS best_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
