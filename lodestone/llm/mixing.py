@@ -33,7 +33,7 @@ def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _share(part: Column, whole: Column, name: str, steps: int) -> Column:
@@ -46,8 +46,8 @@ def tokenised(docs: DataFrame) -> DataFrame:
     rows = rows.select("row", "doc_id", "text", _words(F.col("text")).alias("words"))
     rows = rows.select("row", "doc_id", "text", F.size("words").alias("n_tokens"), F.array_distinct("words").alias("seen"))
     length = F.length("text")
-    marks = length - F.length(F.translate("text", "*!|%$&#{}", ""))
-    upper = length - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    marks = length - F.length(F.regexp_replace("text", r"[*!|%$&#{}]+", ""))
+    upper = length - F.length(F.regexp_replace("text", "[A-Z]+", ""))
     extra = F.array(
         _share(marks, F.col("n_tokens"), "marks", 6), _share(upper, length, "upper", 8), _share(F.size("seen"), F.col("n_tokens"), "distinct", 8),
         F.concat(F.lit("#length"), F.least(F.lit(9), F.floor(F.log10(F.col("n_tokens") + F.lit(1.0)) * 2)).cast("string")),
