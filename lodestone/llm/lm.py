@@ -154,8 +154,8 @@ def expectation_maximisation(ratio: np.ndarray, weight: np.ndarray, turns: int =
         return 0.0
     w = 0.5
     for _ in range(turns):
-        w = float((weight * (w * ratio / (w * ratio + 1 - w))).sum() / weight.sum())
-    return min(max(w, 0.0), 0.9999)
+        w = min(float((weight * (w * ratio / (w * ratio + 1 - w))).sum() / weight.sum()), 0.9999)
+    return w
 
 
 class Model:
