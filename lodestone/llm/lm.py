@@ -29,7 +29,7 @@ from lodestone.llm.tokens import WordHashes, words_of
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 NGRAM_WORDS, HEAD_WORDS, HEAD_PAIRS, MIN_COUNT = 1 << 15, 1 << 18, 1 << 20, 2
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: The end of a text as a token: no word, as words hold no line feed.
 END = WordHashes()[b"\n"] >> 1
 #: Ids: 0 the other words, 1 the end, then the frequent words; FIRST is the context before a text.

@@ -12,7 +12,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, bound: int = 700_000) -> None:
+    def __init__(self, bound: int = 300_000) -> None:
         super().__init__()
         self.bound = bound
 
