@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths
 from lodestone.operators import graph, incremental, overlay, text
+from lodestone.operators.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,12 +47,12 @@ def _part_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 4).alias("dst"))
 
 
-@query("""WITH RECURSIVE a AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 10 = 3
+@query("""WITH RECURSIVE a AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part
 UNION ALL SELECT origin, node // 4, depth + 1 FROM a WHERE node > 0 AND depth < 50)
 SELECT origin, node, min(depth) AS depth FROM a GROUP BY ALL""")
 def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors with their least depth, to depth 50."""
-    seeds = _t(spark, sf_dir, "part").where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
+    seeds = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
     return graph.reach(seeds, _part_parents(spark, sf_dir), 50)
 
 
@@ -64,31 +65,32 @@ def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(_t(spark, sf_dir, "part"), found["node"] == F.col("p_partkey")).select("node", "p_name")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_id < 200),
-r AS (SELECT CAST(0 AS BIGINT) AS node UNION SELECT dst FROM r JOIN e ON src = node WHERE dst IS NOT NULL)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_returnflag = 'R'
+UNION SELECT DISTINCT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem WHERE l_returnflag = 'A'),
+r AS (SELECT CAST(0 AS BIGINT) AS node UNION SELECT dst FROM r JOIN e ON src = node)
 SELECT node FROM r""")
 def reachability_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachability over a cyclic graph: what a file includes, transitively."""
-    first = _t(spark, sf_dir, "events").where("event_id < 200").select("event_id", "ts", "user_id")
-    # the next event of each: a window over the first 200 rows, a fixed number
-    numbered = first.withColumn("dst", F.expr("lead(user_id) over (order by ts, event_id)"))
-    edges = numbered.where("dst is not null").select(F.col("user_id").alias("src"), "dst").distinct()
-    return graph.reach(spark.range(1).select(F.col("id").alias("origin"), F.col("id").alias("node")), edges).select("node")
+    """Reachability over a cyclic graph: what a file includes, transitively. Parts lead to suppliers by returned lines, suppliers to parts by accepted ones."""
+    lines = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("part"), (F.col("l_suppkey") * 2 + 1).alias("supplier"), "l_returnflag")
+    to_supplier = lines.where("l_returnflag = 'R'").select(F.col("part").alias("src"), F.col("supplier").alias("dst"))
+    edges = to_supplier.union(lines.where("l_returnflag = 'A'").select("supplier", "part")).distinct()
+    return graph.reach(spark.range(1).select(F.col("id").alias("origin"), F.col("id").alias("node")), cut(edges)).select("node")
 
 
-@query("""WITH RECURSIVE a AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 7 = 2
+@query("""WITH RECURSIVE a AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part
 UNION ALL SELECT origin, node // 4, depth + 1 FROM a WHERE node > 0),
 m AS (SELECT a.origin, l_orderkey, l_linenumber, l_quantity, depth, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS rank
   FROM a JOIN lineitem ON l_partkey = a.node)
 SELECT origin, l_orderkey AS best_order, l_linenumber AS best_line, depth AS best_depth FROM m
 QUALIFY row_number() OVER (PARTITION BY origin ORDER BY depth, rank, l_orderkey, l_linenumber) = 1""")
 def inheritance_best_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest definition up the chain, ranked within a level."""
-    seeds = _t(spark, sf_dir, "part").where("p_partkey % 7 = 2").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
+    """The nearest definition up the chain, ranked within a level. A node's best line is picked before the join, so a root that all reach adds a row an origin."""
+    seeds = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("node"))
     up = graph.reach(seeds, _part_parents(spark, sf_dir))
-    members = up.join(_t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag"), F.col("l_partkey") == F.col("node"))
     rank = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    best = graph.best_per(members, ["origin"], [F.col("depth"), rank, F.col("l_orderkey"), F.col("l_linenumber")])
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), "l_orderkey", "l_linenumber", "l_returnflag")
+    own = graph.best_per(lines, ["node"], [rank, F.col("l_orderkey"), F.col("l_linenumber")])
+    best = graph.best_per(up.join(own, "node"), ["origin"], [F.col("depth"), rank, F.col("l_orderkey"), F.col("l_linenumber")])
     return best.select("origin", F.col("l_orderkey").alias("best_order"), F.col("l_linenumber").alias("best_line"), F.col("depth").alias("best_depth"))
 
 
@@ -119,12 +121,12 @@ def href_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
-roots AS (SELECT DISTINCT regexp_extract(path, '^([^/]+)', 1) AS root FROM u UNION SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/?#]+)/', 1) FROM u WHERE page_id % 3 = 0)
+roots AS (SELECT DISTINCT regexp_extract(path, '^([^/]+)', 1) AS root FROM u UNION SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/?#]+)/', 1) FROM u)
 SELECT page_id, path, max_by(root, length(root)) AS root FROM u JOIN roots ON (path = root OR starts_with(path, root || '/')) AND root <> '' GROUP BY ALL""")
 def longest_prefix_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files to the deepest module that holds them."""
     u = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    roots = u.select(F.regexp_extract("path", "^([^/]+)", 1).alias("root")).union(u.where("page_id % 3 = 0").select(F.regexp_extract("path", "^([^/]+/[^/?#]+)/", 1))).distinct().where("root <> ''")
+    roots = u.select(F.regexp_extract("path", "^([^/]+)", 1).alias("root")).union(u.select(F.regexp_extract("path", "^([^/]+/[^/?#]+)/", 1))).distinct().where("root <> ''")
     return paths.longest_prefix(u, roots.withColumn("name", F.col("root"))).where("root is not null").select("page_id", "path", "root")
 
 
@@ -203,15 +205,14 @@ def asset_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").where(F.substring_index(host, ".", -2) == "example.org").where(F.size(F.split(host, r"\.")) > 2).select("page_id", "url")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS key, o_totalprice AS stamp FROM orders WHERE o_orderkey % 10 <> 1),
-n AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS stamp FROM orders WHERE o_orderkey % 10 <> 3)
+@query("""WITH o AS (SELECT o_custkey AS key, count(*) AS stamp FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+n AS (SELECT o_custkey AS key, count(*) AS stamp FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'deleted' WHEN o.stamp = n.stamp THEN 'unchanged' ELSE 'changed' END AS change
 FROM o FULL JOIN n ON o.key = n.key""")
 def files_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What changed between two snapshots."""
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("stamp"))
-    new = rows.where("key % 10 <> 3").withColumn("stamp", F.when(F.col("key") % 10 == 2, F.col("stamp") + 1).otherwise(F.col("stamp")))
-    return incremental.changes(rows.where("key % 10 <> 1"), new, "key", "stamp")
+    """What changed between two snapshots: customers with finished and with open orders, stamped by their number."""
+    counts = lambda status: _t(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("stamp"))
+    return incremental.changes(counts("F"), counts("O"), "key", "stamp")
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) AS ts FROM events),
