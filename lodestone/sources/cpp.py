@@ -43,6 +43,7 @@ class Token:
     kind: str
     text: str
     line: int
+    column: int = 0  # from 0, in its line
 
 
 @dataclass
@@ -69,7 +70,7 @@ def tokens(text: str) -> list[Token]:
     for m in TOKEN.finditer(text):
         if m.lastgroup != "skip" and not m.group("skip"):
             kind = next(k for k in ("pre", "text", "word", "number", "mark") if m.group(k) is not None)
-            out.append(Token(kind, m.group(), line))
+            out.append(Token(kind, m.group(), line, m.start() - text.rfind("\n", 0, m.start()) - 1))
         line += m.group().count("\n")
     return out
 
@@ -386,6 +387,43 @@ def calls(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content")).mapInPandas(run, "path string, name string, line int")
 
 
+def words(files: DataFrame) -> DataFrame:
+    """path, name, line: each identifier of files(path, content) with the line where it first stands; comments, texts and preprocessor lines have none."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["content"], strict=True):
+                first: dict[str, int] = {}
+                for t in tokens(text or ""):
+                    if t.kind == "word":
+                        first.setdefault(t.text, t.line)
+                rows += [(path, name, line) for name, line in first.items()]
+            yield pd.DataFrame(rows, columns=["path", "name", "line"])
+
+    return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content")).mapInPandas(run, "path string, name string, line int")
+
+
+def references(files: DataFrame, name: str) -> DataFrame:
+    """path, line, column, context of each use of an identifier in files(path, content); the name of a class, struct or enum where it is defined or declared is no use.
+
+    Files without the bytes of the name are dropped before Python sees them."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["content"], strict=True):
+                lines, before = text.split("\n"), ""
+                for t in tokens(text):
+                    if t.text == name and before not in ("class", "struct", "enum"):
+                        rows.append((path, t.line, t.column, lines[t.line - 1].strip()))
+                    before = before if MACRO.match(t.text) and t.text.endswith("_API") else t.text
+            yield pd.DataFrame(rows, columns=["path", "line", "column", "context"])
+
+    held = files.where(F.col("content").contains(name)).select(F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))
+    return held.mapInPandas(run, "path string, line int, column int, context string")
+
+
 def includes(files: DataFrame) -> DataFrame:
     """path, include_path, base_filename: one row per include line, in built-in expressions."""
     found = F.regexp_extract_all("content", F.lit(r'(?m)^[ \t]*#[ \t]*include[ \t]*["<]([^">\n]+)'), 1)
