@@ -1,6 +1,6 @@
 """C++ symbols from source text: one pass over tokens with a stack of brace scopes, no grammar.
 
-`symbols` gives a row per class, struct, enum, global, define, delegate or log category, with its members; `includes` is built-in expressions only;
+`symbols` gives a row per class, struct, enum, global, define, delegate, log category or namespace of gameplay tags, with its members; `includes` is built-in expressions only;
 `calls` gives call sites. A file is parsed in one Python call, whatever its size; files are independent, so nothing shuffles.
 
 Defined cases: null or empty content has no symbols; forward declarations are no symbols; unbalanced braces end at the end of the file;
@@ -29,6 +29,7 @@ KINDS = {"UCLASS": "UCLASS", "UINTERFACE": "UCLASS", "USTRUCT": "USTRUCT", "UENU
 MEMBER_MACROS = ("UFUNCTION", "UPROPERTY")
 DELEGATE = re.compile(r"DECLARE_(?:DYNAMIC_|MULTICAST_|DYNAMIC_MULTICAST_|SPARSE_DYNAMIC_(?:MULTICAST_)?|TS_MULTICAST_)?DELEGATE|DECLARE_EVENT")
 LOG_MACROS = ("DECLARE_LOG_CATEGORY_EXTERN", "DEFINE_LOG_CATEGORY", "DEFINE_LOG_CATEGORY_STATIC")
+TAG_MACROS, TAG_TYPE = ("UE_DEFINE_GAMEPLAY_TAG", "UE_DECLARE_GAMEPLAY_TAG"), "GameplayTag"
 NO_TYPE = {"virtual", "static", "inline", "FORCEINLINE", "const", "constexpr", "explicit", "friend", "mutable", "extern", "class", "struct", "enum", "typename", "volatile"}
 NO_CALL = {"if", "for", "while", "switch", "return", "sizeof", "catch", "alignof", "decltype", "defined"}
 MACRO = re.compile(r"[A-Z][A-Z0-9_]{2,}$")
@@ -63,6 +64,7 @@ class Scope:
     name: str = ""
     symbol: Symbol | None = None
     access: str = "public"
+    line: int = 0
 
 
 def tokens(text: str) -> list[Token]:
@@ -163,7 +165,7 @@ class File:
         decl, marks = self.stripped(head)
         words = [t.text for t in decl]
         if words[:1] == ["namespace"] or words[:2] == ["inline", "namespace"]:
-            self.scopes.append(Scope("namespace", spelled([t for t in decl if t.text not in ("inline", "namespace")])))
+            self.scopes.append(Scope("namespace", spelled([t for t in decl if t.text not in ("inline", "namespace")]), line=decl[0].line))
             return []
         if words[:1] == ["extern"] and len(decl) == 2 and decl[1].kind == "text":
             self.scopes.append(Scope("open"))
@@ -281,8 +283,22 @@ class File:
             if place < len(parts):
                 self.symbols.append(Symbol(parts[place], None, "log_category" if name in LOG_MACROS else "delegate", head[0].line, head[0].line))
             return True
+        if name.startswith(TAG_MACROS) and scope.kind == "namespace" and parts:
+            detail = " — ".join(p.strip('"') for p in parts[1:3])
+            self.tag(parts[0], head[0].line, args[-1].line, detail or None, "FGameplayTag")
+            return True
         return name.startswith("GENERATED_")
 
+    def tag(self, name: str, line: int, last: int, detail: str | None, kind: str) -> None:
+        """A member of the innermost namespace, which becomes a symbol with its first tag."""
+        scope = self.scopes[-1]
+        if scope.symbol is None:
+            outer = [s.name for s in self.scopes[:-1] if s.kind == "namespace" and s.name]
+            path, _, own = scope.name.rpartition("::")
+            scope.symbol = Symbol(own, "::".join([*outer, path] if path else outer) or None, "namespace", scope.line, scope.line)
+            self.symbols.append(scope.symbol)
+        scope.symbol.members.append(self.member(name, "property", "static", "public", line, last, detail, kind))
+
     def item(self, head: list[Token], scope: Scope) -> None:
         first = next((t for t in head if t.kind == "word"), None)
         if first and scope.symbol:
@@ -328,6 +344,9 @@ class File:
         while name_at > 1 and decl[name_at - 1].text == "::" and decl[name_at - 2].kind == "word":
             owner, name_at = owner or decl[name_at - 2].text, name_at - 2
         before = decl[:name_at]
+        tagged = next((t.text for t in before if TAG_TYPE in t.text), None)
+        if tagged and before[0].text == "extern" and scope.kind == "namespace" and scope.name:
+            self.tag(name, decl[0].line, last, None, tagged)
         function = (paren is not None or "UFUNCTION" in marks) and "UPROPERTY" not in marks
         if not function and not before:
             return  # an expression

@@ -1,4 +1,4 @@
-"""Changed-file lists of version control tools, parsed from their text output."""
+"""Changed files, commits and revisions of version control tools, parsed from their text output. Null and malformed lines give no row."""
 
 from __future__ import annotations
 
@@ -49,3 +49,63 @@ def age(seconds: Column) -> Column:
     """minutes, hours or days ago."""
     n = lambda unit: F.floor(seconds / unit).cast("string")
     return F.when(seconds < 3600, F.concat(n(60), F.lit(" minutes ago"))).when(seconds < 86400, F.concat(n(3600), F.lit(" hours ago"))).otherwise(F.concat(n(86400), F.lit(" days ago")))
+
+
+def git_log(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(hash, message, author, date, vcs) of log lines whose four fields a unit separator (1F) parts."""
+    f = F.split(F.col(column), "\u001f")
+    return lines.where(F.size(f) >= 4).select(f[0].alias("hash"), f[1].alias("message"), f[2].alias("author"), f[3].alias("date"), F.lit("git").alias("vcs"))
+
+
+def p4_log(blocks: DataFrame, now: Column, column: str = "value") -> DataFrame:
+    """The same of tagged change blocks, one a row; now is in seconds."""
+    field = lambda n: F.nullif(F.regexp_extract(F.col(column), rf"(?m)^\.\.\. {n}\s+(.+)$", 1), F.lit(""))
+    date = age(now - field("time").cast("long"))
+    return blocks.where(field("change").isNotNull()).select(
+        field("change").alias("hash"), F.coalesce(F.trim(field("desc")), F.lit("(no description)")).alias("message"), F.coalesce(field("user"), F.lit("")).alias("author"), F.coalesce(date, F.lit("")).alias("date"), F.lit("p4").alias("vcs")
+    )
+
+
+def svn_log(texts: DataFrame, now: Column, column: str = "value") -> DataFrame:
+    """The same of the XML log, whole texts; a date that cannot be read stays as it is."""
+    entry = texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit("(?s)<logentry(.*?)</logentry>"), F.lit(1))).alias("e"))
+    part = lambda n: F.regexp_extract("e", f"(?s)<{n}>([^<]*)</{n}>", 1)
+    rev, has_message = F.regexp_extract("e", r'revision="(\d+)"', 1), F.col("e").rlike("(?s)<msg>[^<]*</msg>")
+    second = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract("e", r"<date>(\d+-\d+-\d+T\d+:\d+:\d+)", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    rows = entry.where(rev != "").select(F.concat(F.lit("r"), rev).alias("hash"), F.when(has_message, part("msg")).otherwise("(no message)").alias("message"), part("author").alias("author"), F.coalesce(age(now - second), part("date")).alias("date"))
+    return rows.withColumn("vcs", F.lit("svn"))
+
+
+def shown(commits: DataFrame) -> DataFrame:
+    return commits.withColumn("display", F.format_string("%s %s (%s)", "hash", "message", "date"))
+
+
+def newest(commits: DataFrame, order: Column, limit: int, author: str | None = None) -> DataFrame:
+    """The first limit commits by order (descending), of one author if named."""
+    rows = commits if author is None else commits.where(F.col("author") == author)
+    return rows.orderBy(order.desc(), "hash").limit(limit)
+
+
+def commit_files(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(type, path, name, old_hash, new_hash) of raw show lines; submodules first, then by path."""
+    pattern = r"^:\d+ (\d+) ([0-9a-f]+) ([0-9a-f]+) [A-Z]\d*\s+(.+)$"
+    part = lambda i: F.regexp_extract(F.col(column), pattern, i)
+    kind = F.when(part(1) == "160000", "submodule").otherwise("file")
+    rows = lines.where(F.col(column).rlike(pattern)).select(kind.alias("type"), part(4).alias("path"), part(2).alias("old_hash"), part(3).alias("new_hash"))
+    name = F.when(F.col("type") == "submodule", F.col("path")).otherwise(F.substring_index("path", "/", -1))
+    return rows.select("type", "path", name.alias("name"), "old_hash", "new_hash").orderBy(F.desc("type"), "path")
+
+
+def submodule_files(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """(path, rel_path, full_rel_path): the changed files (path of the submodule, rel_path) of commit_files' submodules."""
+    return files.where("type = 'submodule'").select("path").join(changed, "path").select("path", "rel_path", F.concat_ws("/", "path", "rel_path").alias("full_rel_path"))
+
+
+def revision(revisions: DataFrame) -> DataFrame:
+    """One row: the revision of the first provider that has one, of (provider_rank, revision)."""
+    return revisions.where("revision is not null and revision <> ''").agg(F.min_by("revision", "provider_rank").alias("revision"))
+
+
+def build_fingerprint(versions: DataFrame) -> DataFrame:
+    """(fingerprint) of build version records (MajorVersion, MinorVersion, PatchVersion, BranchName); missing numbers are 0, a missing branch is Unknown."""
+    return versions.select(F.format_string("ue:%d.%d.%d+%s", *[F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("MajorVersion", "MinorVersion", "PatchVersion")], F.coalesce("BranchName", F.lit("Unknown"))).alias("fingerprint"))

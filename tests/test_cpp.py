@@ -68,6 +68,14 @@ def test_calls_and_odd_inputs():
     assert cpp.parse("class X {")[0].name == "X"
 
 
+def test_tag_namespaces():
+    text = 'namespace A::B {\nUE_DEFINE_GAMEPLAY_TAG_COMMENT(One, "x.one", "first");\nnamespace C { extern FNativeGameplayTag Two;\n UE_DECLARE_GAMEPLAY_TAG_EXTERN(Three); }\n}\nnamespace D { int x; }\n'
+    found = {s.name: s for s in cpp.parse(text) if s.symbol_type == "namespace"}
+    assert {k: (v.namespace, v.line, v.end_line) for k, v in found.items()} == {"B": ("A", 1, 5), "C": ("A::B", 3, 4)}
+    assert [(m["name"], m["detail"], m["return_type"], m["flags"]) for m in found["B"].members] == [("One", "x.one — first", "FGameplayTag", "static")]
+    assert [(m["name"], m["return_type"]) for m in found["C"].members] == [("Two", "FNativeGameplayTag"), ("Three", "FGameplayTag")]
+
+
 def test_index_tables(spark):
     files = spark.createDataFrame([("a.h", SOURCE), ("b.h", None), ("c.h", "")], "path string, content string")
     got = cpp.index_tables(files)
