@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths
 from lodestone.operators import graph, text
+from lodestone.sources import cpp
+
+# Pointer wrappers, and what their members give.
+POINTERS = ["TWeakObjectPtr", "TObjectPtr", "TSharedPtr", "TSharedRef", "TUniquePtr", "TWeakPtr", "TStrongObjectPtr", "TSoftObjectPtr"]
+POINTEES, CHECKS = ("Get", "GetChecked", "operator*", "operator->"), ("IsValid", "IsStale", "IsExplicitlyNull")
+# Symbol types of the three kinds of global completions, with the number an editor shows each by.
+GLOBALS = [{"class": 7, "struct": 7, "enum": 13, "namespace": 9}, {"define": 15}, {"global_function": 3, "global_var": 6, "type_alias": 25, "delegate": 7, "log_category": 6}]
 
 
 @dataclass
@@ -249,3 +256,87 @@ class CodeIndex:
         own = self.modules if scope == "full" else self.modules.where(F.lower("scope") == scope)
         names = own.select("name")
         return (names.union(own.select(F.explode("deep_dependencies"))) if deep else names).distinct().orderBy("name")
+
+    def _header_first(self, rows: DataFrame, order: list[Column]) -> DataFrame:
+        ext = F.when(F.col("extension") == "h", 0).when(F.col("extension") == "hpp", 1).otherwise(2)
+        columns = ["symbol_name", "line_number", "file_path", "class_name"]
+        best = graph.best_per(rows.withColumn("k", F.lit(0)), ["k"], [*order, ext, F.col("file_path"), F.col("line_number")])
+        return best.select(*columns)
+
+    def find_type_definition(self, name: str) -> DataFrame:
+        """The definition of a type, in a header if there is one."""
+        rows = self._classes().where(F.col("name") == name)
+        return self._header_first(rows.select(F.col("name").alias("symbol_name"), F.col("line").alias("line_number"), F.col("path").alias("file_path"), F.col("name").alias("class_name"), "extension"), [])
+
+    def find_member_anywhere(self, name: str) -> DataFrame:
+        """A member of that name in any class: no implementation, then headers, first."""
+        rows = self._members().where(F.col("name") == name).join(self._files(), "file_id")
+        rows = rows.select(F.col("name").alias("symbol_name"), F.col("line").alias("line_number"), F.col("path").alias("file_path"), "class_name", "extension", "access")
+        return self._header_first(rows, [(F.col("access") == "impl").cast("int")])
+
+    def _first_text(self, df: DataFrame, column: Column, order: list[Column]) -> str | None:
+        found = df.orderBy(*order).select(paths.clean_type(column)).first()
+        return found[0] if found else None
+
+    def resolve_typedef(self, name: str) -> str:
+        """What an alias stands for, at most five steps on: Class::Alias by the class's members, other names by typedef symbols. A driver loop over single lookups."""
+        for _ in range(5):
+            owner, _, alias = name.partition("::")
+            found = None
+            if alias:
+                rows = self._members().where((F.col("class_name") == owner) & (F.col("name") == alias) & (F.col("type") == "type_alias"))
+                found = self._first_text(rows, F.col("return_type"), [F.col("id")])
+            if not found:
+                found = self._first_text(self.classes.where((F.col("name") == name) & (F.col("symbol_type") == "typedef")), F.col("base_class"), [F.col("id")])
+            if not found or found == name:
+                break
+            name = found
+        return name
+
+    def find_member_return_type(self, class_type: str, member: str) -> str | None:
+        """The cleaned type a member gives, from the nearest class up the chain; T and void only if nothing else, longer texts first."""
+        outer, _, inner = class_type.strip().partition("<")
+        if inner and outer.strip() in POINTERS:
+            if member in CHECKS:
+                return "bool"
+            if member in POINTEES:
+                return self.classes.sparkSession.range(1).select(paths.clean_type(F.lit(inner.rpartition(">")[0].strip()))).first()[0]
+        plain = self.classes.sparkSession.range(1).select(paths.clean_type(F.lit(class_type))).first()[0]
+        rows = self._ancestors(self.resolve_typedef(plain)).join(self.members.where(F.col("name") == member).drop("id"), F.col("id") == F.col("class_id")).where("return_type is not null")
+        return self._first_text(rows, F.col("return_type"), [F.col("depth"), F.col("return_type").isin("T", "T*", "void"), -F.length("return_type"), F.col("return_type")])
+
+    def fetch_global_symbols(self, prefix: str, each: int = 80) -> DataFrame:
+        """label, kind, detail of globals that start so, at most `each` of types, of macros and of the rest, by name."""
+        found = None
+        for kinds in GLOBALS:
+            number = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("symbol_type")]
+            rows = self.classes.where(F.col("symbol_type").isin(*kinds) & F.col("name").ilike(prefix.replace("\\", "\\\\") + "%"))
+            rows = rows.select(F.col("name").alias("label"), number.alias("kind"), F.col("symbol_type").alias("detail")).distinct().orderBy("label", "detail").limit(each)
+            found = rows if found is None else found.unionByName(rows)
+        return found
+
+    def fetch_uobject_subclasses(self, prefix: str, limit: int = 200) -> DataFrame:
+        rows = self.classes.where(F.col("symbol_type").isin("class", "struct") & F.col("name").ilike(prefix.replace("\\", "\\\\") + "%") & F.col("name").rlike("^[UAI]"))
+        return rows.select(F.col("name").alias("label"), F.when(F.col("symbol_type") == "class", 7).otherwise(22).alias("kind"), F.col("symbol_type").alias("detail")).orderBy("label", "detail").limit(limit)
+
+    def search_scope(self, symbol: str, header: str | None = None) -> DataFrame:
+        """path, module_name, module_root of the files in which uses are looked for: a known header or else the files that define the symbol, what includes them (by resolved
+        edge, or by bare name), and the sources beside the headers among these."""
+        own = self.files.where(F.col("full_path") == header) if header else None
+        if own is None or own.isEmpty():
+            own = self.files.join(self.classes.where(F.col("name") == symbol).select(F.col("file_id").alias("id")), "id", "left_semi")
+        own = own.select("id", "filename")
+        by_id = self.file_includes.join(own.select(F.col("id").alias("resolved_file_id")), "resolved_file_id", "left_semi").select("file_id")
+        by_name = self.file_includes.where("resolved_file_id is null").join(own.select(F.col("filename").alias("base_filename")), "base_filename", "left_semi").select("file_id")
+        found = self._files().join(own.select(F.col("id").alias("file_id")).union(by_id).union(by_name).distinct(), "file_id", "left_semi")
+        place = [paths.parent(F.col("path")).alias("dir"), paths.stem(F.col("path")).alias("stem")]
+        near = found.where("is_header").select(*place).distinct()
+        peers = self._files().where("extension = 'cpp'").select("*", *place).join(near, ["dir", "stem"], "left_semi")
+        columns = ["path", "module_name", "module_root"]
+        return found.select(*columns).union(peers.select(*columns)).distinct()
+
+    def find_symbol_usages(self, sources: DataFrame, symbol: str, header: str | None = None, method: str | None = None, limit: int = 300) -> DataFrame:
+        """path, module_name, module_root, line, column, context of a type's uses, or of its method's, in sources(path, content) of the scope; the first `limit` by place."""
+        scope = self.search_scope(symbol, header)
+        uses = cpp.references(sources.join(scope.select("path"), "path", "left_semi"), method or symbol, symbol if method else None)
+        return uses.join(scope, "path").select("path", "module_name", "module_root", "line", "column", "context").orderBy("path", "line", "column").limit(limit)

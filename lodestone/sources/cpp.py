@@ -423,20 +423,22 @@ def words(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content")).mapInPandas(run, "path string, name string, line int")
 
 
-def references(files: DataFrame, name: str) -> DataFrame:
+def references(files: DataFrame, name: str, owner: str | None = None) -> DataFrame:
     """path, line, column, context of each use of an identifier in files(path, content); the name of a class, struct or enum where it is defined or declared is no use.
 
-    Files without the bytes of the name are dropped before Python sees them."""
+    With an owner the name is a member's, and its uses are x.name, x->name and Owner::name. Files without the bytes of the name are dropped before Python sees them."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, text in zip(b["path"], b["content"], strict=True):
-                lines, before = text.split("\n"), ""
+                lines, before, earlier = text.split("\n"), "", ""
                 for t in tokens(text):
-                    if t.text == name and before not in ("class", "struct", "enum"):
+                    used = before not in ("class", "struct", "enum") if owner is None else before in (".", "->") or (before == "::" and earlier == owner)
+                    if t.text == name and used:
                         rows.append((path, t.line, t.column, lines[t.line - 1].strip()))
-                    before = before if MACRO.match(t.text) and t.text.endswith("_API") else t.text
+                    if not (MACRO.match(t.text) and t.text.endswith("_API")):
+                        before, earlier = t.text, before
             yield pd.DataFrame(rows, columns=["path", "line", "column", "context"])
 
     held = files.where(F.col("content").contains(name)).select(F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))

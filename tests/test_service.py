@@ -59,3 +59,74 @@ def test_includes_and_search(index, spark):
     assert first(index.get_modules_by_scope("game", deep=True)) == ["Core", "Game"]
     probes = spark.createDataFrame([(2, 15), (2, 30), (2, 99)], "file_id long, line long")
     assert sorted(tuple(r) for r in index.enclosing_class(probes).collect()) == [(2, 15, "C"), (2, 30, "B")]
+
+
+BUFFER = """#pragma once
+#include "A.h"
+#include "Buf.generated.h"
+class UBuf : public A
+{
+public:
+    /** Does it.
+     * Twice. */
+    UFUNCTION()
+    void Do(B* other);
+    UPROPERTY(EditAny)
+    int Size;
+};
+void UBuf::Do(B* other)
+{
+    auto made = Cast<C>(other);
+    int local = 1;
+    other->Run();
+    made->Run(local);
+    Run();
+    E e;
+}
+"""
+
+
+def place(text, nth=0):
+    """Line and character of the nth occurrence of a text in BUFFER."""
+    at = -1
+    for _ in range(nth + 1):
+        at = BUFFER.index(text, at + 1)
+    return BUFFER[:at].count("\n"), at - BUFFER.rfind("\n", 0, at) - 1
+
+
+def test_buffer():
+    from lodestone.plans import editor
+
+    got = editor.parse_buffer(BUFFER, "b.h", *place("Run"))
+    assert [(s["name"], s["kind"], s["base_class"]) for s in got["symbols"]] == [("UBuf", "class", "A")]
+    assert got["metadata"]["suggested_insert_line"] == 3 and [i["is_generated"] for i in got["metadata"]["includes"]] == [False, True]
+    assert got["cursor_info"] == {"symbol": "Run", "qualifier": "other", "mark": "->", "enclosing": "UBuf"}
+    assert editor.variable_type(BUFFER, "other") == "B" and editor.variable_type(BUFFER, "made") == "C" and editor.variable_type(BUFFER, "none") is None
+    line, at = place("(EditAny")
+    assert editor.open_macro(BUFFER, line, at + 5) == "UPROPERTY" and editor.open_macro(BUFFER, 3, 4) is None
+    assert editor.comment_above(BUFFER.split("\n"), 10) == "Does it.\nTwice." and editor.comment_above([], 3) == ""
+    assert editor.parse_buffer("#pragma once\n")["metadata"]["suggested_insert_line"] == 2 and editor.cursor("", 0, 0) is None
+
+
+def test_goto_and_completions(index):
+    from lodestone.plans import editor
+
+    go = lambda *at: editor.goto_definition(index, BUFFER, *at, "b.h")
+    assert go(*place("local", 1))["line_number"] == 17
+    assert go(*place("other->"))["line_number"] == 14
+    assert (go(*place("Run"))["class_name"], go(*place("Run", 1))["class_name"]) == ("B", "B")  # made is a C, whose nearest Run is B's
+    assert go(*place("E e"))["file_path"] == "/e/Core/Public/A.h" and go(4, 0) is None
+    line, at = place("Run(local")
+    assert [r["label"] for r in editor.completions(index, BUFFER, line, at + 1).collect()] == ["Run"]
+    assert [r["label"] for r in editor.completions(index, "E", 0, 1).collect()] == ["E"]
+
+
+def test_types_and_usages(index, spark):
+    assert index.find_type_definition("B").first()["file_path"] == "/g/Game/B.h" and index.find_member_anywhere("Run").first()["class_name"] == "A"
+    assert index.find_member_return_type("C*", "X") == "int" and index.find_member_return_type("TWeakPtr<const A>", "Get") == "A" and index.find_member_return_type("A", "None") is None
+    assert index.resolve_typedef("A") == "A"
+    assert [(r["label"], r["kind"]) for r in index.fetch_global_symbols("").collect()] == [("A", 7), ("B", 7), ("C", 7), ("E", 13)]
+    assert [r["label"] for r in index.fetch_uobject_subclasses("a").collect()] == ["A"]
+    sources = spark.createDataFrame([("/e/Core/Public/A.h", "class A { void Run(); };"), ("/g/Game/B.h", "class B : A {};"), ("/g/Game/B.cpp", "A a; a.Run(); A::Run(); Z::Run();"), ("/other.cpp", "A")], "path string, content string")
+    assert [(r["path"], r["line"], r["column"]) for r in index.find_symbol_usages(sources, "A").collect()] == [("/g/Game/B.cpp", 1, 0), ("/g/Game/B.cpp", 1, 14), ("/g/Game/B.h", 1, 10)]
+    assert [r["column"] for r in index.find_symbol_usages(sources, "A", "/e/Core/Public/A.h", "Run").collect()] == [7, 17]
