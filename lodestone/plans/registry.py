@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import paths
-from lodestone.operators import graph, incremental, overlay, text
+from lodestone.functions import ignore_rules, paths
+from lodestone.operators import graph, incremental, overlay, status, text
 from lodestone.operators.storage import cut
+from lodestone.sources import assets, trace, vcs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -255,3 +256,97 @@ def ext_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.lower("url")
     kind = F.when(u.contains("/en/"), "english").when(u.contains("/de/"), "german").when(u.contains("?"), "query").otherwise("other")
     return _t(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), paths.extension(F.col("url")).alias("ext"))
+
+
+_ASSETS = """SELECT '/Game/S' || l_suppkey AS asset, '/Script/Parts.Part' || l_partkey AS target, CASE l_returnflag WHEN 'R' THEN 'derived' WHEN 'A' THEN 'functions' ELSE 'references' END AS kind FROM lineitem"""
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as assets: lines of each return flag as imports, parents and functions."""
+    lines = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("/Game/S"), "l_suppkey").alias("asset_path"), F.concat(F.lit("/Script/Parts.Part"), "l_partkey").alias("t"), "l_returnflag").distinct()
+    flag, none = F.col("l_returnflag"), F.array().cast("array<string>")
+    return lines.select("asset_path", F.when(flag == "R", F.col("t")).alias("parent_class"), F.when(flag == "N", F.array("t")).otherwise(none).alias("imports"), F.when(flag == "A", F.array("t")).otherwise(none).alias("functions"))
+
+
+@query(f"SELECT DISTINCT kind, lower(target) AS target, lower(asset) AS asset FROM ({_ASSETS})")
+def asset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three reference maps as one edge table."""
+    return assets.edges(_assets(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT CASE kind WHEN 'derived' THEN 'derived' ELSE 'references' END AS relation, lower(asset) AS asset FROM ({_ASSETS}) WHERE target = '/Script/Parts.Part7'")
+def asset_graph_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What uses or derives from one class."""
+    return assets.usages(assets.edges(_assets(spark, sf_dir)), "/Script/Parts.Part7")
+
+
+@query(r"""SELECT page_id, (regexp_matches(rel, '(^|/)[^/]*[.]html$') AND NOT regexp_matches(rel, '(^|/)index[^/]*[.]html$')) OR regexp_matches(rel, '^[^/]+/de(/|$)') OR regexp_matches(rel, '^[^/]+/[^/]*7(/|$)') AS ignored
+FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS rel FROM pages)""")
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ignore rules: a pattern with an exception, a folder below any top folder, and an anchored pattern."""
+    rules = ignore_rules.parse("*.html\n!index*.html\n*/de/\n/*/*7\n")
+    rel = F.regexp_replace("url", "^[a-z]+://", "")
+    return _t(spark, sf_dir, "pages").select("page_id", ignore_rules.ignored(rel, rules).alias("ignored"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) AS at, event_type FROM events)
+SELECT event_id, (SELECT max_by(s.event_id, (s.at, s.event_id)) FROM e s WHERE s.user_id = x.user_id AND s.event_type = 'signup' AND s.at < x.at) AS started FROM e x WHERE event_type = 'error'""")
+def exit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each end with the name of the last start of its key before it."""
+    kind = F.when(F.col("event_type") == "signup", "started").otherwise("exited")
+    rows = _t(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error")).select(
+        F.lit("all").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), kind.alias("kind"), F.col("user_id").alias("pid"), F.col("event_id").alias("text")
+    )
+    return trace.with_names(rows).where("kind = 'exited'").select(F.col("text").alias("event_id"), F.col("process").alias("started"))
+
+
+@query("""SELECT event_id, printf('%02d:%02d:%02d.%03d', CAST(value * 1000 AS BIGINT) // 3600000, CAST(value * 1000 AS BIGINT) // 60000 % 60, CAST(value * 1000 AS BIGINT) // 1000 % 60, CAST(value * 1000 AS BIGINT) % 1000) AS clock FROM events""")
+def trace_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks as hours, minutes, seconds and milliseconds."""
+    ticks = F.round(F.col("value") * 1000).cast("long") * 10_000
+    return _t(spark, sf_dir, "events").select("event_id", trace.clock(ticks).alias("clock"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 3600 THEN s // 60 || ' minutes ago' WHEN s < 86400 THEN s // 3600 || ' hours ago' ELSE s // 86400 || ' days ago' END AS age
+FROM (SELECT event_id, CAST(round(value * 1000) AS BIGINT) AS s FROM events)""")
+def commit_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages in words."""
+    return _t(spark, sf_dir, "events").select("event_id", vcs.age(F.round(F.col("value") * 1000).cast("long")).alias("age"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS path, max_by(CAST(l_partkey AS VARCHAR), (l_linenumber, l_partkey)) AS value FROM lineitem GROUP BY 1")
+def layered_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of the highest layer wins."""
+    rows = _t(spark, sf_dir, "lineitem").select(F.struct("l_linenumber", "l_partkey").alias("layer"), F.col("l_orderkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("value"))
+    return overlay.layered(rows)
+
+
+@query("""WITH o AS (SELECT o_custkey AS key, o_orderkey AS row_id, o_orderstatus AS status FROM orders)
+SELECT key, row_id FROM o WHERE status = 'F' AND key NOT IN (SELECT key FROM o WHERE status = 'P') UNION ALL SELECT key, row_id FROM o WHERE status = 'P'""")
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot whose keys are replaced by a newer one's: customers' finished orders by their pending ones."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("row_id"), "o_orderstatus")
+    part = lambda status: rows.where(F.col("o_orderstatus") == status).select("key", "row_id")
+    return incremental.upserted(part("F"), part("P"), ["key"])
+
+
+@query("""SELECT o_custkey, min_by(o_orderpriority, (CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey)) AS status FROM orders GROUP BY 1""")
+def merged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first provider's status of each path."""
+    rank = F.struct(F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2), "o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderpriority").alias("status"), rank.alias("provider_rank"))
+    return vcs.merged(rows).select(F.col("path").alias("o_custkey"), "status")
+
+
+@query("""SELECT l_orderkey, CAST(round(100 * sum(l_linenumber * least(l_quantity / 40, 1)) / sum(l_linenumber)) AS DOUBLE) AS percent FROM lineitem GROUP BY 1""")
+def weighted_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted progress of each key's phases."""
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("weight"), F.col("l_quantity").alias("done"), F.lit(40.0).alias("total"))
+    return status.progress(rows, ["l_orderkey"])
+
+
+@query("""SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'busy' WHEN bool_or(o_orderstatus = 'O') THEN 'updating' ELSE 'idle' END AS state FROM orders GROUP BY 1""")
+def service_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most urgent state of each key."""
+    name = F.when(F.col("o_orderstatus") == "P", "busy").when(F.col("o_orderstatus") == "O", "updating").otherwise("idle")
+    return status.state(_t(spark, sf_dir, "orders").select("o_custkey", name.alias("state"), F.lit(1).alias("n")), ["o_custkey"])

@@ -123,3 +123,12 @@ def test_build_rules(spark):
     content = 'public class Foo : ModuleRules {\n PublicDependencyModuleNames.AddRange(new string[] {\n "Core", // "No"\n "Engine" });\n PrivateDependencyModuleNames.Add("Slate"); }'
     got = build_rules.parse(spark.createDataFrame([("/Foo.Build.cs", content)], "path string, content string")).first()
     assert (got["module"], got["public"], got["private"]) == ("Foo", ["Core", "Engine"], ["Slate"])
+
+
+def test_progress_and_state(spark):
+    from lodestone.operators import status
+
+    phases = spark.createDataFrame([("a", 0.2, 5, 10), ("a", 0.8, 10, 5), ("b", 1.0, 1, 0), ("c", 0.0, 1, 1), ("d", 1.0, None, 3)], "k string, weight double, done long, total long")
+    assert rows(status.progress(phases, ["k"])) == [("a", 90.0), ("b", 0.0), ("c", 0.0), ("d", 0.0)]
+    active = spark.createDataFrame([("a", "querying", 1), ("a", "scanning", 2), ("b", "busy", 0), ("c", None, 1), ("c", "odd", 1)], "k string, state string, n long")
+    assert rows(status.state(active, ["k"])) == [("a", "scanning"), ("b", "idle"), ("c", "idle")]
