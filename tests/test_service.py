@@ -119,6 +119,8 @@ def test_goto_and_completions(index):
     line, at = place("Run(local")
     assert [r["label"] for r in editor.completions(index, BUFFER, line, at + 1).collect()] == ["Run"]
     assert [r["label"] for r in editor.completions(index, "E", 0, 1).collect()] == ["E"]
+    assert [tuple(r) for r in editor.completions(index, "UPROPERTY(edita", 0, 15).collect()] == [("EditAnywhere", "EditAnywhere")]
+    assert ("Category", 'Category="$1"') in editor.specifiers("UFUNCTION") and ("meta", "meta=($1)") in editor.specifiers("UENUM") and editor.specifiers("X") == []
 
 
 def test_types_and_usages(index, spark):
