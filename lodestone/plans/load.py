@@ -88,6 +88,38 @@ def parsed(sources: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame,
     return classes, members, values, inheritance, includes
 
 
+def updated(index: CodeIndex, sources: DataFrame, deleted: DataFrame | None = None) -> CodeIndex:
+    """The index after changed or new sources(path, content) and deleted(path): only these are parsed, rows of other files stay, and names are resolved anew over all rows.
+
+    A file's child rows go with it. A new file gets its module by its place, and a null mtime and hash until the next walk. A path both changed and deleted is deleted."""
+    gone = sources.select("path").limit(0) if deleted is None else deleted.select("path")
+    fresh = sources.join(gone, "path", "left_anti")
+    touched = cut(fresh.select("path").union(gone).select(F.xxhash64("path").alias("file_id")).distinct())
+    without = lambda df, key: df.join(touched.select(F.col("file_id").alias(key)), key, "left_anti").select(df.columns)
+    old = cut(index.classes.join(touched, "file_id", "left_semi").select("id"))
+    without_classes = lambda df, key: df.join(old.select(F.col("id").alias(key)), key, "left_anti").select(df.columns)
+
+    roots = index.modules.where("name <> '_Global'").select(F.col("root_path").alias("root"), "name")
+    global_id = index.modules.where("name = '_Global'").agg(F.min("id")).first()[0]
+    new = paths.longest_prefix(fresh.select("path"), roots)
+    ext = paths.extension(F.col("path"))
+    new = new.select(
+        F.xxhash64("path").alias("id"), F.xxhash64(paths.parent(F.col("path"))).alias("dir_id"), F.col("path").alias("full_path"), paths.filename(F.col("path")).alias("filename"), ext.alias("extension"),
+        F.lit(None).cast("long").alias("mtime"), F.when(F.col("root").isNull(), F.lit(global_id).cast("long")).otherwise(F.xxhash64("name", "root")).alias("module_id"), ext.isin("h", "hpp").alias("is_header"),
+    )
+    kept = index.files.join(gone.select(F.col("path").alias("full_path")), "full_path", "left_anti").select(index.files.columns)
+    table = cut(kept.unionByName(new.join(kept.select("id"), "id", "left_anti"), allowMissingColumns=True))
+
+    classes, members, values, inheritance, includes = parsed(fresh, table)
+    classes = cut(without(index.classes, "file_id").unionByName(classes))
+    bases = without_classes(index.inheritance, "child_id").unionByName(inheritance).drop("parent_class_id")
+    lines = without(index.file_includes, "file_id").unionByName(includes).drop("resolved_file_id")
+    return CodeIndex(
+        index.modules, table, classes, without(index.members, "file_id").unionByName(members), without_classes(index.enum_values, "enum_id").unionByName(values),
+        incremental.resolve_any(bases, "parent_name", classes, "name", "id", "parent_class_id"), incremental.resolve_unique(lines, "base_filename", table, "filename", "id", "resolved_file_id"), index.components,
+    )
+
+
 def save(index: CodeIndex, folder: str) -> None:
     for name in TABLES:
         getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")

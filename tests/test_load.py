@@ -64,6 +64,19 @@ def test_missing_includes(spark, tree, index):
     assert [r[0] for r in lines.select(load.insert_line(F.col("c"))).collect()] == [2, 2, 1]
 
 
+def test_update(spark, tree, index):
+    changed = spark.createDataFrame([(f"{tree}/Game/Source/Game/Public/Player.h", '#include "New.h"\nclass APlayer : public ANew { void Stop(); };'), (f"{tree}/Game/Source/Game/Public/New.h", "class ANew {};")], "path string, content string")
+    deleted = spark.createDataFrame([(f"{tree}/Eng/Core/Public/Base.h",)], "path string")
+    now = load.updated(index, changed, deleted)
+    assert [r["name"] for r in now.get_recursive_parent_classes("APlayer").collect()] == ["ANew"]
+    assert [r["name"] for r in now.get_class_members("APlayer").where("access <> 'impl'").collect()] == ["Stop"]
+    assert now.get_enum_values("EKind").isEmpty() and now.find_class_by_name("FBase").isEmpty() and now.files.where("filename = 'Base.h'").isEmpty()
+    got = now.get_depend_files(f"{tree}/Game/Source/Game/Private/Player.cpp", recursive=True)
+    assert [(r["path"].rpartition("/")[2], r["module_name"]) for r in got.collect()] == [("New.h", "Game"), ("Player.h", "Game")]
+    assert now.files.count() == index.files.count() and now.classes.where("name = 'APawn'").count() == 1
+    assert now.file_includes.where("base_filename = 'Base.h' and resolved_file_id is null").count() == 1
+
+
 def test_references(spark):
     text = "class AThing;\nclass X_API AThing { };\n// AThing\nAThing* a = new AThing();\n"
     df = spark.createDataFrame([("a.h", text), ("b.h", "none"), ("c.h", None)], "path string, content string")
