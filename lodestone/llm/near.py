@@ -1,17 +1,20 @@
 """MinHash near-duplicate groups with odd sketches.
 
-Documents are sets of 5-word shingles (64-bit hashes); two are linked where 100 * intersection >= 85 * union.
+Documents are sets of 5-word shingles (64-bit hashes); two are linked where 100 * intersection >= share * union: op9 takes a share of 85, keep_one (the pipeline's stage) of STAGE_SHARE.
 
 1. Equal sets form classes (by a 128-bit digest of the sorted set); all further work is on class representatives, so copies cost nothing.
-2. MinHash: K samples in BANDS bands of ROWS. At similarity 0.85 a pair shares no band with probability 5e-6.
+2. MinHash: samples in bands of ROWS. There are as many bands as it takes for a pair at the share to meet in none with probability MISSED at most
+   (26 at 85, 41 at 80).
 3. The same samples fold into an odd sketch: a parity bitmap of BITS bits. The population count of two sketches' XOR estimates their
-   similarity; MOST_BITS lets pass what may reach 0.70, five standard deviations below 0.85.
+   similarity; what may be SPREAD standard deviations below the share passes (0.69 at 85, 0.65 at 80).
 4. Star round: each band bucket proposes (smallest id, member) pairs only, a number linear in the bucket. Survivors of the sketch test are
    confirmed on full shingle sets.
 5. Rest round: buckets whose members are still in several components compare members of different components, in blocks of
    BLOCK members a side, so that no link between components is lost and no task holds more than 2 * BLOCK sketches of a bucket. Members of one component need no further pair.
    Here a second bitmap, the parities of the full set, is an exact bound: each shingle that only one of two sets has flips one bit, so a population count above
-   what a link may differ by rules the pair out. What is left for confirmation is links and near misses, not the pairs of a crowd.
+   what a link may differ by rules the pair out. In the first FORESTS turns a block gives pairs that would join its components, at most one fewer than
+   it has of these, and what they link is one component in the next turn. The last turn gives all pairs that are left, so no link between components is lost:
+   what is left for confirmation is near misses, not the pairs of a crowd.
 6. Components by contraction in rounds, each of which is a few shuffles of what edges are left.
 
 Defined cases: null or empty text has an empty set, links with nothing and is its own component; a null doc_id is dropped from linking and is its own (null) component;
@@ -20,7 +23,9 @@ rows that share doc_id count as one document for linking, with the text of the r
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,32 +36,45 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import body, by_ids, small_batches, staged, table
 from lodestone.llm.tokens import WordHashes, mixed, shingles, words_of
 
-BANDS, ROWS, BITS, BLOCK = 26, 6, 512, 1024
+ROWS, BITS, BLOCK = 6, 512, 1024
 #: Bits of the parities of a full set.
 FULL_BITS = 4096
-K = BANDS * ROWS
-#: Similarity 0.70 in XOR population count: 2K * 0.30 differing samples, folded into BITS parities.
-MOST_BITS = int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * K * 0.30))) + 1
-SHARE = 85
+#: Shares in hundredths: of op9, and of a stage without a contract of its own.
+SHARE, STAGE_SHARE = 85, 80
+MISSED, SPREAD, FORESTS = 5e-6, 5.75, 2
 
-_rng = np.random.default_rng(11)
-_A = (_rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[None, :]
-_B = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)[None, :]
-_PLACE = (np.arange(K, dtype=np.uint64) + np.uint64(1)) << np.uint64(32)
 
+def n_bands(share: int) -> int:
+    """Bands for a pair at the share to share none with probability MISSED at most."""
+    return math.ceil(math.log(MISSED) / math.log(1 - (share / 100) ** ROWS))
 
-def minhash(found: np.ndarray) -> np.ndarray:
-    """K minima of a non-empty shingle set."""
+
+def most_bits(share: int) -> int:
+    """SPREAD standard deviations below the share, in XOR population count: differing samples of both sides, folded into BITS parities."""
+    k, s = n_bands(share) * ROWS, share / 100
+    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * k * (1 - s + SPREAD * math.sqrt(s * (1 - s) / k))))) + 1
+
+
+@cache
+def _functions(k: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    a = (rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[None, :]
+    return a, rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)[None, :]
+
+
+def minhash(found: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """n_bands * ROWS minima of a non-empty shingle set."""
+    mul, add = _functions(n_bands(share) * ROWS)
     x, low = (found >> np.uint64(32)).astype(np.uint32)[:, None], None
     for i in range(0, len(x), 1024):
-        part = (x[i : i + 1024] * _A + _B).min(axis=0)
+        part = (x[i : i + 1024] * mul + add).min(axis=0)
         low = part if low is None else np.minimum(low, part)
     return low
 
 
 def bands(low: np.ndarray) -> np.ndarray:
-    rows = low.reshape(BANDS, ROWS).astype(np.uint64)
-    key = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+    rows = low.reshape(-1, ROWS).astype(np.uint64)
+    key = mixed(np.arange(1, len(rows) + 1, dtype=np.uint64))
     for j in range(ROWS):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
     return key.view(np.int64)
@@ -64,7 +82,8 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
     """BITS parities as 64-bit words."""
-    place = mixed(low.astype(np.uint64) | _PLACE) % np.uint64(BITS)
+    at = (np.arange(len(low), dtype=np.uint64) + np.uint64(1)) << np.uint64(32)
+    place = mixed(low.astype(np.uint64) | at) % np.uint64(BITS)
     return np.packbits((np.bincount(place.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -72,7 +91,7 @@ def full_parities(found: np.ndarray) -> bytes:
     return np.packbits((np.bincount((found % np.uint64(FULL_BITS)).astype(np.int64), minlength=FULL_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n, sig, bands, odd, parity; the last four null for empty sets."""
     small_batches(docs.sparkSession)
 
@@ -83,7 +102,7 @@ def features(docs: DataFrame) -> DataFrame:
             for text in b["text"]:
                 found = shingles(hashes.of(words_of(text)))
                 if len(found):
-                    low = minhash(found)
+                    low = minhash(found, share)
                     rows.append((len(found), xxhash.xxh128_digest(found.tobytes()), bands(low), odd_sketch(low), full_parities(found)))
                 else:
                     rows.append((0, None, None, None, None))
@@ -106,21 +125,21 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return by_ids(rows, ids, "left_semi").mapInPandas(run, "doc_id long, found array<long>")
 
 
-def _near(x: str, y: str):
+def _near(x: str, y: str, share: int):
     """May the sketched rows x and y be linked? By set sizes and odd sketches."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     differ = sum(F.bit_count(F.col(f"{x}.odd")[i].bitwiseXOR(F.col(f"{y}.odd")[i])) for i in range(BITS // 64))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * SHARE) & (differ <= MOST_BITS)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * share) & (differ <= most_bits(share))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the share."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     sets = staged(_sets(docs, ids).dropDuplicates(["doc_id"]), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("fa")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb")).alias("sum"))
-    return found.where(100 * F.col("both") >= SHARE * (F.col("sum") - F.col("both"))).select("a", "b")
+    return found.where(100 * F.col("both") >= share * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -151,32 +170,55 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return labels.join(least, "at").select("id", "component")
 
 
-def _blocks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of members of different components, in one block or across two, that pass the sketch test."""
+def _blocks(share: int, forest: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs of members of different components, in one block or across two, that pass the sketch test; as a forest: each pair joins its two components for the pairs after it."""
     ones = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-    for batch in batches:
-        out = []
-        for bi, bj, members in zip(batch["bi"], batch["bj"], batch["members"], strict=True):
-            ids = np.array([m["rep"] for m in members])
-            at, n, block = (np.array([m[c] for m in members]) for c in ("at", "n", "block"))
-            odd = np.array([m["odd"] for m in members], dtype=np.int64).view(np.uint8)
-            full = np.frombuffer(b"".join(m["parity"] for m in members), dtype=np.uint8).reshape(len(ids), -1)
-            rows = np.flatnonzero(block == bi)
-            cols = rows if bi == bj else np.flatnonzero(block == bj)
-            for r in rows:
-                c = cols[cols > r] if bi == bj else cols
-                c = c[(at[c] != at[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * SHARE)]
-                if len(c):
-                    c = c[ones[odd[c] ^ odd[r]].sum(axis=1) <= MOST_BITS]
-                    c = c[ones[full[c] ^ full[r]].sum(axis=1) * (100 + SHARE) <= (n[c] + n[r]) * (100 - SHARE)]
-                    out += [(min(ids[r], ids[x]), max(ids[r], ids[x])) for x in c]
-        yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-
-def near_groups(docs: DataFrame) -> DataFrame:
+    most = most_bits(share)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for bi, bj, members in zip(batch["bi"], batch["bj"], batch["members"], strict=True):
+                ids = np.array([m["rep"] for m in members])
+                at, n, block = (np.array([m[c] for m in members]) for c in ("at", "n", "block"))
+                odd = np.array([m["odd"] for m in members], dtype=np.int64).view(np.uint8)
+                full = np.frombuffer(b"".join(m["parity"] for m in members), dtype=np.uint8).reshape(len(ids), -1)
+                rows = np.flatnonzero(block == bi)
+                cols = rows if bi == bj else np.flatnonzero(block == bj)
+                for r in rows:
+                    c = cols[cols > r] if bi == bj else cols
+                    c = c[(at[c] != at[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * share)]
+                    if len(c):
+                        c = c[ones[odd[c] ^ odd[r]].sum(axis=1) <= most]
+                        differ = ones[full[c] ^ full[r]].sum(axis=1)
+                        near = differ * (100 + share) <= (n[c] + n[r]) * (100 - share)
+                        c, differ = c[near], differ[near]
+                        if forest and len(c):
+                            c = c[np.argsort(differ / (n[c] + n[r]), kind="stable")]
+                            c = c[np.unique(at[c], return_index=True)[1]]
+                            at[np.isin(at, at[c])] = at[r]
+                        out += [(min(ids[r], ids[x]), max(ids[r], ids[x])) for x in c]
+            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _rest(held: DataFrame, reps: DataFrame, labels: DataFrame, share: int, forest: bool) -> DataFrame:
+    """(a, b): pairs of _blocks in the buckets whose members are in several components."""
+    crowd = held.where("size > 2").select("key", "rep", "size").join(labels.withColumnsRenamed({"id": "rep", "component": "at"}), "rep", "left").withColumn("at", F.coalesce("at", "rep"))
+    mixed_keys = crowd.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("key")
+    rest = crowd.join(mixed_keys, "key").join(reps.select("rep", "n", "odd", "parity"), "rep")
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    rest = rest.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+    blocks = rest.groupBy("key", "bi", "bj").agg(F.collect_list(F.struct("rep", "at", "n", "odd", "parity", "block")).alias("members"))
+    return blocks.where(F.size("members") > 1).select("bi", "bj", "members").mapInPandas(_blocks(share, forest), "a long, b long").distinct()
+
+
+def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    found = staged(features(docs), "features")
+    found = staged(features(docs, share), "features")
     full = found.where("n > 0 and doc_id is not null")
     classes = full.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     members = full.select(F.col("doc_id").alias("rep"), "sig", "n", "bands", "odd", "parity").join(classes, ["rep", "sig"])
@@ -187,26 +229,24 @@ def near_groups(docs: DataFrame) -> DataFrame:
     held = staged(banded.join(buckets, "key"), "buckets")
     sketch = lambda name: reps.select(F.col("rep").alias(name), F.struct("n", "odd").alias(f"s{name}"))
     stars = held.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = stars.join(sketch("a"), "a").join(sketch("b"), "b").where(_near("sa", "sb")).select("a", "b")
-    links = confirmed(docs, staged(tested, "pairs"))
+    tested = stars.join(sketch("a"), "a").join(sketch("b"), "b").where(_near("sa", "sb", share)).select("a", "b")
+    links = confirmed(docs, staged(tested, "pairs"), share)
     first = staged(components(links), "first")
 
-    crowd = held.where("size > 2").select("key", "rep", "size").join(first.withColumnsRenamed({"id": "rep", "component": "at"}), "rep", "left").withColumn("at", F.coalesce("at", "rep"))
-    mixed_keys = crowd.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("key")
-    rest = crowd.join(mixed_keys, "key").join(reps.select("rep", "n", "odd", "parity"), "rep")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rest = rest.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    blocks = rest.groupBy("key", "bi", "bj").agg(F.collect_list(F.struct("rep", "at", "n", "odd", "parity", "block")).alias("members"))
-    more = staged(blocks.where(F.size("members") > 1).select("bi", "bj", "members").mapInPandas(_blocks, "a long, b long").distinct(), "rest")
-    more = staged(more.join(stars, ["a", "b"], "left_anti"), "rest")
-    labels = first
-    if not more.isEmpty():
-        at = lambda name: first.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
-        joined = confirmed(docs, more).join(at("a"), "a", "left").join(at("b"), "b", "left")
+    labels, tested = first, stars
+    for turn in range(FORESTS + 1):
+        more = staged(_rest(held, reps, labels, share, turn < FORESTS), "rest")
+        if more.isEmpty():
+            break
+        more = staged(more.join(tested, ["a", "b"], "left_anti"), "rest")
+        if more.isEmpty():
+            continue
+        tested = tested.union(more)
+        at = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))  # noqa: B023, E731
+        joined = confirmed(docs, more, share).join(at("a"), "a", "left").join(at("b"), "b", "left")
         second = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        both = first.select("id", "component").join(second.select(F.col("component").alias("top"), F.col("id").alias("component")), "component", "full")
-        labels = both.select(F.coalesce("id", "component").alias("id"), F.coalesce("top", "component").alias("component"))
+        both = labels.select("id", "component").join(second.select(F.col("component").alias("top"), F.col("id").alias("component")), "component", "full")
+        labels = staged(both.select(F.coalesce("id", "component").alias("id"), F.coalesce("top", "component").alias("component")), "merged")
     by_class = reps.select("rep", "sig").join(labels, reps["rep"] == labels["id"], "left").select("sig", F.coalesce("component", "rep").alias("component"))
     by_class = staged(by_class, "classes")
     rows = found.select("doc_id", "n", "sig").join(by_class, "sig", "left")
@@ -214,13 +254,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, share: int = STAGE_SHARE) -> DataFrame:
     """The rows of docs that stay, all columns: one document of each group."""
-    return by_ids(docs, near_groups(docs).where("not kept").select("doc_id"), "left_anti")
+    return by_ids(docs, near_groups(docs, share).where("not kept").select("doc_id"), "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), SHARE)
 
 
 OP9_SQL = r"""

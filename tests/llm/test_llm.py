@@ -131,6 +131,24 @@ def test_near_groups(spark):
     assert near.near_groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_near_stage_takes_080(spark):
+    """Near copies between 0.80 and 0.85 go in the pipeline's stage; op9 leaves them apart."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for k in range(60):
+        base = [word() for _ in range(104)]  # 100 shingles
+        own = list(base)
+        for at in (20, 70):  # 10 of them: 90 / 110 = 0.818
+            own[at] = word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+    docs = docs_of(spark, rows)
+    assert {r["doc_id"] for r in near.keep_one(docs).collect()} == {2 * k for k in range(60)}
+    assert near.near_groups(docs).where("kept").count() == 120
+    for share in (80, 85):
+        assert (1 - (share / 100) ** near.ROWS) ** near.n_bands(share) <= near.MISSED
+
+
 def test_components_on_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1030)] + [(5, 5)]
     got = {r["id"]: r["component"] for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
