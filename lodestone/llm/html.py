@@ -3,12 +3,12 @@
 A wrapper is a union-free regular expression over a page's token stream, kept as a tree: elements, text slots, and marks for optional (?) and
 repeated (+) parts. Inference is iterative alignment: a page is folded into an expression (equal neighbours become repeated groups, also runs of up to PERIOD
 different elements), then aligned with the wrapper so far; where they differ, the part that one side lacks becomes optional, and texts that differ become slots, while
-a text that all pages share stays a constant. Alignment runs inside each partition first, then over SALTS groups of a host, then over the host, so a host with
+a text that all pages share stays a constant; each part counts the pages that hold it. Alignment runs inside each partition first, then over SALTS groups of a host, then over the host, so a host with
 a third of all pages costs one small expression a partition.
 
 A page is then read along its host's wrapper. The main region is what lies in article or main elements where the wrapper has them, else the body. From it go
-menus, headers, footers, sidebars, notices, adverts, forms and comments (by element and class names), constants of the wrapper (where other slots vary, on
-TEMPLATE_PAGES pages or more), and, outside articles, blocks that are mostly links.
+menus, headers, footers, sidebars, notices, adverts, forms and comments (by element and class names), constants of the wrapper (where other slots vary, and
+TEMPLATE_PAGES pages or more and TEMPLATE_SHARE of the host's hold them), and, outside articles, blocks that are mostly links.
 
 Defined cases: null html gives an empty text; null url is a host of its own; broken and cut-off markup is read as far as it goes (a cut tag is dropped, open elements end
 with the page); repeated pages give a row each; an expression with more than WIDE children in one place becomes a wildcard there, where names alone decide.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches, staged, table
 
-PERIOD, SALTS, WIDE, TEMPLATE_PAGES, HOSTS = 4, 32, 64, 5, 2000
+PERIOD, SALTS, WIDE, TEMPLATE_PAGES, TEMPLATE_SHARE, HOSTS = 4, 32, 64, 5, 0.5, 2000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Element and class names of HTML practice.
@@ -116,32 +116,37 @@ def parse(page: str) -> list:
     return root
 
 
-# An expression: [label, children, optional, repeated, text]; text: of a constant slot, else None. A group of several repeated elements is labelled "()".
+# An expression: [label, children, optional, repeated, text, pages]; text: of a constant slot, else None; pages: how many hold it. A group of several repeated elements is labelled "()".
 
 
 def folded(node: list) -> list:
     if node[0] == "#":
-        return ["#", [], 0, 0, node[1]]
-    return [node[0], collapsed([folded(c) for c in node[1]]), 0, 0, None]
+        return ["#", [], 0, 0, node[1], 1]
+    return [node[0], collapsed([folded(c) for c in node[1]]), 0, 0, None, 1]
 
 
-def merged(a: list, b: list) -> list:
-    """The least expression of this form that covers both."""
+def merged(a: list, b: list, across: bool = True) -> list:
+    """The least expression of this form that covers both. across: a and b are of different pages, so their pages add up; parts of one page
+    (or of pages that may be the same) count no page twice."""
     text = a[4] if a[4] == b[4] else None
-    children = a[1] if a[1] == b[1] else aligned(a[1], b[1])
-    return [a[0], children, a[2] | b[2], a[3] | b[3], text]
+    children = a[1] if not across and a[1] == b[1] else aligned(a[1], b[1], across)
+    return [a[0], children, a[2] | b[2], a[3] | b[3], text, a[5] + b[5] if across else max(a[5], b[5])]
 
 
 def _key(e: list) -> str:
     return e[0] if e[0] != "()" else "()" + ",".join(_key(c) for c in e[1])
 
 
+def _group(items: list) -> list:
+    return ["()", items, 0, 1, None, max(e[5] for e in items)]
+
+
 def collapsed(items: list) -> list:
     """Equal neighbours, and equal neighbouring runs, as repeated parts."""
     out: list = []
     for e in items:
         if out and _key(out[-1]) == _key(e):
-            out[-1] = merged(out[-1], e)
+            out[-1] = merged(out[-1], e, False)
             out[-1][3] = 1
         else:
             out.append(e)
@@ -150,23 +155,23 @@ def collapsed(items: list) -> list:
         while i + 2 * period <= len(out):
             keys = [_key(e) for e in out[i : i + 2 * period]]
             if keys[:period] == keys[period:]:
-                group = ["()", out[i : i + period], 0, 1, None]
+                group = _group(out[i : i + period])
                 j = i + period
                 while [_key(e) for e in out[j : j + period]] == keys[:period]:
-                    group = merged(group, ["()", out[j : j + period], 0, 1, None])
+                    group = merged(group, _group(out[j : j + period]), False)
                     j += period
                 out[i:j] = [group]
             i += 1
-    return out if len(out) <= WIDE else [["*", [], 1, 1, None]]
+    return out if len(out) <= WIDE else [["*", [], 1, 1, None, 0]]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, across: bool = True) -> list:
     """Two child lists as one: a longest common subsequence is merged, the rest becomes optional."""
     ka, kb = [_key(e) for e in a], [_key(e) for e in b]
     if ka == kb:
-        return [merged(x, y) for x, y in zip(a, b, strict=True)]
+        return [merged(x, y, across) for x, y in zip(a, b, strict=True)]
     if "*" in ka or "*" in kb:
-        return [["*", [], 1, 1, None]]
+        return [["*", [], 1, 1, None, 0]]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -175,7 +180,7 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and ka[i] == kb[j]:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], across))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([*a[i][:2], 1, *a[i][3:]])
@@ -186,14 +191,17 @@ def aligned(a: list, b: list) -> list:
     return collapsed(out)
 
 
+def _short(text: str) -> str:
+    if len(text) <= 48:
+        return text
+    import xxhash
+
+    return "\0" + xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _constants_shortened(e: list) -> list:
     """Long constant texts by digest, so that an expression stays small."""
-    text = e[4]
-    if text is not None and len(text) > 48:
-        import xxhash
-
-        text = "\0" + xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
-    return [e[0], [_constants_shortened(c) for c in e[1]], e[2], e[3], text]
+    return [e[0], [_constants_shortened(c) for c in e[1]], e[2], e[3], None if e[4] is None else _short(e[4]), e[5]]
 
 
 def _away(label: str, in_main: bool) -> bool:
@@ -225,6 +233,7 @@ class Wrapper:
             _survey(expression, False, found)
         self.has_main = found.get("main", False)
         # constants are template text only where something else varies
+        self.least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * pages)
         self.drops = {inside: pages >= TEMPLATE_PAGES and found.get(("varies", inside), False) for inside in (True, False)}
 
     def text(self, page: str | None) -> str:
@@ -249,7 +258,7 @@ class Wrapper:
             if child[0] == "#":
                 if need_main and not in_main:
                     continue
-                constant = slot is not None and slot[4] is not None and not slot[3] and self.drops[in_main]
+                constant = slot is not None and slot[4] is not None and not slot[3] and slot[5] >= self.least and self.drops[in_main] and slot[4] == _short(child[1])
                 if not constant and (in_main or 2 * child[2] < len(child[1])):
                     blocks.append(child[1])
             elif not _away(child[0], in_main):

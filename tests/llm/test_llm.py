@@ -251,6 +251,21 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def wrapper_of(pages):
+    import functools
+
+    return html.Wrapper(functools.reduce(html.merged, [html._constants_shortened(html.folded(html.parse(p))) for p in pages]), len(pages))
+
+
+def test_a_block_of_few_pages_is_no_template():
+    shell = "<html><body><article><h1>t{i}</h1><p>text {i}</p>{extra}<div>Read on in print</div></article></body></html>"
+    pages = [shell.format(i=i, extra="<blockquote>said once</blockquote><h3>of one page</h3>" if i == 4 else "<pre>pre of three</pre>" if i > 16 else "") for i in range(20)]
+    wrapper = wrapper_of(pages)
+    assert [wrapper.text(pages[i]) for i in (4, 5, 18)] == ["t4 text 4 said once of one page", "t5 text 5", "t18 text 18 pre of three"]
+    one = wrapper_of([f"<article><p>a {i}</p><ul><li><b>x</b><p>twice in a page</p></li><li><p>twice in a page</p></li></ul></article>" if i < 3 else f"<article><p>a {i}</p></article>" for i in range(6)])
+    assert "twice in a page" in one.text("<article><p>a 1</p><ul><li><p>twice in a page</p></li></ul></article>")
+
+
 def test_wrapper_inference():
     e = lambda s: html.folded(html.parse(s))
     w = html.merged(e("<ul><li>a</li><li>b</li></ul><p>x</p>"), e("<ul><li>a</li></ul><h2>t</h2><p>y</p>"))
