@@ -11,7 +11,8 @@ menus, headers, footers, sidebars, notices, adverts, forms and comments (by elem
 TEMPLATE_PAGES pages or more and TEMPLATE_SHARE of the host's hold them), and, outside articles, blocks that are mostly links.
 
 Defined cases: null html gives an empty text; null url is a host of its own; broken and cut-off markup is read as far as it goes (a cut tag is dropped, open elements end
-with the page); repeated pages give a row each; an expression with more than WIDE children in one place becomes a wildcard there, where names alone decide.
+with the page); repeated pages give a row each; where a place has more than WIDE parts, those that may be held by one page in RARE or fewer fold into a wildcard beside the others, by
+lossy counting: a part counts at most one page in RARE too few, so none that is template text or the main region goes, however wide the pages or large the host.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches, staged, table
 
-PERIOD, SALTS, WIDE, TEMPLATE_PAGES, TEMPLATE_SHARE, HOSTS = 4, 32, 64, 5, 0.5, 2000
+PERIOD, SALTS, WIDE, RARE, TEMPLATE_PAGES, TEMPLATE_SHARE, HOSTS = 4, 32, 64, 16, 5, 0.5, 2000
+#: Cells of an alignment table held at once.
+CELLS = 1 << 24
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Element and class names of HTML practice.
@@ -116,21 +120,39 @@ def parse(page: str) -> list:
     return root
 
 
-# An expression: [label, children, optional, repeated, text, pages]; text: of a constant slot, else None; pages: how many hold it. A group of several repeated elements is labelled "()".
+# An expression: [label, children, optional, repeated, text, pages, missed]; text: of a constant slot, else None; pages: how many hold it; missed: at most
+# so many more may have held it before it was counted. Rare parts that are no longer told apart are one part "*", the last of its list. A group of several repeated elements is labelled "()".
+
+
+#: Rare parts: a text that varies, for _survey.
+REST = ["*", [["#", [], 1, 1, None, 0, 0]], 1, 1, None, 0, 0]
 
 
 def folded(node: list) -> list:
     if node[0] == "#":
-        return ["#", [], 0, 0, node[1], 1]
-    return [node[0], collapsed([folded(c) for c in node[1]]), 0, 0, None, 1]
+        return ["#", [], 0, 0, node[1], 1, 0]
+    return [node[0], collapsed([folded(c) for c in node[1]]), 0, 0, None, 1, 0]
 
 
 def merged(a: list, b: list, across: bool = True) -> list:
     """The least expression of this form that covers both. across: a and b are of different pages, so their pages add up; parts of one page
     (or of pages that may be the same) count no page twice."""
     text = a[4] if a[4] == b[4] else None
-    children = a[1] if not across and a[1] == b[1] else aligned(a[1], b[1], across)
-    return [a[0], children, a[2] | b[2], a[3] | b[3], text, a[5] + b[5] if across else max(a[5], b[5])]
+    pages, missed = (a[5] + b[5], a[6] + b[6]) if across else (max(a[5], b[5]), max(a[6], b[6]))
+    children = a[1] if not across and a[1] == b[1] else aligned(a[1], b[1], a[5] if across else 0, b[5] if across else 0)
+    return [a[0], _rare_folded(children, pages) if across else children, a[2] | b[2], a[3] | b[3], text, pages, missed]
+
+
+def _rare_folded(items: list, pages: int) -> list:
+    """items of an element on so many pages, the rare ones as a wildcard where they are more than WIDE."""
+    if len(items) <= WIDE:
+        return items
+    kept = [e for e in items if e[0] == "*" or (e[5] + e[6]) * RARE > pages or _holds_main(e)]
+    return kept if len(kept) == len(items) else [*(e for e in kept if e[0] != "*"), REST]
+
+
+def _holds_main(e: list) -> bool:
+    return _main(e[0]) or any(_holds_main(c) for c in e[1])
 
 
 def _key(e: list) -> str:
@@ -138,7 +160,7 @@ def _key(e: list) -> str:
 
 
 def _group(items: list) -> list:
-    return ["()", items, 0, 1, None, max(e[5] for e in items)]
+    return ["()", items, 0, 1, None, max(e[5] for e in items), max(e[6] for e in items)]
 
 
 def collapsed(items: list) -> list:
@@ -162,33 +184,61 @@ def collapsed(items: list) -> list:
                     j += period
                 out[i:j] = [group]
             i += 1
-    return out if len(out) <= WIDE else [["*", [], 1, 1, None, 0]]
-
-
-def aligned(a: list, b: list, across: bool = True) -> list:
-    """Two child lists as one: a longest common subsequence is merged, the rest becomes optional."""
-    ka, kb = [_key(e) for e in a], [_key(e) for e in b]
-    if ka == kb:
-        return [merged(x, y, across) for x, y in zip(a, b, strict=True)]
-    if "*" in ka or "*" in kb:
-        return [["*", [], 1, 1, None, 0]]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(merged(a[i], b[j], across))
+    return out
+
+
+def _pairs(ka: np.ndarray, kb: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    n, m = len(ka), len(kb)
+    if n * m > CELLS and n > 1:  # halves of ka, with the split of kb that keeps the length
+        half = n // 2
+        head, tail = _lengths(ka[:half], kb)[-1], _lengths(ka[half:][::-1], kb[::-1])[-1][::-1]
+        at = int(np.argmax(head.astype(np.int64) + tail))
+        return _pairs(ka[:half], kb[:at]) + [(i + half, j + at) for i, j in _pairs(ka[half:], kb[at:])]
+    best = _lengths(ka[::-1], kb[::-1], True)[::-1, ::-1]
+    found, i, j = [], 0, 0
+    while i < n and j < m:
+        if ka[i] == kb[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:2], 1, *a[i][3:]])
+        elif best[i + 1, j] >= best[i, j + 1]:
             i += 1
         else:
-            out.append([*b[j][:2], 1, *b[j][3:]])
             j += 1
-    return collapsed(out)
+    return found
+
+
+def _lengths(ka: np.ndarray, kb: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Lengths of longest common subsequences of the first i and first j keys, for all i or only the last."""
+    table = np.zeros((len(ka) + 1 if whole else 2, len(kb) + 1), dtype=np.int32)
+    for i, key in enumerate(ka):
+        above, row = (table[i], table[i + 1]) if whole else (table[i % 2], table[(i + 1) % 2])
+        np.maximum(above[1:], above[:-1] + (kb == key), out=row[1:])
+        np.maximum.accumulate(row, out=row)
+    return table if whole or len(ka) % 2 else table[::-1]
+
+
+def aligned(a: list, b: list, pages_a: int = 0, pages_b: int = 0) -> list:
+    """Two child lists as one: a longest common subsequence is merged, the rest becomes optional. pages: of their parents, where these are of different pages."""
+    across = pages_a > 0
+    rest_a, rest_b = (bool(x) and x[-1][0] == "*" for x in (a, b))
+    a, b = a[:-1] if rest_a else a, b[:-1] if rest_b else b
+    ka, kb = [_key(e) for e in a], [_key(e) for e in b]
+    if ka == kb:
+        out = [merged(x, y, across) for x, y in zip(a, b, strict=True)]
+    else:
+        number: dict[str, int] = {}
+        same = _pairs(*(np.array([number.setdefault(k, len(number)) for k in keys], dtype=np.int64) for keys in (ka, kb)))
+        # what one side lacks it may have had among its rare parts
+        missed_a, missed_b = pages_a // RARE * rest_a, pages_b // RARE * rest_b
+        out, i, j = [], 0, 0
+        for x, y in [*same, (len(a), len(b))]:
+            out += [[*e[:2], 1, *e[3:6], e[6] + missed_b] for e in a[i:x]] + [[*e[:2], 1, *e[3:6], e[6] + missed_a] for e in b[j:y]]
+            if x < len(a):
+                out.append(merged(a[x], b[y], across))
+            i, j = x + 1, y + 1
+        out = collapsed(out)
+    return [*out, REST] if rest_a or rest_b else out
 
 
 def _short(text: str) -> str:
@@ -201,7 +251,7 @@ def _short(text: str) -> str:
 
 def _constants_shortened(e: list) -> list:
     """Long constant texts by digest, so that an expression stays small."""
-    return [e[0], [_constants_shortened(c) for c in e[1]], e[2], e[3], None if e[4] is None else _short(e[4]), e[5]]
+    return [e[0], [_constants_shortened(c) for c in e[1]], e[2], e[3], None if e[4] is None else _short(e[4]), *e[5:]]
 
 
 def _away(label: str, in_main: bool) -> bool:
@@ -247,10 +297,11 @@ class Wrapper:
 
     def _read(self, node: list, e: list | None, in_main: bool, need_main: bool, blocks: list[str]) -> None:
         slots = _flat(e[1]) if e else []
+        labels = {x[0] for x in slots}
         at = 0
         for child in node[1]:
             slot = None
-            for k in range(len(slots)):  # the wrapper's next place of this label; repeated groups come round again
+            for k in range(len(slots) if child[0] in labels else 0):  # the wrapper's next place of this label; repeated groups come round again
                 if slots[(at + k) % len(slots)][0] == child[0]:
                     at = (at + k) % len(slots)
                     slot = slots[at]

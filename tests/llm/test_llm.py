@@ -266,6 +266,35 @@ def test_a_block_of_few_pages_is_no_template():
     assert "twice in a page" in one.text("<article><p>a 1</p><ul><li><p>twice in a page</p></li></ul></article>")
 
 
+def test_wide_pages_keep_the_wrapper():
+    """One wide page, or optional parts that add up over many pages, do not change what comes out of the others."""
+    kinds = lambda n, at: "".join(f"<section class='{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x'><p>own {at}</p></section>" for k in range(at, at + n))
+    shell = "<body>{own}<div class='qq'>All rights</div><div><p>words outside {i}</p></div><article><p>text {i}</p><div>Read on in print</div></article></body>"
+    for pages in (
+        [shell.format(i=i, own=kinds(300, 0) if i == 3 else "") for i in range(12)],
+        [shell.format(i=i, own=kinds(3, 3 * i)) for i in range(200)],
+        [shell.format(i=i, own=kinds(80, 0)) for i in range(40)],
+    ):
+        wrapper = wrapper_of(pages)
+        assert wrapper.has_main and {wrapper.text(p) for p in pages} == {f"text {i}" for i in range(len(pages))}
+    many = wrapper_of([shell.format(i=i, own=kinds(3, 3 * i)) for i in range(200)])
+    assert len(many.expression[1][0][1]) <= 3 * html.WIDE
+
+
+def test_longest_common_subsequence(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 3), (1, 1), (7, 9), (40, 31)):
+        a, b = rng.integers(0, 4, n), rng.integers(0, 4, m)
+        want = html._pairs(a, b)
+        monkeypatch.setattr(html, "CELLS", 20)
+        split = html._pairs(a, b)
+        monkeypatch.undo()
+        for found in (want, split):
+            assert len(found) == len(want) == int(html._lengths(a, b)[-1][-1]) and all(a[i] == b[j] for i, j in found) and found == sorted(found)
+
+
 def test_wrapper_inference():
     e = lambda s: html.folded(html.parse(s))
     w = html.merged(e("<ul><li>a</li><li>b</li></ul><p>x</p>"), e("<ul><li>a</li></ul><h2>t</h2><p>y</p>"))
