@@ -183,6 +183,25 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize(("n", "trials"), [(20, 200), (60, 150), (100, 100), (200, 80)])
+def test_candidates_at_all_allowed_edits(n, trials):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    texts = [[word() for _ in range(n)] for _ in range(trials)]
+    items, hashes, windows, of = decontam.Items([(i, " ".join(w)) for i, w in enumerate(texts)]), decontam.WordHashes(), [], []
+    for i, w in enumerate(texts):
+        own = list(w)
+        for _ in range(decontam.edits_allowed(n)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[word()], [], [own[at], word()]])
+        doc = hashes.of([x.encode() for x in [*(word() for _ in range(30)), *own, *(word() for _ in range(2 * n))]])
+        for start, size in sorted(items.windows(doc)):
+            windows.append(doc[start : start + size])
+            of.append(i)
+    met = {i for i, ks in zip(of, items.candidates(windows, [n] * len(of)), strict=True) if i in ks}
+    assert len(met) >= trials - 1
+
+
 def test_best_stretch():
     import numpy as np
 
