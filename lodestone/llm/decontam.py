@@ -14,7 +14,8 @@ Candidates are verified by exact edit distance (the item against any stretch aro
 The benchmark is broadcast: its size is checked, and beyond MAX_ITEM_WORDS words it is applied in blocks, one pass over the documents for each.
 
 Defined cases: words are lower-cased and free of ASCII punctuation; null or empty texts and items without a word match nothing; very long texts are
-read whole; a document that holds an item twice gives its best stretch, the first of equals; repeated document rows give a row each.
+read whole; a document that holds an item twice gives its best stretch, the first of equals; repeated document rows give a row each. clean judges each row by its own
+text, so of rows that share a doc_id, or have none, just the contaminated ones go. An empty benchmark or table finds nothing.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import body, by_ids, small_batches, table
+from lodestone.llm.common import KEYS, body, by_keys, keyed, small_batches, staged, table
 from lodestone.llm.tokens import WordHashes, mixed, runs
 
 EDITS, SAMPLED, SEED, RECALL = 0.2, 2, 5, 0.999
 MAX_ITEM_WORDS, FLUSH = 400_000, 20_000
 _PUNCTUATION = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 _PAD = np.uint64(0)
-OUT = "doc_id long, item_id long, distance int, start_word long, end_word long"
+OUT = f"{KEYS[0]} long, {KEYS[1]} long, doc_id long, item_id long, distance int, start_word long, end_word long"
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -169,11 +170,11 @@ def _scan(items: Items):
                     if cost <= slack and (best is None or cost < best[0]):
                         best = (cost, a + x, a + y)
                 if best:
-                    rows.append((doc, items.ids[k], *best))
-            return pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start_word", "end_word"]).astype({"doc_id": "Int64"})
+                    rows.append((*doc, items.ids[k], *best))
+            return pd.DataFrame(rows, columns=[*KEYS, "doc_id", "item_id", "distance", "start_word", "end_word"]).astype({"doc_id": "Int64"})
 
         for b in batches:
-            for doc, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
+            for *doc, text in zip(b[KEYS[0]], b[KEYS[1]], b["doc_id"].astype("Int64"), b["text"], strict=True):
                 words = hashes.of(plain_words(text))
                 if spans := items.windows(words):
                     waiting.append((doc, words, spans))
@@ -187,28 +188,34 @@ def _scan(items: Items):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> list[Items]:
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """Blocks of the benchmark, one at a time on the driver."""
     rows = benchmark.select("item_id", body().alias("text")).where("length(text) > 0")
     sized = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-sized // (6 * MAX_ITEM_WORDS)))
-    parts = (rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n))
-    return [Items([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
+    for i in range(n):
+        yield Items([(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, distance, start_word, end_word of each contaminated (document, item)."""
+def found_in(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of matches, with the KEYS of the document's row."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    rows = keyed(docs).select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
     out = None
     for items in _blocks(benchmark):
-        part = rows.mapInPandas(_scan(items), OUT)
+        part = staged(rows.mapInPandas(_scan(items), OUT), "matches")  # so that the driver need not hold this block on
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, distance, start_word, end_word of each contaminated (document, item)."""
+    return found_in(docs, benchmark).drop(*KEYS)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns."""
-    return by_ids(docs, matches(docs, benchmark).select("doc_id"), "left_anti")
+    return by_keys(keyed(docs), found_in(docs, benchmark), "left_anti").drop(*KEYS)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

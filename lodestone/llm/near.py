@@ -7,18 +7,19 @@ Documents are sets of 5-word shingles (64-bit hashes); two are linked where 100
    (26 at 85, 41 at 80).
 3. The same samples fold into an odd sketch: a parity bitmap of BITS bits. The population count of two sketches' XOR estimates their
    similarity; what may be SPREAD standard deviations below the share passes (0.69 at 85, 0.65 at 80).
-4. Star round: each band bucket proposes (smallest id, member) pairs only, a number linear in the bucket. Survivors of the sketch test are
+4. Star round: each band bucket proposes (smallest row, member) pairs only, a number linear in the bucket. Survivors of the sketch test are
    confirmed on full shingle sets.
-5. Rest round: buckets whose members are still in several components compare members of different components, in blocks of
-   BLOCK members a side, so that no link between components is lost and no task holds more than 2 * BLOCK sketches of a bucket. Members of one component need no further pair.
-   Here a second bitmap, the parities of the full set, is an exact bound: each shingle that only one of two sets has flips one bit, so a population count above
-   what a link may differ by rules the pair out. In the first FORESTS turns a block gives pairs that would join its components, at most one fewer than
-   it has of these, and what they link is one component in the next turn. The last turn gives all pairs that are left, so no link between components is lost:
-   what is left for confirmation is near misses, not the pairs of a crowd.
+5. Rest round, for buckets whose members are still in several components. A task compares members of different components by odd sketch and by the parities of the
+   full sets, an exact bound (each shingle that only one of two sets has flips one bit, so a population count above what a link may differ by rules the pair out), in blocks of
+   BLOCK members a side, and gives out the members that are in a pair that passes: rows linear in the members. A pair counts in the first bucket that it shares only.
+   These members meet again with their full sets, in blocks of BLOCK members and BLOCK_SHINGLES shingles a side; there each pair that passes is confirmed exactly in the
+   task, unless links found before have joined its components, and a link is given out: fewer than the components that the block holds. No pair of different components goes
+   untested, so no link between components is lost, and no task gives out the pairs of a crowd.
 6. Components by contraction in rounds, each of which is a few shuffles of what edges are left.
 
-Defined cases: null or empty text has an empty set, links with nothing and is its own component; a null doc_id is dropped from linking and is its own (null) component;
-rows that share doc_id count as one document for linking, with the text of the row whose set digest is smallest.
+Defined cases: null or empty text has an empty set, links with nothing and is its own component; very long texts are read whole; rows are linked as rows, so rows that share a doc_id link by their own texts, and
+rows with a null doc_id link too. component_id is the smallest doc_id reachable, null where no row of the component has one. One row of a component is kept: one with that doc_id,
+or, where ids are null, any one; rows without words are all kept.
 """
 
 from __future__ import annotations
@@ -30,18 +31,19 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import body, by_ids, small_batches, staged, table
+from lodestone.llm.common import KEYS, body, by_keys, kept_rows, keyed, met, small_batches, staged, table
 from lodestone.llm.tokens import WordHashes, mixed, shingles, words_of
 
-ROWS, BITS, BLOCK = 6, 512, 1024
+ROWS, BITS = 6, 512
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 #: Bits of the parities of a full set.
 FULL_BITS = 4096
 #: Shares in hundredths: of op9, and of a stage without a contract of its own.
 SHARE, STAGE_SHARE = 85, 80
-MISSED, SPREAD, FORESTS = 5e-6, 5.75, 2
+MISSED, SPREAD = 5e-6, 5.75
 
 
 def n_bands(share: int) -> int:
@@ -92,7 +94,7 @@ def full_parities(found: np.ndarray) -> bytes:
 
 
 def features(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """doc_id, n, sig, bands, odd, parity; the last four null for empty sets."""
+    """row (a number), the row's KEYS, doc_id, n, sig, bands, odd, parity; the last four null for empty sets."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,22 +109,28 @@ def features(docs: DataFrame, share: int = SHARE) -> DataFrame:
                 else:
                     rows.append((0, None, None, None, None))
             out = pd.DataFrame(rows, columns=["n", "sig", "bands", "odd", "parity"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
+            for at, name in enumerate(("row", *KEYS, "doc_id")):
+                out.insert(at, name, b[name].astype("Int64").array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInPandas(run, "doc_id long, n long, sig binary, bands array<long>, odd array<long>, parity binary")
+    rows = keyed(docs).select(F.monotonically_increasing_id().alias("row"), *KEYS, F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    return rows.mapInPandas(run, f"row long, {KEYS[0]} long, {KEYS[1]} long, doc_id long, n long, sig binary, bands array<long>, odd array<long>, parity binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and its shingles (sorted), of reps (rep, KEYS)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "found": [shingles(hashes.of(words_of(t))).view(np.int64) for t in b["text"]]})
+            out = b[list(KEYS)].copy()
+            out["found"] = [shingles(hashes.of(words_of(t))).view(np.int64) for t in b["text"]]
+            yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    return by_ids(rows, ids, "left_semi").mapInPandas(run, "doc_id long, found array<long>")
+    rows = by_keys(keyed(docs), reps, "left_semi").select(*KEYS, body().alias("text"))
+    found = rows.mapInPandas(run, f"{KEYS[0]} long, {KEYS[1]} long, found array<long>").dropDuplicates(list(KEYS))
+    return reps.select("rep", *KEYS).distinct().join(found, list(KEYS)).select("rep", "found")
 
 
 def _near(x: str, y: str, share: int):
@@ -132,11 +140,11 @@ def _near(x: str, y: str, share: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * share) & (differ <= most_bits(share))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the share."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    sets = staged(_sets(docs, ids).dropDuplicates(["doc_id"]), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("fa")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("fb"))
+def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
+    """The pairs (a, b) of representatives whose full shingle sets reach the share."""
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = staged(sets_of(docs, reps.join(ends, "rep", "left_semi")), "sets")
+    left, right = sets.select(F.col("rep").alias("a"), F.col("found").alias("fa")), sets.select(F.col("rep").alias("b"), F.col("found").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb")).alias("sum"))
     return found.where(100 * F.col("both") >= share * (F.col("sum") - F.col("both"))).select("a", "b")
@@ -170,59 +178,113 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return labels.join(least, "at").select("id", "component")
 
 
-def _blocks(share: int, forest: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs of members of different components, in one block or across two, that pass the sketch test; as a forest: each pair joins its two components for the pairs after it."""
-    ones = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-    most = most_bits(share)
-
+def _groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows equal in keys, of batches sorted by them."""
+    parts, current = [], None
+    for b in batches:
+        if not len(b):
+            continue
+        values = b[keys].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+        for start, end in zip(starts, np.r_[starts[1:], len(b)], strict=True):
+            if parts and tuple(values[start]) != current:
+                yield pd.concat(parts, ignore_index=True)
+                parts = []
+            current = tuple(values[start])
+            parts.append(b.iloc[start:end])
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
+
+
+class Block:
+    """Members of a bucket, of one block or of two."""
+
+    def __init__(self, members: pd.DataFrame, share: int) -> None:
+        self.share, self.most, self.key = share, most_bits(share), members["key"][0]
+        self.rep, self.at, self.n = (members[c].to_numpy(np.int64) for c in ("rep", "at", "n"))
+        self.odd = np.array(members["odd"].tolist(), dtype=np.int64).view(np.uint64)
+        self.parity = np.frombuffer(b"".join(members["parity"]), dtype=np.uint64).reshape(len(members), -1)
+        self.bands = np.array(members["bands"].tolist(), dtype=np.int64)
+        self.block, self.sides = members["block"].to_numpy(), (members["bi"][0], members["bj"][0])
+
+    def passing(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A member and those with which it is in different components now, may be linked, and shares no earlier bucket."""
+        bi, bj = self.sides
+        rows = np.flatnonzero(self.block == bi)
+        others = rows if bi == bj else np.flatnonzero(self.block == bj)
+        for r in rows:
+            c = others[others > r] if bi == bj else others
+            n = self.n[c]
+            c = c[(self.at[c] != self.at[r]) & (np.minimum(n, self.n[r]) * 100 >= np.maximum(n, self.n[r]) * self.share)]
+            c = c[np.bitwise_count(self.odd[c] ^ self.odd[r]).sum(axis=1, dtype=np.int64) <= self.most]
+            differ = np.bitwise_count(self.parity[c] ^ self.parity[r]).sum(axis=1, dtype=np.int64)
+            c = c[differ * (100 + self.share) <= (self.n[c] + self.n[r]) * (100 - self.share)]
+            if len(c):
+                c = c[self.bands[r][(self.bands[c] == self.bands[r]).argmax(axis=1)] == self.key]
+                if len(c):
+                    yield r, c
+
+
+def _crowd(share: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for bi, bj, members in zip(batch["bi"], batch["bj"], batch["members"], strict=True):
-                ids = np.array([m["rep"] for m in members])
-                at, n, block = (np.array([m[c] for m in members]) for c in ("at", "n", "block"))
-                odd = np.array([m["odd"] for m in members], dtype=np.int64).view(np.uint8)
-                full = np.frombuffer(b"".join(m["parity"] for m in members), dtype=np.uint8).reshape(len(ids), -1)
-                rows = np.flatnonzero(block == bi)
-                cols = rows if bi == bj else np.flatnonzero(block == bj)
-                for r in rows:
-                    c = cols[cols > r] if bi == bj else cols
-                    c = c[(at[c] != at[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * share)]
-                    if len(c):
-                        c = c[ones[odd[c] ^ odd[r]].sum(axis=1) <= most]
-                        differ = ones[full[c] ^ full[r]].sum(axis=1)
-                        near = differ * (100 + share) <= (n[c] + n[r]) * (100 - share)
-                        c, differ = c[near], differ[near]
-                        if forest and len(c):
-                            c = c[np.argsort(differ / (n[c] + n[r]), kind="stable")]
-                            c = c[np.unique(at[c], return_index=True)[1]]
-                            at[np.isin(at, at[c])] = at[r]
-                        out += [(min(ids[r], ids[x]), max(ids[r], ids[x])) for x in c]
-            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        for members in _groups(batches, ["key", "bi", "bj"]):
+            block, hit = Block(members, share), np.zeros(len(members), dtype=bool)
+            for r, c in block.passing():
+                hit[r] = hit[c] = True
+            yield pd.DataFrame({"key": block.key, "rep": block.rep[hit]}).astype({"key": "int64", "rep": "int64"})
 
     return run
 
 
-def _rest(held: DataFrame, reps: DataFrame, labels: DataFrame, share: int, forest: bool) -> DataFrame:
-    """(a, b): pairs of _blocks in the buckets whose members are in several components."""
-    crowd = held.where("size > 2").select("key", "rep", "size").join(labels.withColumnsRenamed({"id": "rep", "component": "at"}), "rep", "left").withColumn("at", F.coalesce("at", "rep"))
-    mixed_keys = crowd.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("key")
-    rest = crowd.join(mixed_keys, "key").join(reps.select("rep", "n", "odd", "parity"), "rep")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rest = rest.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    blocks = rest.groupBy("key", "bi", "bj").agg(F.collect_list(F.struct("rep", "at", "n", "odd", "parity", "block")).alias("members"))
-    return blocks.where(F.size("members") > 1).select("bi", "bj", "members").mapInPandas(_blocks(share, forest), "a long, b long").distinct()
+def _links(share: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for members in _groups(batches, ["key", "bi", "bj"]):
+            block, out, found = Block(members, share), [], members["found"].tolist()
+            for r, c in block.passing():
+                for x in c:
+                    if block.at[x] != block.at[r]:
+                        both = len(np.intersect1d(found[r], found[x], assume_unique=True))
+                        if 100 * both >= share * (len(found[r]) + len(found[x]) - both):
+                            out.append((block.rep[r], block.rep[x]))
+                            block.at[block.at == block.at[x]] = block.at[r]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
-def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
+    """members (key, rep, ...) to tasks: each of a bucket's blocks with each, by key, bi, bj."""
+    rows = members.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    rows = rows.withColumns({"bi": F.least("block", "_other"), "bj": F.greatest("block", "_other")}).drop("_other")
+    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+
+def _rest(docs: DataFrame, held: DataFrame, reps: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+    """(a, b): links between components, which join all those that links of a bucket's members join."""
+    at = labels.withColumnsRenamed({"id": "rep", "component": "at"})
+    crowd = held.where("size > 2").select("key", "rep").join(at, "rep", "left").withColumn("at", F.coalesce("at", "rep"))
+    several = crowd.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "size")
+    sketched = staged(crowd.join(several, "key").join(reps.select("rep", "n", "odd", "parity", "bands"), "rep"), "crowd")
+    schema = "key long, rep long"
+    crowded = staged(_dealt(sketched, F.ceil(F.col("size") / BLOCK).cast("int")).mapInPandas(_crowd(share), schema).distinct(), "crowded")
+    if crowded.isEmpty():
+        return crowded.select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    again = sketched.drop("size").join(crowded, ["key", "rep"], "left_semi")
+    sizes = again.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sets = staged(sets_of(docs, reps.join(crowded.select("rep").distinct(), "rep", "left_semi")), "sets")
+    whole = again.join(sizes, "key").join(sets, "rep")
+    return _dealt(whole, F.col("blocks")).mapInPandas(_links(share), "a long, b long")
+
+
+def near_groups(docs: DataFrame, share: int = SHARE, keys: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept; with its KEYS if asked for."""
     found = staged(features(docs, share), "features")
-    full = found.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    members = full.select(F.col("doc_id").alias("rep"), "sig", "n", "bands", "odd", "parity").join(classes, ["rep", "sig"])
-    reps = staged(members.groupBy("rep").agg(F.min(F.struct("sig", "n", "bands", "odd", "parity")).alias("m")).select("rep", "m.*"), "reps")
+    full = found.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    classes = full.groupBy("sig").agg(F.min("row").alias("rep"), first.alias("first"), F.count(F.lit(1)).alias("size"))
+    members = full.select(F.col("row").alias("rep"), *KEYS, "n", "bands", "odd", "parity")
+    reps = staged(members.join(classes, "rep"), "reps")
 
     banded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -230,33 +292,27 @@ def near_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
     sketch = lambda name: reps.select(F.col("rep").alias(name), F.struct("n", "odd").alias(f"s{name}"))
     stars = held.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tested = stars.join(sketch("a"), "a").join(sketch("b"), "b").where(_near("sa", "sb", share)).select("a", "b")
-    links = confirmed(docs, staged(tested, "pairs"), share)
-    first = staged(components(links), "first")
+    labels = staged(components(confirmed(docs, reps, staged(tested, "pairs"), share)), "first")
 
-    labels, tested = first, stars
-    for turn in range(FORESTS + 1):
-        more = staged(_rest(held, reps, labels, share, turn < FORESTS), "rest")
-        if more.isEmpty():
-            break
-        more = staged(more.join(tested, ["a", "b"], "left_anti"), "rest")
-        if more.isEmpty():
-            continue
-        tested = tested.union(more)
-        at = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))  # noqa: B023, E731
-        joined = confirmed(docs, more, share).join(at("a"), "a", "left").join(at("b"), "b", "left")
+    more = staged(_rest(docs, held, reps, labels, share), "rest")
+    if not more.isEmpty():
+        at = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
+        joined = more.join(at("a"), "a", "left").join(at("b"), "b", "left")
         second = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         both = labels.select("id", "component").join(second.select(F.col("component").alias("top"), F.col("id").alias("component")), "component", "full")
         labels = staged(both.select(F.coalesce("id", "component").alias("id"), F.coalesce("top", "component").alias("component")), "merged")
-    by_class = reps.select("rep", "sig").join(labels, reps["rep"] == labels["id"], "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    by_class = staged(by_class, "classes")
-    rows = found.select("doc_id", "n", "sig").join(by_class, "sig", "left")
-    own = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    by_class = staged(reps.select("rep", "sig", "first", "size").join(labels, reps["rep"] == labels["id"], "left").select("sig", "first", "size", F.coalesce("component", "rep").alias("component")), "classes")
+    tops = by_class.groupBy("component").agg(F.min("first").alias("top"))
+    facts = staged(by_class.join(tops, "component").select("sig", "size", F.col("top.doc_id").alias("top_id"), F.col("top.row").alias("top_row")), "tops")
+    rows = met(found.where("n > 0").select("row", *KEYS, "doc_id", "n", "sig"), facts, "sig", "size", found.count())
+    rows = rows.select(*KEYS, "doc_id", "n", F.col("top_id").alias("component_id"), (F.col("row") == F.col("top_row")).alias("kept"))
+    alone = found.where("n = 0").select(*KEYS, "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return rows.unionByName(alone).select(*(KEYS if keys else ()), "doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, share: int = STAGE_SHARE) -> DataFrame:
-    """The rows of docs that stay, all columns: one document of each group."""
-    return by_ids(docs, near_groups(docs, share).where("not kept").select("doc_id"), "left_anti")
+    """The rows of docs that stay, all columns: one row of each group."""
+    return kept_rows(docs, near_groups(docs, share, True))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,25 @@ def test_exact_groups(spark):
     assert sha == {9: hashlib.sha256("é".encode()).hexdigest()}
 
 
+def test_exact_keeps_rows_not_ids(spark):
+    for rows, want in (
+        ([(5, "dup"), (9, "dup"), (5, "unique text")], {(9, "dup"), (5, "unique text")}),
+        ([(5, "a"), (1, "a"), (5, "b"), (2, "b")], {(5, "a"), (5, "b")}),
+        ([(None, "a"), (3, "a"), (None, "b"), (None, "c"), (None, "c")], {(3, "a"), (None, "b"), (None, "c")}),
+        ([(7, "x"), (7, "x"), (7, None), (7, "")], {(7, "x"), (7, None)}),
+    ):
+        got = [(r["doc_id"], r["text"]) for r in exact.keep_one(docs_of(spark, rows)).collect()]
+        assert len(got) == len(want) and {(i, t or None) for i, t in got} == want
+    assert exact.keep_one(docs_of(spark, AWKWARD).limit(0)).count() == 0
+
+
+def test_hot_keys_meet_apart(spark, monkeypatch):
+    """Keys of many rows take the broadcast way, with the same result."""
+    rows = [(i, "hot" if i % 3 else f"own {i}") for i in range(6000)]
+    groups = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_groups(docs_of(spark, rows)).collect()}
+    assert groups == {(i, 5999 if i % 3 else i, 4000 if i % 3 else 1, i == 5999 or not i % 3) for i, _ in rows}
+
+
 # chat
 
 
@@ -109,7 +128,9 @@ def brute_components(rows):
         sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
     least = {i: i for i in sets}
     pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    for _ in sets:
+    before = None
+    while before != least:
+        before = dict(least)
         for a, b in pairs:
             least[a] = least[b] = min(least[a], least[b])
     return {i: (len(sets[i]), least[i]) for i in sets}
@@ -131,6 +152,35 @@ def test_near_groups(spark):
     assert near.near_groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_near_rows_that_share_ids(spark):
+    """Links go by row: repeated and null ids lose none, whichever text comes first."""
+    words = [f"w{i}x" for i in range(40)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    for x, y in ((a, b), (b, a)):
+        rows = [(1, x), (1, y), (2, y), (3, y)]
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in everything(near.near_groups(docs_of(spark, rows))))
+        assert [(d, c) for d, c, _ in got] == [(1, 1), (1, 1), (2, 1), (3, 1)] and sum(k for *_, k in got) == 2
+        assert sorted((r["doc_id"], r["text"]) for r in near.keep_one(docs_of(spark, rows)).collect()) == sorted([(1, x), (1, y)])
+    rows = [(None, a), (None, a + " end"), (8, a + " end"), (None, b), (None, b), (9, None), (9, "")]
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in near.keep_one(docs_of(spark, rows)).collect()), key=str) == sorted([(8, a + " end"), (0, b), (9, "")], key=str)
+
+
+def test_near_crowd_whose_pivot_links_to_none(spark):
+    """1,200 members share band buckets; their smallest is linked to none, nearly all pairs are near misses, and few link."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(64)]
+    rows = [(0, " ".join([*base[:52], *(word() for _ in range(12))]))]
+    for k in range(1, 1200):
+        own = list(base)
+        own[rng.randrange(0, 30)] = word()
+        own[rng.randrange(34, 60)] = word()
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in everything(near.near_groups(docs_of(spark, rows)))}
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    assert got == want and len(set(want.values())) > 20
+
+
 def test_near_stage_takes_080(spark):
     """Near copies between 0.80 and 0.85 go in the pipeline's stage; op9 leaves them apart."""
     rng = random.Random(8)
@@ -183,6 +233,16 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_decontamination_judges_rows(spark):
+    item = " ".join(f"item{i}" for i in range(12))
+    rows = [(None, f"x {item} y"), (None, "clean text"), (3, item), (3, "a clean row of the same id"), (4, None)]
+    benchmark = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in decontam.clean(docs_of(spark, rows), benchmark).collect()}
+    assert got == {(None, "clean text"), (3, "a clean row of the same id"), (4, None)}
+    assert decontam.clean(docs_of(spark, rows), benchmark.limit(0)).count() == len(rows)
+    assert decontam.matches(docs_of(spark, rows).limit(0), benchmark).count() == 0
+
+
 @pytest.mark.parametrize(("n", "trials"), [(20, 200), (60, 150), (100, 100), (200, 80)])
 def test_candidates_at_all_allowed_edits(n, trials):
     rng = random.Random(n)
