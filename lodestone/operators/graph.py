@@ -7,36 +7,42 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.storage import cut
 
-MAX_ROUNDS = 200
+#: Rounds after which what was seen is written as one table.
+COMPACT = 8
 
 
 def full_paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
-    """(id, full_path, depth) of an adjacency list (id, parent_id, name); roots have a null parent. One equi-join a level."""
-    level = nodes.where("parent_id is null").select("id", F.col("name").alias("full_path"), F.lit(0).alias("depth"))
-    done = level
-    for _ in range(MAX_ROUNDS):
+    """(id, full_path, depth) of an adjacency list (id, parent_id, name); roots have a null parent. One equi-join a level. Nodes on a cycle or below a missing parent are under no
+    root and have no row, so the levels end."""
+    level = cut(nodes.where("parent_id is null").select("id", F.col("name").alias("full_path"), F.lit(0).alias("depth")))
+    done, rounds = level, 0
+    while True:
         above = level.select(F.col("id").alias("parent_id"), F.col("full_path").alias("above"), "depth")
         level = cut(nodes.join(above, "parent_id").select("id", F.concat_ws(separator, "above", "name").alias("full_path"), (F.col("depth") + 1).alias("depth")))
         if level.isEmpty():
             return done
+        rounds += 1
         done = done.unionByName(level)
-    raise RuntimeError(f"deeper than {MAX_ROUNDS} levels, or a cycle")
+        if rounds % COMPACT == 0:
+            done = cut(done)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(origin, node, depth): what each origin reaches over edges (src, dst), with the least depth; seeds (origin, node) have depth 0.
 
-    Semi-naive: only new (origin, node) pairs go on, so cycles end and diamonds are walked once."""
+    Semi-naive: only new (origin, node) pairs go on, so cycles end and diamonds are walked once; without a limit it goes on until there is no new pair. What was seen is
+    written as one table every COMPACT rounds, so a round's anti-join reads few files and plans stay short."""
     frontier = cut(seeds.select("origin", "node", F.lit(0).alias("depth")).distinct())
-    seen = frontier
-    for depth in range(1, (limit or MAX_ROUNDS) + 1):
+    seen, depth = frontier, 0
+    while limit is None or depth < limit:
+        depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
-            return seen
+            break
         seen = seen.unionByName(frontier)
-    if limit is None:
-        raise RuntimeError(f"farther than {MAX_ROUNDS} steps")
+        if depth % COMPACT == 0:
+            seen = cut(seen.repartition("origin", "node"))
     return seen
 
 

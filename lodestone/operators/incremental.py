@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.operators.storage import cut
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
@@ -51,20 +58,36 @@ def refresh_decision(changed: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: int) -> DataFrame:
-    """(key, ts) of the accepted events: each at least gap after the last ACCEPTED one of its key. A fold over a key's sorted times."""
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, t: Column) -> Column:
-        take = acc["last"].isNull() | (t - acc["last"] >= gap)
-        return F.when(take, F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts).cast("long"))).alias("times"))
-    return times.select(key, F.explode(F.aggregate("times", start, step)["kept"]).alias(ts))
+    """(key, ts) of the accepted events: each at least gap after the last ACCEPTED one of its key. Events are sorted within partitions and read once, with the key's last
+    accepted time as the only state, so a hot key costs a scan and no memory. Events of a null time are left out; a null key is a key."""
+    field = events.schema[key]
+    rows = events.where(F.col(ts).isNotNull()).select(key, F.col(ts).cast("long").alias("_ts"), F.to_json(F.struct(key)).alias("_key"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, None
+        for b in batches:
+            keys, times, kept = b["_key"].to_numpy(), b["_ts"].to_numpy(), []
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(b) else np.empty(0, dtype=int)
+            for start, end in zip(starts, np.r_[starts[1:], len(b)], strict=True):
+                if keys[start] != current:
+                    current, last = keys[start], None
+                at = start
+                while at < end:  # from one accepted event to the next
+                    at = at if last is None else start + int(np.searchsorted(times[start:end], last + gap))
+                    if at < end:
+                        last = times[at]
+                        kept.append(at)
+                        at += 1
+            yield pd.DataFrame({key: b[key].to_numpy()[kept], ts: times[kept]})
+
+    schema = T.StructType([field, T.StructField(ts, T.LongType())])
+    return rows.repartition("_key").sortWithinPartitions("_key", "_ts").mapInPandas(run, schema)
 
 
 def chunked(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """df with `chunk`: batches of size rows in a total order. Rows are ranged over partitions and numbered by partition offsets, so none holds all."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    """df with `chunk`: batches of size rows in a total order. Rows are ranged over partitions and get their place there once, in a checkpoint: a second ranging
+    could put its borders elsewhere. The partitions' sizes, a number each, then give every row its number; no task holds all rows."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     total, pairs = 0, []

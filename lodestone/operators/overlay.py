@@ -36,18 +36,35 @@ def applied(values: Column, op: Column, value: Column) -> Column:
     return F.when(op == "!", F.array().cast("array<string>")).when(op == "+", F.concat(values, F.array(value))).when(op == "-", F.array_remove(values, value)).otherwise(F.array(value))
 
 
-def fold(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keys and final `values` after applying (op, value) in order, and `history`: the values after each step."""
+def fold(lines: DataFrame, keys: list[str], order: list[str], history: bool = False) -> DataFrame:
+    """keys, the final `values` after applying (op, value) in order, and the number of `steps`; with `history`, the values after each step, where asked for: its size is
+    the square of a key's appends. A key's operations meet in one row."""
     steps = F.array_sort(F.collect_list(F.struct(*order, "op", "value")))
     empty = F.array().cast("array<string>")
+    grouped = lines.groupBy(*keys).agg(steps.alias("steps"))
+    count = F.size("steps").cast("long").alias("steps")
+    if not history:
+        final = F.aggregate("steps", empty, lambda now, x: applied(now, x["op"], x["value"]))
+        return grouped.select(*keys, final.alias("values"), count)
     start = F.struct(empty.alias("now"), F.array().cast("array<array<string>>").alias("history"))
 
     def step(acc: Column, x: Column) -> Column:
         now = applied(acc["now"], x["op"], x["value"])
         return F.struct(now.alias("now"), F.concat(acc["history"], F.array(now)).alias("history"))
 
-    grouped = lines.groupBy(*keys).agg(steps.alias("steps"))
-    return grouped.withColumn("f", F.aggregate("steps", start, step)).select(*keys, F.col("f.now").alias("values"), F.col("f.history").alias("history"))
+    both = grouped.withColumn("f", F.aggregate("steps", start, step))
+    return both.select(*keys, F.col("f.now").alias("values"), count, F.col("f.history").alias("history"))
+
+
+def nested(lines: DataFrame) -> DataFrame:
+    """One row per platform: name and its sections, sorted, each with its parameters, sorted, each with the displayed value and what each line made of it.
+    lines: platform, stack_rank, file, section, key, op, value, line. A platform without a line has no row here."""
+    folded = fold(lines, ["platform", "section", "key"], ["stack_rank", "line"], True)
+    named = lines.groupBy("platform", "section", "key").agg(F.array_sort(F.collect_list(F.struct("stack_rank", "line", "file", "op"))).alias("at"))
+    made = F.zip_with("at", "history", lambda a, v: F.struct(a["file"].alias("file"), shown(v).alias("value"), a["op"].alias("op"), a["line"].alias("line")))
+    rows = folded.join(named, ["platform", "section", "key"]).select("platform", "section", "key", shown(F.col("values")).alias("value"), made.alias("history"))
+    sections = rows.groupBy("platform", "section").agg(F.array_sort(F.collect_list(F.struct("key", "value", "history"))).alias("parameters"))
+    return sections.groupBy(F.col("platform").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("section").alias("name"), "parameters"))).alias("sections"))
 
 
 def shown(values: Column) -> Column:

@@ -7,7 +7,7 @@ Defined cases: no files, an empty index; a file under no module belongs to _Glob
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
@@ -120,13 +120,85 @@ def updated(index: CodeIndex, sources: DataFrame, deleted: DataFrame | None = No
     )
 
 
-def save(index: CodeIndex, folder: str) -> None:
-    for name in TABLES:
-        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+SCHEMA_VERSION = 2
+SNAPSHOT = "version long, schema_version int, saved_at timestamp, project_revision string, engine_revision string, meta map<string,string>"
+
+
+def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of saved versions; empty where nothing was saved."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshots")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], SNAPSHOT)
+    return spark.read.schema(SNAPSHOT).parquet(f"{folder}/snapshots")
 
 
-def load(spark: SparkSession, folder: str) -> CodeIndex:
-    return CodeIndex(*(spark.read.parquet(f"{folder}/{name}") for name in TABLES))
+def latest(spark: SparkSession, folder: str) -> Row | None:
+    """The newest version of this schema, with its revisions and meta keys."""
+    return _snapshots(spark, folder).where(F.col("schema_version") == SCHEMA_VERSION).orderBy(F.desc("version")).limit(1).first()
+
+
+def save(index: CodeIndex, folder: str, project_revision: str | None = None, engine_revision: str | None = None, meta: dict[str, str] | None = None) -> int:
+    """Writes the index as a new version beside the older ones, then enters it in the log, and gives its number. Readers of an older version, also the plans
+    of an index that was loaded from here and updated, keep their files."""
+    spark = index.classes.sparkSession
+    version = (_snapshots(spark, folder).agg(F.max("version")).first()[0] or 0) + 1
+    for name in TABLES:
+        getattr(index, name).write.parquet(f"{folder}/v{version}/{name}")
+    entry = spark.createDataFrame([(version, SCHEMA_VERSION, project_revision, engine_revision, meta or {})], "version long, schema_version int, project_revision string, engine_revision string, meta map<string,string>")
+    entry.withColumn("saved_at", F.current_timestamp()).select(*(c.split(" ")[0] for c in SNAPSHOT.split(", "))).coalesce(1).write.mode("append").parquet(f"{folder}/snapshots")
+    return version
+
+
+def load(spark: SparkSession, folder: str, version: int | None = None) -> CodeIndex:
+    """A saved version, the newest if none is named."""
+    if version is None:
+        entry = latest(spark, folder)
+        if entry is None:
+            raise ValueError(f"no index of schema {SCHEMA_VERSION} in {folder}")
+        version = entry["version"]
+    return CodeIndex(*(spark.read.parquet(f"{folder}/v{version}/{name}") for name in TABLES))
+
+
+def needs_full_refresh(spark: SparkSession, folder: str, engine_revision: str | None = None) -> bool:
+    """Is there no index of this schema, one of another engine revision, or one without files or classes?"""
+    entry = latest(spark, folder)
+    if entry is None or engine_revision is not None and entry["engine_revision"] != engine_revision:
+        return True
+    index = load(spark, folder, entry["version"])
+    return index.files.isEmpty() or index.classes.isEmpty()
+
+
+def cleanup(spark: SparkSession, folder: str, keep: int = 1) -> None:
+    """Deletes the files of all but the newest `keep` versions (0: the whole index), once nothing reads them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(conf)
+    if keep <= 0:
+        system.delete(place, True)
+        return
+    known = [r["version"] for r in _snapshots(spark, folder).select("version").orderBy(F.desc("version")).collect()]  # a number a version
+    for version in known[keep:]:
+        system.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/v{version}"), True)
+
+
+def replaced_components(old: DataFrame, new: DataFrame, engine_owner: str | None, engine_changed: bool) -> DataFrame:
+    """Components or modules after a refresh: all of the new ones, and where the engine did not change the old ones of the engine that the refresh did not read."""
+    if engine_changed or engine_owner is None:
+        return new
+    kept = old.where(F.col("owner") == engine_owner).join(new.select("name"), "name", "left_anti")
+    return new.unionByName(kept.select(new.columns))
+
+
+def engine_version(spark: SparkSession, engine: str) -> dict[str, str]:
+    """The meta keys of the engine's version file; none without it."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "Build.version").option("recursiveFileLookup", "true")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{engine}/Engine/Build")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return {}
+    fields = "MajorVersion int, MinorVersion int, PatchVersion int, BranchName string"
+    rows = found.load(f"{engine}/Engine/Build").where(F.col("path").endswith("/Engine/Build/Build.version")).select(F.from_json(F.col("content").cast("string"), fields).alias("v")).select("v.*").dropna()
+    first = rows.first()
+    return {} if first is None else {f"ue_version_{k}": str(first[c]) for k, c in (("major", "MajorVersion"), ("minor", "MinorVersion"), ("patch", "PatchVersion"), ("branch", "BranchName"))}
 
 
 def missing_includes(index: CodeIndex, sources: DataFrame) -> DataFrame:
@@ -136,15 +208,16 @@ def missing_includes(index: CodeIndex, sources: DataFrame) -> DataFrame:
     candidate is covered; else the best is a public header, then the shortest path. A header is named once a file. All files are checked in the same joins."""
     rows = index._files()
     own = sources.select("path").join(rows, "path").select("path", F.col("file_id").alias("own_id"), "module_name")
-    deps = index.modules.select(F.col("name").alias("module_name"), F.explode(F.array_union(F.array("name"), "deep_dependencies")).alias("dep"))
-    scope = own.join(deps, "module_name").select("path", "own_id", "dep").distinct()
+    deps = index.modules.select(F.col("name").alias("module_name"), F.explode(F.array_union(F.array("name"), "deep_dependencies")).alias("dep")).join(own.select("module_name").distinct(), "module_name", "left_semi").distinct()
     headers = rows.where("is_header").select("file_id", F.col("path").alias("header_path"), F.col("module_name").alias("dep"), paths.include_path(F.col("path"), F.col("module_root")).alias("header"))
     defined = index.classes.select(F.col("name").alias("symbol"), "file_id").distinct().join(headers, "file_id")
-    used = cpp.words(sources).withColumnRenamed("name", "symbol")
-    candidates = used.join(defined, "symbol").join(scope, ["path", "dep"]).where("file_id <> own_id")
+    visible = defined.join(deps, "dep").select("module_name", "symbol", "file_id", "header")  # what each module of the sources sees
+    used = cpp.words(sources).withColumnRenamed("name", "symbol").join(own, "path")
+    candidates = used.join(visible, ["module_name", "symbol"]).where("file_id <> own_id").select("path", "symbol", "line", "file_id", "header")
 
     lines = cpp.includes(sources)
-    seeds = lines.join(index.files.select("id", F.col("filename").alias("base_filename")), "base_filename").select(F.col("path").alias("origin"), F.col("id").alias("node"))
+    open_ = candidates.select("path").distinct()  # only files with a candidate close their includes
+    seeds = lines.join(open_, "path", "left_semi").join(index.files.select("id", F.col("filename").alias("base_filename")), "base_filename").select(F.col("path").alias("origin"), F.col("id").alias("node"))
     reached = graph.reach(seeds, cut(graph.effective_includes(index.file_includes, index.files))).select(F.col("origin").alias("path"), F.col("node").alias("file_id"), F.lit(1).alias("reached"))
     direct = lines.select("path", F.lower("include_path").alias("low"), F.lit(1).alias("direct")).distinct()
     marked = candidates.withColumn("low", F.lower("header")).join(direct, ["path", "low"], "left").join(reached, ["path", "file_id"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import ignore_rules, paths
 from lodestone.operators import graph, incremental, overlay, status, text
 from lodestone.operators.storage import cut
-from lodestone.sources import assets, trace, vcs
+from lodestone.plans import project
+from lodestone.sources import assets, config_files, finders, trace, vcs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,7 +185,7 @@ def ini_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(kind == "purchase", "+").when(kind == "error", "!").when(kind == "signup", "-").otherwise("")
     rows = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", op.alias("op"), (F.col("event_id") % 7).cast("string").alias("value"))
     out = overlay.fold(rows, ["user_id"], ["ts", "event_id"])
-    return out.select("user_id", F.array_join("values", ",").alias("folded"), F.size("history").cast("long").alias("steps"))
+    return out.select("user_id", F.array_join("values", ",").alias("folded"), "steps")
 
 
 @query("""WITH need AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 40),
@@ -350,3 +352,82 @@ def service_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most urgent state of each key."""
     name = F.when(F.col("o_orderstatus") == "P", "busy").when(F.col("o_orderstatus") == "O", "updating").otherwise("idle")
     return status.state(_t(spark, sf_dir, "orders").select("o_custkey", name.alias("state"), F.lit(1).alias("n")), ["o_custkey"])
+
+
+def _scope_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as modules: brands own them, sizes place them, and each depends on two others; two brands are the game and the engine."""
+    part, key = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ["Runtime", "Developer", "Editor", "UncookedOnly", "Program"])), (key % 5 + 1).cast("int"))
+    name = lambda c: F.concat(F.lit("m"), c)
+    deps = F.array(name((key * 2 + 1).cast("string")), name((key + 7).cast("string")))
+    modules = part.select(name(key.cast("string")).alias("name"), kind.alias("type"), F.col("p_brand").alias("owner"), F.concat(F.lit("/S"), "p_size", F.lit("/m"), key).alias("root_path"), deps.alias("deep_dependencies"))
+    components = spark.createDataFrame([("Brand#11", "Game", "/S7"), ("Brand#12", "Engine", "/s8/"), ("Plug", "Plugin", "/S9")], "name string, type string, root_path string")
+    return modules, components
+
+
+_SCOPED = """WITH m AS (SELECT p_partkey AS k, 'm' || p_partkey AS name, CASE p_partkey % 5 WHEN 0 THEN 'Runtime' WHEN 1 THEN 'Developer' WHEN 2 THEN 'Editor' WHEN 3 THEN 'UncookedOnly' ELSE 'Program' END AS type,
+  p_brand AS owner, p_size AS size FROM part),
+s AS (SELECT 'game' AS scope, k, name FROM m WHERE owner = 'Brand#11' OR size = 7 UNION ALL SELECT 'engine', k, name FROM m WHERE owner = 'Brand#12' OR size = 8
+UNION ALL SELECT 'runtime', k, name FROM m WHERE owner = 'Brand#11' OR type = 'Runtime' UNION ALL SELECT 'editor', k, name FROM m WHERE type <> 'Program' UNION ALL SELECT 'full', k, name FROM m WHERE type <> 'Program')"""
+
+
+@query(f"{_SCOPED} SELECT scope, name FROM s UNION SELECT scope, 'm' || (k * 2 + 1) FROM s UNION SELECT scope, 'm' || (k + 7) FROM s")
+def project_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modules of each scope with all that they depend on."""
+    modules, components = _scope_tables(spark, sf_dir)
+    parts = [project.scoped(modules, components, s).select(F.lit(s).alias("scope"), "name") for s in project.SCOPES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""SELECT 'm' || p_partkey AS name, CASE p_partkey % 5 WHEN 0 THEN 'runtime' WHEN 1 THEN 'developer' WHEN 4 THEN 'program' ELSE 'editor' END AS bucket FROM part""")
+def module_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of every module."""
+    modules, _ = _scope_tables(spark, sf_dir)
+    return modules.select("name", project.bucket(F.col("type")).alias("bucket"))
+
+
+_TREE = """WITH d AS (SELECT r_name || '/' || n_name || '/' || c_mktsegment || '/' || c_name AS path, r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+k AS (SELECT r_name || '/' || n_name AS root, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 3 = 0
+UNION ALL SELECT r_name, s_name || 'Long' FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 7 = 0 AND r_regionkey < 3)"""
+
+
+@query(f"""{_TREE}, h AS (SELECT path, root, name FROM d JOIN k ON starts_with(path, root || '/')),
+b AS (SELECT path, max_by(root, length(root)) AS root FROM h GROUP BY path)
+SELECT path, b.root, min_by(name, (-length(name), name)) AS name FROM b JOIN k ON k.root = b.root GROUP BY ALL""")
+def nearest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest folder above each path with a marker file, and the longest of its markers."""
+    nation, region = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    starts = _t(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "r_name", "n_name", "c_mktsegment", "c_name").alias("path"))
+    own = _t(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+    listed = own.where("s_suppkey % 3 = 0").select(F.concat("r_name", F.lit("/"), "n_name", F.lit("/"), "s_name", F.lit(".uproject")).alias("path"))
+    listed = listed.union(own.where("s_suppkey % 7 = 0 and r_regionkey < 3").select(F.concat("r_name", F.lit("/"), "s_name", F.lit("Long.uproject"))))
+    return finders.projects(starts, listed, "longest").select("path", "root", "name")
+
+
+@query("""WITH x AS (SELECT 'p' || (user_id % 3) AS platform, 's' || (user_id % 4) AS section, 'k' || (event_id % 10) AS key, CASE event_type WHEN 'error' THEN '!' WHEN 'click' THEN '' ELSE '+' END AS op,
+  CAST(event_id % 7 AS VARCHAR) AS value, event_id AS line FROM events),
+r AS (SELECT platform, section, key, max(line) FILTER (WHERE op <> '+') AS reset, count(*) AS steps FROM x GROUP BY ALL),
+v AS (SELECT r.*, count(x.line) AS n, max_by(x.value, x.line) AS last FROM r LEFT JOIN x ON x.platform = r.platform AND x.section = r.section AND x.key = r.key
+  AND ((x.op = '+' AND (reset IS NULL OR x.line > reset)) OR (x.op = '' AND x.line = reset)) GROUP BY ALL)
+SELECT platform, section, key, CASE n WHEN 0 THEN 'nil' WHEN 1 THEN last ELSE '[Array x' || n || '] ' || last END AS value, steps FROM v""")
+def config_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested configuration: platforms, sections and parameters, with each parameter's displayed value and the number of lines that made it."""
+    kind, name = F.col("event_type"), lambda letter, c: F.concat(F.lit(letter), c)
+    op = F.when(kind == "error", "!").when(kind == "click", "").otherwise("+")
+    lines = _t(spark, sf_dir, "events").select(
+        name("p", F.col("user_id") % 3).alias("platform"), F.lit(1).alias("stack_rank"), F.lit("a.ini").alias("file"), name("s", F.col("user_id") % 4).alias("section"),
+        name("k", F.col("event_id") % 10).alias("key"), op.alias("op"), (F.col("event_id") % 7).cast("string").alias("value"), F.col("event_id").alias("line"),
+    )
+    sections = overlay.nested(lines).select(F.col("name").alias("platform"), F.explode("sections").alias("s")).select("platform", F.col("s.name").alias("section"), F.explode("s.parameters").alias("p"))
+    return sections.select("platform", "section", "p.key", "p.value", F.size("p.history").cast("long").alias("steps"))
+
+
+@query(r"""WITH f AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages WHERE page_id % 2 = 0),
+x AS (SELECT path, split_part(path, '/', 1) AS folder, regexp_replace(path, '^[^/]*/', '') AS inner_ FROM f WHERE contains(path, '/'))
+SELECT DISTINCT folder AS platform FROM x WHERE starts_with(inner_, 'en/') OR starts_with(inner_, 'de/') OR folder IN ('Windows', 'Linux')""")
+def platform_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platforms by the markers in their folders: hosts as folders, a language folder as the marker."""
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    marker = F.regexp_replace(path, "^([^/]+)/(en|de)/", "$1/Config/")
+    return config_files.platforms(_t(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("/p/Platforms/"), marker).alias("path")), "/p")

@@ -9,7 +9,7 @@ Every limit has a total order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +95,26 @@ class CodeIndex:
     def get_module_by_name(self, name: str) -> DataFrame:
         return self.get_modules().where(F.col("name") == name).limit(1)
 
+    def get_module_id_by_name(self, name: str) -> DataFrame:
+        return self.get_module_by_name(name).select("id")
+
+    def get_module_root_path(self, name: str) -> DataFrame:
+        return self.get_module_by_name(name).select("module_root")
+
+    def get_files_in_module(self, module_id: int) -> DataFrame:
+        return self.files.where(F.col("module_id") == module_id).select(F.col("full_path").alias("path"), "filename", "extension").orderBy("path")
+
+    def get_module_files_by_name_and_root(self, name: str, root: str) -> DataFrame:
+        """Files of the module of that name at that root: names alone need not be unique."""
+        return self._files().where((F.col("module_name") == name) & (F.col("module_root") == root)).select("path", "filename", "extension").orderBy("path")
+
+    def get_module_dirs_by_name_and_root(self, name: str, root: str) -> DataFrame:
+        return self.get_module_files_by_name_and_root(name, root).select(paths.parent(F.col("path")).alias("directory")).distinct().orderBy("directory")
+
+    def get_assets(self, limit: int = 1000) -> DataFrame:
+        """Asset files that the index holds, the first `limit` by path."""
+        return self.files.where(F.lower("extension").isin("uasset", "umap")).select(F.col("full_path").alias("path"), "filename").orderBy("path").limit(limit)
+
     def get_components(self) -> DataFrame:
         return self.components.dropna(subset=["name", "display_name", "type", "root_path"]).orderBy("name")
 
@@ -200,6 +220,15 @@ class CodeIndex:
         best = graph.best_per(rows, ["k"], [F.col("depth"), (F.col("access") == "impl").cast("int"), ext, F.col("member_id")])
         return best.select("symbol_name", "line_number", F.col("path").alias("file_path"), "class_name")
 
+    def get_virtual_functions_in_inheritance_chain(self, name: str) -> DataFrame:
+        """Virtual functions of a class and its ancestors, each by its nearest definition that is no implementation."""
+        m = self.members.where((F.col("type") == "function") & F.col("flags").contains("virtual") & (F.col("access") != "impl"))
+        m = m.select("class_id", "name", "return_type", "access", "line", F.col("id").alias("member_id"), F.col("file_id").alias("member_file"))
+        c = self.classes.select("id", F.col("name").alias("class_name"), F.col("file_id").alias("class_file"))
+        rows = self._ancestors(name).join(m, F.col("id") == F.col("class_id")).drop("class_id").join(c, "id").withColumn("file_id", F.coalesce("member_file", "class_file"))
+        best = graph.best_per(rows.join(self._files().select("file_id", "path"), "file_id"), ["name"], [F.col("depth"), F.col("path"), F.col("line"), F.col("member_id")])
+        return best.select("name", "class_name", "return_type", "access", "path", "line").orderBy("name")
+
     def get_class_members_recursive(self, name: str, prefix: str = "", limit: int = 2000) -> DataFrame:
         rows = self._ancestors(name).join(self.members.drop("id"), F.col("id") == F.col("class_id")).where(F.col("name").startswith(prefix) & (F.col("access") != "impl"))
         best = graph.best_per(rows.select("name", "return_type", "type", "access", "depth", "line"), ["name", "return_type"], [F.col("depth"), F.col("line")])
@@ -246,6 +275,22 @@ class CodeIndex:
         m = self._members().select("name", "type", "class_name", "file_id").join(self._files(), "file_id").select("name", "type", "class_name", "path")
         return text.match(classes.union(m), pattern, ["name", "type"]).orderBy("name", "class_name", "path").limit(limit)
 
+    def search_symbols_in_modules(self, modules: list[str], pattern: str, symbol_type: str | None = None, limit: int = 100) -> DataFrame:
+        """Classes and members of the modules whose names hold every token, the first `limit` by name."""
+        own = self._files().where(F.col("module_name").isin(modules)).select("file_id", "path", "module_name")
+        classes = self.classes.join(own, "file_id").select("name", F.col("symbol_type").alias("type"), F.lit("").alias("class_name"), "path", "line", "module_name")
+        members = self._members().join(own, "file_id").select("name", "type", "class_name", "path", "line", "module_name")
+        rows = classes.union(members).where(paths.matches_all(F.col("name"), pattern))
+        rows = rows if symbol_type is None else rows.where(F.col("type") == symbol_type)
+        return rows.orderBy("name", "class_name", "path", "line").limit(limit)
+
+    def with_member_return_type(self, class_name: str, member: str, return_type: str) -> CodeIndex:
+        """The index with the return type of a class's member set; save it to keep it."""
+        own = self.classes.where(F.col("name") == class_name).select(F.col("id").alias("class_id")).distinct().withColumn("_own", F.lit(True))
+        hit = F.col("_own") & (F.col("name") == member)
+        members = self.members.join(own, "class_id", "left").withColumn("return_type", F.when(hit, return_type).otherwise(F.col("return_type"))).select(self.members.columns)
+        return replace(self, members=members, cache={})
+
     def find_symbol_in_module(self, module: str, symbol: str) -> DataFrame:
         """A class of that name in the module, else a member."""
         c = self._classes().where((F.col("module_name") == module) & (F.col("name") == symbol)).select(F.lit(0).alias("tier"), "name", "path", "line")

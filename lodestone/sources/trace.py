@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the format: record kinds, and the fields after kind and time. u: 4 bytes, v: 7-bit number, s: counted text, b: byte, p: counted pairs of texts, x: 4 bytes unread.
@@ -247,11 +247,12 @@ def bar(done: Column, total: Column, width: int = 24) -> Column:
 
 
 def with_names(rows: DataFrame) -> DataFrame:
-    """rows with `process`: of an exit the text of the last start of its process before it, in the same file."""
-    starts = rows.where("kind = 'started'").select("path", "pid", F.col("at").alias("started_at"), F.col("text").alias("process"))
-    exits = rows.where("kind = 'exited'")
-    last = exits.join(starts, ["path", "pid"]).where("started_at < at").groupBy("path", "at").agg(F.max_by("process", "started_at").alias("process"))
-    return rows.join(last, ["path", "at"], "left")
+    """rows with `process`: of an exit the text of the last start of its process before it, in the same file. One window over starts and exits by process, in order of place."""
+    ends = F.coalesce(F.col("kind").isin("started", "exited"), F.lit(False))
+    before = Window.partitionBy("path", "pid").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    started = F.last(F.when(F.col("kind") == "started", F.col("text")), ignorenulls=True).over(before)
+    named = rows.where(ends).withColumn("process", started).withColumn("process", F.when(F.col("kind") == "exited", F.col("process")))
+    return named.unionByName(rows.where(~ends).withColumn("process", F.lit(None).cast(named.schema["process"].dataType)))
 
 
 def lines(rows: DataFrame) -> DataFrame:

@@ -55,11 +55,14 @@ def test_longest_prefix(spark):
     assert rows(paths.longest_prefix(files, roots).select("path", "name")) == [("/p/a/b/y.h", "B"), ("/p/a/x.h", "A"), ("/p/ab/w.h", "_Global"), ("/q/z.h", "_Global")]
 
 
-def test_match(spark):
+def test_match(spark, tmp_path):
     df = spark.createDataFrame([(1, "AMyActor moves", None), (2, "my actor", "void"), (3, None, None)], "id int, name string, type string")
     found = lambda p: [r[0] for r in rows(text.match(df, p, ["name", "type"]).select("id"))]
     assert found("actor") == [2] and found("amy*") == [1] and found('"my actor" void') == [2] and found("") == []
     assert text.token_table(df, "id", ["name"]).count() == 4
+    index = text.token_index(df, "id", ["name", "type"], str(tmp_path / "tokens"))
+    for p in ("actor", "amy*", '"my actor" void', "", "nothing", '"actor my"', "m* actor"):
+        assert [r[0] for r in rows(text.match_index(index, p))] == found(p)
 
 
 def test_ini_overlay(spark):
@@ -68,9 +71,10 @@ def test_ini_overlay(spark):
     )
     lines = overlay.parse_ini(files)
     assert rows(lines.where("file = 'base.ini'").select("section", "key", "op", "value", "line"))[0] == ("Default", "Top", "", "1", 2)
-    out = overlay.fold(lines, ["section", "key"], ["stack_rank", "line"])
+    out = overlay.fold(lines, ["section", "key"], ["stack_rank", "line"], True)
     got = {(r["section"], r["key"]): (r["values"], len(r["history"])) for r in out.collect()}
     assert got == {("Default", "Top"): (["1"], 1), ("S", "A"): (["2"], 2), ("S", "L"): (["y"], 3), ("S", "M"): (["z"], 2)}
+    assert {(r["section"], r["key"]): (r["values"], r["steps"]) for r in overlay.fold(lines, ["section", "key"], ["stack_rank", "line"]).collect()} == got
     show = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["x" * 60],)], "v array<string>").select(overlay.shown(F.col("v")))
     assert [r[0] for r in show.collect()] == ["nil", "a", "[Array x2] b", "x" * 47 + "..."]
 
@@ -109,6 +113,32 @@ def test_chunks(spark):
     assert got == [(i, i // 4) for i in range(10)]
 
 
+def test_over_many_partitions(spark):
+    """Chunks, debounce and reachability with 16 partitions that are not put together."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(0, 40_000, 1, 16).select((F.col("id") * 7919 % 40_009).alias("v"))
+        want = {v: i // 500 for i, v in enumerate(sorted(i * 7919 % 40_009 for i in range(40_000)))}
+        assert {r["v"]: r["chunk"] for r in incremental.chunked(df, 500, ["v"]).collect()} == want
+        events = spark.range(0, 30_000, 1, 16).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 30_011).alias("ts")).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+        got, want = {}, {}
+        for r in incremental.debounced(events, "k", "ts", 100).collect():
+            got.setdefault(r["k"], []).append(r["ts"])
+        for r in sorted(events.collect(), key=lambda r: r["ts"]):
+            kept = want.setdefault(r["k"], [])
+            if not kept or r["ts"] >= kept[-1] + 100:
+                kept.append(r["ts"])
+        assert {None if k != k else k: sorted(v) for k, v in got.items()} == want
+        chain = spark.range(0, 10).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        found = graph.reach(spark.createDataFrame([(0, 0)], "origin long, node long"), chain)
+        assert rows(found) == [(0, i, i) for i in range(11)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_vcs_lists(spark):
     lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     assert rows(vcs.git_diff(lines("M\ta.h", "R100\told\tnew", ""))) == [("M", "a.h"), ("R", "new")]
