@@ -17,7 +17,8 @@ backslash, '#' and '<', in roles also before ':' and line feed, so no text can l
 backslashes gives the text back. The loss mask holds the (escaped) text spans of assistant turns.
 
 Defined cases: null text or role counts as empty; null conv_id is a conversation of its own; events equal in seq are ordered by
-msg, kind, role and text; an empty log gives no rows.
+msg, kind, role and text; an event of another kind, or with none, changes nothing, but its conversation has a row; repeated events count each; very long texts are
+kept whole; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -60,14 +61,11 @@ class Conversation:
             self.messages[msg] = (self.messages.get(msg, (role,))[0], [text])
         elif kind == "delete":
             self.messages.pop(msg, None)
-        elif kind == "regenerate":
-            if msg in self.messages:
-                order = list(self.messages)
-                for later in order[order.index(msg) + 1 :]:
-                    del self.messages[later]
-                self.messages[msg] = (self.messages[msg][0], [])
-        else:
-            raise ValueError(f"unknown event kind {kind!r}")
+        elif kind == "regenerate" and msg in self.messages:
+            order = list(self.messages)
+            for later in order[order.index(msg) + 1 :]:
+                del self.messages[later]
+            self.messages[msg] = (self.messages[msg][0], [])
 
     def render(self) -> tuple[str, list[int], list[int]]:
         out, at, starts, ends = [], 0, [], []

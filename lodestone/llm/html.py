@@ -3,16 +3,19 @@
 A wrapper is a union-free regular expression over a page's token stream, kept as a tree: elements, text slots, and marks for optional (?) and
 repeated (+) parts. Inference is iterative alignment: a page is folded into an expression (equal neighbours become repeated groups, also runs of up to PERIOD
 different elements), then aligned with the wrapper so far; where they differ, the part that one side lacks becomes optional, and texts that differ become slots, while
-a text that all pages share stays a constant; each part counts the pages that hold it. Alignment runs inside each partition first, then over SALTS groups of a host, then over the host, so a host with
+a text that all pages share stays a constant; each part counts the pages that hold it, each slot the characters outside links. Alignment runs inside each partition first, then over SALTS groups of a host, then over the host, so a host with
 a third of all pages costs one small expression a partition.
 
-A page is then read along its host's wrapper. The main region is what lies in article or main elements where the wrapper has them, else the body. From it go
+A page is then read along its host's wrapper. The wrapper says where the main region is: from the body down, into the element that holds MAIN_SHARE of the characters of varying slots (those on
+TEMPLATE_SHARE of the pages), as long as there is one that is not repeated and is made of blocks; with it go the headings that stand beside it on the way. Where the wrapper has article or main elements with most of those
+characters, names settle it: the region is what lies in these. Hosts of fewer than TEMPLATE_PAGES pages show no variation to go by; there names decide, else the body is the region. From the region go
 menus, headers, footers, sidebars, notices, adverts, forms and comments (by element and class names), constants of the wrapper (where other slots vary, and
 TEMPLATE_PAGES pages or more and TEMPLATE_SHARE of the host's hold them), and, outside articles, blocks that are mostly links.
 
 Defined cases: null html gives an empty text; null url is a host of its own; broken and cut-off markup is read as far as it goes (a cut tag is dropped, open elements end
-with the page); repeated pages give a row each; where a place has more than WIDE parts, those that may be held by one page in RARE or fewer fold into a wildcard beside the others, by
+with the page); elements nested deeper than DEPTH melt into their ancestor at that depth, and their text with them, but for those left out by name; a page without the region is read whole; repeated pages give a row each; very long pages are read whole; where a place has more than WIDE parts, those that may be held by one page in RARE or fewer fold into a wildcard beside the others, by
 lossy counting: a part counts at most one page in RARE too few, so none that is template text or the main region goes, however wide the pages or large the host.
+An empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import small_batches, staged, table
 
 PERIOD, SALTS, WIDE, RARE, TEMPLATE_PAGES, TEMPLATE_SHARE, HOSTS = 4, 32, 64, 16, 5, 0.5, 2000
+DEPTH, MAIN_SHARE = 100, 0.6
 #: Cells of an alignment table held at once.
 CELLS = 1 << 24
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+CUT = re.compile(r"[a-zA-Z/!?]")
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Element and class names of HTML practice.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,6 +53,7 @@ AWAY_NAMES = {
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "contentinfo",
 }
 MAIN_NAMES = {"main", "articlebody"}
+HEADINGS = {"h1", "h2", "h3"}
 
 
 def label_of(tag: str, attributes: str) -> str:
@@ -59,8 +66,8 @@ def label_of(tag: str, attributes: str) -> str:
 
 def parse(page: str) -> list:
     """The page as nested [label, children]; a text is ['#', text, characters inside links]. Inline elements melt into their text."""
-    root = ["", []]
-    stack, text, linked, links = [root], [], 0, 0
+    root = ["", [], "", False]  # of an open element also its tag, and whether it is in an article
+    stack, opened, text, linked, links = [root], Counter(), [], 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -71,7 +78,11 @@ def parse(page: str) -> list:
             text.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    def close(i: int) -> None:
+        opened.subtract(n[2] for n in stack[i:])
+        del stack[i:]
+
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -82,7 +93,7 @@ def parse(page: str) -> list:
                 text.append(found)
                 linked += len(found) if links else 0
             elif found == "<":
-                if re.match(r"<[a-zA-Z/!?]", page[m.start() : m.start() + 2]) and ">" not in page[at:]:
+                if last < at and CUT.match(page, at):
                     break  # a cut tag ends the page
                 text.append(found)
             continue
@@ -94,44 +105,56 @@ def parse(page: str) -> list:
         if tag == "br":
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][2] == tag:
-                    del stack[i:]
-                    links = 0
-                    break
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][2] == tag))
+                links = 0
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            ended = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+            at = ended.end() if ended else end
             continue
         if tag in CLOSES or tag in BLOCKS:
             for i in range(len(stack) - 1, 0, -1):
                 open_tag = stack[i][2]
                 if open_tag == tag and tag in CLOSES or open_tag == "p" and tag in BLOCKS:
-                    del stack[i:]
+                    close(i)
                     break
                 if open_tag not in ("p", "dt", "dd") or tag in ("li", "tr", "td", "th"):
                     break
-        node = [label_of(tag, m[3]), [], tag]
-        stack[-1][1].append(node)
+        label, above = label_of(tag, m[3]), stack[-1]
+        inside = above[3] or _main(label)
+        if len(stack) <= DEPTH:
+            node = [label, [], tag, inside]
+            above[1].append(node)
+        else:
+            node = [label, [] if _away(label, above[3]) else above[1], tag, inside]
         if tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
     flush()
     return root
 
 
-# An expression: [label, children, optional, repeated, text, pages, missed]; text: of a constant slot, else None; pages: how many hold it; missed: at most
-# so many more may have held it before it was counted. Rare parts that are no longer told apart are one part "*", the last of its list. A group of several repeated elements is labelled "()".
+# An expression: [label, children, optional, repeated, text, pages, missed, chars]; text: of a constant slot, else None; pages: how many hold it; missed: at most
+# so many more may have held it before it was counted; chars: of a slot, outside links, over all pages. Rare parts that are no longer told apart are one part "*", the last of its list,
+# with a text that varies. A group of several repeated elements is labelled "()".
+
+
+def _rest(chars: int) -> list:
+    return ["*", [["#", [], 1, 1, None, 0, 0, chars]], 1, 1, None, 0, 0, 0]
 
 
-#: Rare parts: a text that varies, for _survey.
-REST = ["*", [["#", [], 1, 1, None, 0, 0]], 1, 1, None, 0, 0]
+def _chars(e: list) -> int:
+    total = e[7]
+    for c in e[1]:
+        total += _chars(c)
+    return total
 
 
 def folded(node: list) -> list:
     if node[0] == "#":
-        return ["#", [], 0, 0, node[1], 1, 0]
-    return [node[0], collapsed([folded(c) for c in node[1]]), 0, 0, None, 1, 0]
+        return ["#", [], 0, 0, node[1], 1, 0, max(0, len(node[1]) - node[2])]
+    return [node[0], collapsed([folded(c) for c in node[1]]), 0, 0, None, 1, 0, 0]
 
 
 def merged(a: list, b: list, across: bool = True) -> list:
@@ -139,20 +162,30 @@ def merged(a: list, b: list, across: bool = True) -> list:
     (or of pages that may be the same) count no page twice."""
     text = a[4] if a[4] == b[4] else None
     pages, missed = (a[5] + b[5], a[6] + b[6]) if across else (max(a[5], b[5]), max(a[6], b[6]))
-    children = a[1] if not across and a[1] == b[1] else aligned(a[1], b[1], a[5] if across else 0, b[5] if across else 0)
-    return [a[0], _rare_folded(children, pages) if across else children, a[2] | b[2], a[3] | b[3], text, pages, missed]
+    children = aligned(a[1], b[1], a[5] if across else 0, b[5] if across else 0)
+    return [a[0], _rare_folded(children, pages) if across else children, a[2] | b[2], a[3] | b[3], text, pages, missed, a[7] + b[7]]
 
 
 def _rare_folded(items: list, pages: int) -> list:
     """items of an element on so many pages, the rare ones as a wildcard where they are more than WIDE."""
     if len(items) <= WIDE:
         return items
-    kept = [e for e in items if e[0] == "*" or (e[5] + e[6]) * RARE > pages or _holds_main(e)]
-    return kept if len(kept) == len(items) else [*(e for e in kept if e[0] != "*"), REST]
+    kept, gone = [], 0
+    for e in items:
+        if e[0] == "*" or (e[5] + e[6]) * RARE <= pages and not _holds_main(e):
+            gone += _chars(e)
+        else:
+            kept.append(e)
+    return items if len(kept) == len(items) - (items[-1][0] == "*") else [*kept, _rest(gone)]
 
 
 def _holds_main(e: list) -> bool:
-    return _main(e[0]) or any(_holds_main(c) for c in e[1])
+    if _main(e[0]):
+        return True
+    for c in e[1]:
+        if _holds_main(c):
+            return True
+    return False
 
 
 def _key(e: list) -> str:
@@ -160,7 +193,7 @@ def _key(e: list) -> str:
 
 
 def _group(items: list) -> list:
-    return ["()", items, 0, 1, None, max(e[5] for e in items), max(e[6] for e in items)]
+    return ["()", items, 0, 1, None, max(e[5] for e in items), max(e[6] for e in items), 0]
 
 
 def collapsed(items: list) -> list:
@@ -222,6 +255,7 @@ def aligned(a: list, b: list, pages_a: int = 0, pages_b: int = 0) -> list:
     """Two child lists as one: a longest common subsequence is merged, the rest becomes optional. pages: of their parents, where these are of different pages."""
     across = pages_a > 0
     rest_a, rest_b = (bool(x) and x[-1][0] == "*" for x in (a, b))
+    rest = [_rest(sum(_chars(x[-1]) for x, r in ((a, rest_a), (b, rest_b)) if r))] if rest_a or rest_b else []
     a, b = a[:-1] if rest_a else a, b[:-1] if rest_b else b
     ka, kb = [_key(e) for e in a], [_key(e) for e in b]
     if ka == kb:
@@ -233,12 +267,12 @@ def aligned(a: list, b: list, pages_a: int = 0, pages_b: int = 0) -> list:
         missed_a, missed_b = pages_a // RARE * rest_a, pages_b // RARE * rest_b
         out, i, j = [], 0, 0
         for x, y in [*same, (len(a), len(b))]:
-            out += [[*e[:2], 1, *e[3:6], e[6] + missed_b] for e in a[i:x]] + [[*e[:2], 1, *e[3:6], e[6] + missed_a] for e in b[j:y]]
+            out += [[*e[:2], 1, *e[3:6], e[6] + missed_b, e[7]] for e in a[i:x]] + [[*e[:2], 1, *e[3:6], e[6] + missed_a, e[7]] for e in b[j:y]]
             if x < len(a):
                 out.append(merged(a[x], b[y], across))
             i, j = x + 1, y + 1
         out = collapsed(out)
-    return [*out, REST] if rest_a or rest_b else out
+    return out + rest
 
 
 def _short(text: str) -> str:
@@ -281,21 +315,65 @@ class Wrapper:
         found: dict = {}
         if expression:
             _survey(expression, False, found)
-        self.has_main = found.get("main", False)
         # constants are template text only where something else varies
         self.least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * pages)
         self.drops = {inside: pages >= TEMPLATE_PAGES and found.get(("varies", inside), False) for inside in (True, False)}
+        self.named, self.region, self.headings = found.get("main", False), None, set()
+        if expression and pages >= TEMPLATE_PAGES:
+            self._choose(expression)
+        if self.region is not None:  # it was chosen for what varies in it
+            self.drops[True] = True
+        self.has_main = self.named or self.region is not None
+
+    def _constant(self, e: list) -> bool:
+        return e[4] is not None and not e[3] and e[5] >= self.least
+
+    def _varying(self, e: list, named: bool = False) -> int:
+        """Characters of the varying slots of a part that TEMPLATE_SHARE of the pages hold; named: of those in article or main elements."""
+        if e[0] == "#":
+            return 0 if named or self._constant(e) or e[5] + e[6] < self.least else e[7]
+        if _away(e[0], False):
+            return 0
+        named, total = named and not _main(e[0]), 0
+        for c in e[1]:
+            total += self._varying(c, named)
+        return total
+
+    def _choose(self, e: list) -> None:
+        """Names settle the region where it has most of the varying text, else its share of that does."""
+        whole = self._varying(e)
+        if not whole or self.named and 2 * self._varying(e, True) >= whole:
+            return
+        self.named, way = False, []
+        while True:
+            parts = [(self._varying(c), c) for c in e[1]]  # a repeated group is no region
+            mass, best = max(parts, key=lambda x: x[0], default=(0, e))
+            blocks = [c for c in best[1] if c[0] != "#"]
+            if mass < MAIN_SHARE * sum(m for m, _ in parts) or best[0] in ("#", "*", "()") or best[3] or not blocks:
+                break
+            way += [c for c in e[1] if c[0].split(".")[0] in HEADINGS]
+            e = best
+            self.region = id(e)
+        self.headings = {id(c) for c in way}
+
+    def _begins(self, label: str, slot: list | None) -> bool:
+        return _main(label) if self.named else slot is not None and (id(slot) == self.region or id(slot) in self.headings)
 
     def text(self, page: str | None) -> str:
         if not page:
             return ""
         root = parse(page)
-        need_main = self.has_main and _has_main(root)
-        blocks: list[str] = []
-        self._read(root, self.expression, False, need_main, blocks)
+        if self.has_main:
+            blocks, entered = [], []
+            self._read(root, self.expression, False, True, blocks, entered)
+            if entered:
+                return " ".join(blocks)
+        blocks = []
+        self._read(root, self.expression, False, False, blocks, [])
         return " ".join(blocks)
 
-    def _read(self, node: list, e: list | None, in_main: bool, need_main: bool, blocks: list[str]) -> None:
+    def _read(self, node: list, e: list | None, in_main: bool, need_main: bool, blocks: list[str], entered: list) -> None:
+        """Texts of node's children along e; entered: gets a mark where the main region begins."""
         slots = _flat(e[1]) if e else []
         labels = {x[0] for x in slots}
         at = 0
@@ -309,21 +387,20 @@ class Wrapper:
             if child[0] == "#":
                 if need_main and not in_main:
                     continue
-                constant = slot is not None and slot[4] is not None and not slot[3] and slot[5] >= self.least and self.drops[in_main] and slot[4] == _short(child[1])
+                constant = slot is not None and self._constant(slot) and self.drops[in_main] and slot[4] == _short(child[1])
                 if not constant and (in_main or 2 * child[2] < len(child[1])):
                     blocks.append(child[1])
             elif not _away(child[0], in_main):
-                self._read(child, slot, in_main or _main(child[0]), need_main, blocks)
+                begins = self._begins(child[0], slot)
+                if begins and id(slot) not in self.headings:
+                    entered.append(True)
+                self._read(child, slot, in_main or begins, need_main, blocks, entered)
 
 
 def _flat(items: list) -> list:
     return [x for e in items for x in (_flat(e[1]) if e[0] == "()" else [e])]
 
 
-def _has_main(node: list) -> bool:
-    return any(c[0] != "#" and (_main(c[0]) or _has_main(c)) for c in node[1])
-
-
 PART = "host string, pages long, wrapper string"
 
 

@@ -1,18 +1,20 @@
 """Language-model scoring by deleted interpolation.
 
-P(x | prev) = L f2(x | prev) + (1 - L) P1(x),  P1(x) = M f1(x) + (1 - M) / K
+P(x | prev) = L f2(x | prev) + (1 - L) P1(x),  P1(x) = M f1(x) + (1 - M) / (V + 1)
 
-f2, f1: maximum-likelihood estimates; L depends on the bucket (power of two) of the count of prev. All weights are learned by
-expectation-maximisation on the counts of a held-out fold against estimates with that fold's counts deleted.
-x and prev range over the NGRAM_WORDS most frequent words, the end of a text, and one class for all other words; a word of that class has within it
-the add-one probability of its own count, with one place kept for all unseen words. f2 uses the pairs seen MIN_COUNT times or more.
+f2, f1: maximum-likelihood estimates from the counts of all pairs and all words of the training texts, none left out; V: distinct words, with one place more for all unseen ones; L depends on
+the bucket (power of two) of the count of prev. Before a text stands its end mark as prev. All weights are learned by expectation-maximisation on the counts of a held-out
+fold against estimates with that fold's counts deleted, summed into BINS bins an octave of the ratio f2 / P1 (of f1 (V + 1) for M).
 
-Scoring is a sum over the types in a text: log P splits into log((1-L) P1) for each word and log(1 + L f2 / ((1-L) P1)) for each pair
-that the model holds. Weights of the most frequent types go to the workers in tables of bounded size (HEAD_WORDS, HEAD_PAIRS); the rest of a text's types
-meet their weights in a join, so nothing is capped: the tables only save shuffling.
+Counting is one pass over the texts: pairs, counted in the worker, then by Spark; words follow from pairs. Scoring is a second pass, and a sum over the types in a
+text: log P splits into log(1 - L) of each prev, log P1 of each word, and log(1 + L f2 / ((1 - L) P1)) of each pair that training has. Counts and weights of the most frequent
+types go to the workers in tables of bounded size (HEAD_WORDS, HEAD_PAIRS); all other types of a text meet their weights in a join, so nothing is capped: the tables only save shuffling.
+Words are told apart by 63-bit hashes, pairs by two of them.
 
-Defined cases: null text is empty, its only token is the end; a null doc_id counts as the empty id for its fold; rows that share doc_id are
-scored as rows of their own; without training rows every count is zero and the model is uniform; an empty table gives none.
+Trigrams are left out: see the README for the figures.
+
+Defined cases: null text is empty, its only token is the end; very long texts are read whole; a null doc_id counts as the empty id for its fold; rows that share doc_id are
+scored as rows of their own; without training rows every count is zero and the model is uniform; without a held-out fold in training the weights are WEIGHT; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,116 +22,78 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import body, fold_of, small_batches, staged, table
-from lodestone.llm.tokens import WordHashes, words_of
+from lodestone.llm.tokens import WordHashes, mixed
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-NGRAM_WORDS, HEAD_WORDS, HEAD_PAIRS, MIN_COUNT = 1 << 15, 1 << 18, 1 << 20, 2
-FLUSH = 1_000_000
-#: The end of a text as a token: no word, as words hold no line feed.
+HEAD_WORDS, HEAD_PAIRS, FLUSH = 1 << 18, 1 << 20, 1_000_000
+BINS, WEIGHT, MOST = 64, 0.5, 0.9999
+#: The end of a text as a token: no word, as words hold no line feed. It also stands before a text.
 END = WordHashes()[b"\n"] >> 1
-#: Ids: 0 the other words, 1 the end, then the frequent words; FIRST is the context before a text.
-OTHER, END_ID, FIRST, SHIFT = 0, 1, (1 << 20) - 1, 20
+#: The bin of what training without the held-out fold has not seen.
+UNSEEN = -100_000
 
 
-def word_keys(hashes: WordHashes, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_keys(hashes: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """63-bit keys of the tokens of all texts, each text's end included, and how many each text has."""
     words: list[bytes] = []
     sizes = []
     for text in texts:
-        own = words_of(text)
+        own = text.lower().split()
         words += own
         words.append(b"\n")
         sizes.append(len(own) + 1)
     return (hashes.of(words) >> np.uint64(1)).view(np.int64), np.array(sizes, dtype=np.int64)
 
 
-class Counter:
-    """Counts of keys, all and those of the tuning fold, given out when many."""
-
-    def __init__(self) -> None:
-        self.all: list[np.ndarray] = []
-        self.tuning: list[np.ndarray] = []
-        self.n = 0
-
-    def add(self, keys: np.ndarray, tuning: np.ndarray) -> None:
-        self.all.append(keys)
-        self.n += len(keys)
-        self.tuning.append(keys[tuning])
-
-    def take(self) -> pd.DataFrame:
-        none = np.empty(0, dtype=np.int64)
-        keys, c = np.unique(np.concatenate(self.all or [none]), return_counts=True)
-        some, h = np.unique(np.concatenate(self.tuning or [none]), return_counts=True)
-        held = np.zeros(len(keys), dtype=np.int64)
-        held[np.searchsorted(keys, some)] = h
-        self.__init__()
-        return pd.DataFrame({"key": keys, "c": c, "h": held})
-
-
-def _counted(rows: DataFrame, keys_of) -> DataFrame:
-    """key, c, h over rows (text, tuning)."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, found = keys_of(), Counter()
-        for b in batches:
-            got, sizes = keys(b["text"])
-            found.add(got, np.repeat(b["tuning"].to_numpy(bool), sizes))
-            if found.n > FLUSH:
-                yield found.take()
-        yield found.take()
-
-    out = rows.mapInPandas(run, "key long, c long, h long")
-    return out.groupBy("key").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+def before(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each."""
+    out = np.empty_like(keys)
+    out[1:] = keys[:-1]
+    out[np.cumsum(sizes) - sizes] = END
+    return out
 
 
-def _unigram_keys():
-    hashes = WordHashes()
-    return lambda texts: word_keys(hashes, texts)
+def pair_keys(prev: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A negative key of each pair, so that words and pairs are apart."""
+    key = mixed(prev.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(x.view(np.uint64)))
+    return -1 - (key >> np.uint64(1)).view(np.int64)
 
 
-class Ids:
-    """word -> id, for one worker."""
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
-    def __init__(self, vocabulary: np.ndarray) -> None:
-        order = np.argsort(vocabulary)
-        self.keys, self.ids = vocabulary[order], order + 2
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of word keys."""
-        if not len(self.keys):
-            return np.where(keys == END, END_ID, OTHER)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(keys == END, END_ID, np.where(self.keys[at] == keys, self.ids[at], OTHER))
+def counted_pairs(rows: DataFrame) -> DataFrame:
+    """prev, x, c, h over rows (text, tuning): counts of all rows and of the tuning fold."""
 
+    def counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        prev, x, tuning = (np.concatenate(p) for p in zip(*parts, strict=True))
+        _, first, of, c = np.unique(pair_keys(prev, x), return_index=True, return_inverse=True, return_counts=True)
+        h = np.bincount(of, weights=tuning, minlength=len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in (prev[first], x[first], c, h)], names=["prev", "x", "c", "h"])
 
-def pair_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """prev << SHIFT | x for each token; FIRST stands before each text."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = FIRST
-    return (before << SHIFT) | ids
-
-
-def _pair_keys(vocabulary: np.ndarray):
-    def make():
-        hashes, ids = WordHashes(), Ids(vocabulary)
-
-        def keys(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-            words, sizes = word_keys(hashes, texts)
-            return pair_keys(ids.of(words), sizes), sizes
-
-        return keys
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, parts, held = WordHashes(), [], 0
+        for b in batches:
+            keys, sizes = word_keys(hashes, _texts(b))
+            parts.append((before(keys, sizes), keys, np.repeat(b.column("tuning").to_numpy(zero_copy_only=False), sizes)))
+            held += len(keys)
+            if held > FLUSH:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
 
-    return make
+    return rows.mapInArrow(run, "prev long, x long, c long, h long").groupBy("prev", "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The keys whose count reaches the least threshold that at most `most` keys reach."""
+    """The rows whose count reaches the least threshold that at most `most` rows reach."""
     steps = sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     total, least = 0, (steps[0][0] + 1 if steps else 1)
     for c, n in steps:
@@ -144,189 +108,192 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [t[n].to_numpy() for n in names]
 
 
-def buckets_of(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(int)
+def _bucket(count: Column) -> Column:
+    return F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double")) + F.lit(1e-9)).cast("int")
+
 
+def _bin(ratio: Column) -> Column:
+    return F.when(ratio > 0, F.round(F.log2(ratio) * BINS).cast("int")).otherwise(UNSEEN)
 
-def expectation_maximisation(ratio: np.ndarray, weight: np.ndarray, turns: int = 100) -> float:
+
+def expectation_maximisation(ratio: np.ndarray, weight: np.ndarray, turns: int = 200) -> float:
     """The weight w that maximises sum weight * log(w ratio + 1 - w)."""
     if not weight.sum():
-        return 0.0
-    w = 0.5
+        return WEIGHT
+    w = WEIGHT
     for _ in range(turns):
-        w = min(float((weight * (w * ratio / (w * ratio + 1 - w))).sum() / weight.sum()), 0.9999)
+        w = min(float((weight * (w * ratio / (w * ratio + 1 - w))).sum() / weight.sum()), MOST)
     return w
 
 
+def _ratios(bins: np.ndarray) -> np.ndarray:
+    return np.where(bins == UNSEEN, 0.0, 2.0 ** (np.where(bins == UNSEEN, 0, bins) / BINS))
+
+
 class Model:
-    """Weights of word types and pair types; see the module's text. Driver-side arrays are over ids, so of bounded size."""
-
-    def __init__(self, c: np.ndarray, h: np.ndarray, firsts: int, held_firsts: int, n_types: int, n_other_types: int) -> None:
-        self.n, self.types, self.size = int(c.sum()), n_types, len(c)
-        self.c, self.h = c, h
-        # words count as contexts as often as they occur, ends do not
-        self.context, self.context_h = np.append(c, firsts).astype(float), np.append(h, held_firsts).astype(float)
-        self.context[END_ID] = self.context_h[END_ID] = 0
-        self.other = float(c[OTHER] + n_other_types + 1)
-        kept, k = np.maximum(c - h, 0), len(c)
-        ratio = kept / max(1, kept.sum()) * k
-        self.m = expectation_maximisation(ratio, h.astype(float)) if h.sum() else 0.99
-        self.p1 = self.m * c / max(1, c.sum()) + (1 - self.m) / k
-        self.p1_kept = self.m * kept / max(1, kept.sum()) + (1 - self.m) / k
-        self.weights = np.zeros(64)
-        self.kept_pairs = np.zeros(k + 1)
-
-    def place(self, context: np.ndarray) -> np.ndarray:
-        return np.where(context == FIRST, self.size, context)
-
-    def learn(self, pairs: DataFrame) -> None:
-        """Bucket weights from the tuning counts of pairs (key, c, h), summed into bins of the ratio f2 / P1."""
-        place, size, kept_context = self.place, self.size, np.maximum(self.context - self.context_h, 0)
-        by_context = pairs.groupBy(F.shiftright("key", SHIFT).alias("p")).agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
-        p, c, h = _columns(by_context, "p", "c", "h")
-        at = place(p)
-        self.kept_pairs[at] = c
-        retained, covered = np.zeros(size + 1), np.zeros(size + 1)
-        retained[at], covered[at] = c - h, h
-        p1, step = self.p1_kept, 8
-        bucket = buckets_of(kept_context)
-
-        def bins(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                key, c, h = (b[x].to_numpy() for x in ("key", "c", "h"))
-                at, x = place(key >> SHIFT), key & ((1 << SHIFT) - 1)
-                with np.errstate(divide="ignore"):
-                    ratio = np.log2((c - h) / np.maximum(retained[at], 1) / p1[x])
-                bin_ = np.where(c > h, np.round(np.nan_to_num(ratio, neginf=0) * step), -10_000).astype(int)
-                yield pd.DataFrame({"bucket": bucket[at], "bin": bin_, "h": h})
-
-        got = pairs.where("h > 0").mapInPandas(bins, "bucket int, bin int, h long").groupBy("bucket", "bin").agg(F.sum("h").alias("h"))
-        b, bin_, h = _columns(got, "bucket", "bin", "h")
-        ratio = np.where(bin_ == -10_000, 0.0, 2.0 ** (bin_ / step))
-        unseen = np.bincount(bucket, weights=np.maximum(self.context_h - covered, 0), minlength=64)
-        for k in range(64):
-            mine = b == k
-            self.weights[k] = expectation_maximisation(np.append(ratio[mine], 0.0), np.append(h[mine], unseen[k]))
-        if not self.context_h.sum():
-            self.weights[:] = 0.5
-
-    def context_weight(self) -> np.ndarray:
-        """L of each context."""
-        return np.where(self.kept_pairs > 0, self.weights[buckets_of(self.context)], 0.0)
-
-    def pair_gain(self, key: np.ndarray, c: np.ndarray) -> np.ndarray:
-        at, x = self.place(key >> SHIFT), key & ((1 << SHIFT) - 1)
-        w = self.context_weight()[at]
-        return np.log10(1 + w * c / np.maximum(self.kept_pairs[at], 1) / ((1 - w) * self.p1[x]))
-
-
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """The counts, staged, and the learned weights: a number m and one a bucket."""
+
+    def __init__(self, pairs: DataFrame, words: DataFrame) -> None:
+        self.pairs, self.words = pairs, words
+        total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
+        self.n, self.types, self.held = total["n"], total["v"], total["h"]
+        self.head = staged(frequent(words, HEAD_WORDS), "head")  # HEAD_WORDS rows at most
+        ratio = (F.col("c") - F.col("h")) / F.lit(float(max(1, self.n - self.held))) * F.lit(float(self.types + 1))
+        got = words.where("h > 0").groupBy(_bin(ratio).alias("bin")).agg(F.sum("h").alias("h"))
+        b, h = _columns(got, "bin", "h")
+        self.m = expectation_maximisation(_ratios(b), h) if self.n else 0.0
+        self.weights = np.full(64, WEIGHT)
+        p1 = self.p1(F.col("xc") - F.col("xh"), self.n - self.held)
+        kept = F.col("pc") - F.col("ph")
+        ratio = F.when(kept > 0, (F.col("c") - F.col("h")) / kept / p1).otherwise(0.0)
+        got = self.counts_of(pairs.where("h > 0")).groupBy(_bucket(kept).alias("bucket"), _bin(ratio).alias("bin")).agg(F.sum("h").alias("h"))
+        k, b, h = _columns(got, "bucket", "bin", "h")
+        for bucket in np.unique(k):
+            self.weights[bucket] = expectation_maximisation(_ratios(b[k == bucket]), h[k == bucket])
+
+    def p1(self, count: Column | np.ndarray, total: int) -> Column | np.ndarray:
+        rest = (1 - self.m) / (self.types + 1)
+        return count * (self.m / max(1, total)) + rest
+
+    def counts_of(self, pairs: DataFrame) -> DataFrame:
+        """pairs with the counts of prev (pc, ph) and x (xc, xh): from the head words by broadcast, the others in a shuffle."""
+        named = lambda df, key: df.select(F.col("key").alias(key), F.col("c").alias(f"{key[0]}c"), F.col("h").alias(f"{key[0]}h"))
+        marked = pairs.join(F.broadcast(named(self.head, "prev")), "prev", "left").join(F.broadcast(named(self.head, "x")), "x", "left")
+        known = F.col("pc").isNotNull() & F.col("xc").isNotNull()
+        rest = marked.where(~known).select(*pairs.columns).join(named(self.words, "prev"), "prev").join(named(self.words, "x"), "x")
+        return marked.where(known).unionByName(rest)
+
+    def context_weight(self, counts: np.ndarray) -> np.ndarray:
+        """L of contexts by their counts."""
+        return np.where(counts > 0, self.weights[np.floor(np.log2(np.maximum(counts, 1)) + 1e-9).astype(int)], 0.0)
+
+    def gains(self) -> DataFrame:
+        """key, c and gain of each pair."""
+        weight = F.element_at(F.array(*(F.lit(float(w)) for w in self.weights)), _bucket(F.col("pc")) + 1)
+        more = weight * F.col("c") / F.col("pc") / ((F.lit(1.0) - weight) * self.p1(F.col("xc"), self.n))
+
+        @F.pandas_udf("long")
+        def key(prev, x):  # noqa: ANN001, ANN202
+            import pandas as pd
+
+            return pd.Series(pair_keys(prev.to_numpy(), x.to_numpy()))
+
+        return self.counts_of(self.pairs).select(key("prev", "x").alias("key"), "c", F.log10(F.lit(1.0) + more).alias("gain"))
+
+    def word_weights(self) -> DataFrame:
+        """key; base, as_x, as_prev: what a word past the head tables adds to a text's sums."""
+        weight = F.element_at(F.array(*(F.lit(float(w)) for w in self.weights)), _bucket(F.col("c")) + 1)
+        default = float(np.log10(self.p1(0, self.n)))
+        return self.words.select(
+            "key", F.log10(F.col("c") + F.lit(1.0)).alias("base"), (F.log10(self.p1(F.col("c"), self.n)) - F.lit(default)).alias("as_x"), F.log10(F.lit(1.0) - weight).alias("as_prev")
+        )
+
+
+def fit(train: DataFrame) -> Model:
+    small_batches(train.sparkSession)
+    rows = train.select(body().alias("text"), (fold_of("doc_id", FOLDS) == TUNING).alias("tuning"))
+    pairs = staged(counted_pairs(rows), "pairs")
+    words = staged(pairs.groupBy(F.col("x").alias("key")).agg(F.sum("c").alias("c"), F.sum("h").alias("h")), "words")
+    return Model(pairs, words)
+
+
+def _look(keys: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the sorted head, and whether they are there."""
+    if not len(head):
+        return np.zeros(len(keys), dtype=int), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+    return at, head[at] == keys
+
+
+def _at(values: np.ndarray, at: np.ndarray, known: np.ndarray, default: float) -> np.ndarray:
+    return np.where(known, values[at], default) if len(values) else np.full(len(at), default)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: row's doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = train.select(body().alias("text"), (fold_of("doc_id", FOLDS) == TUNING).alias("tuning"))
-    words = staged(_counted(rows, _unigram_keys), "words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
-    ends = words.where(F.col("key") == END).first()
-    firsts, held_firsts = (ends["c"], ends["h"]) if ends else (0, 0)
-    no_end = words.where(F.col("key") != END)
-    vocabulary, c, h = _columns(frequent(no_end, NGRAM_WORDS), "key", "c", "h")
-    rest_c, rest_h = total["n"] - firsts - c.sum(), total["h"] - held_firsts - h.sum()
-    model = Model(np.concatenate([[rest_c, firsts], c]), np.concatenate([[rest_h, held_firsts], h]), firsts, held_firsts, total["v"], total["v"] - bool(ends) - len(c))
-
-    pairs = staged(_counted(rows, _pair_keys(vocabulary)).where(F.col("c") >= MIN_COUNT), "pairs")
-    model.learn(pairs)
-    base_n = np.log10(total["n"] + total["v"] + 1)
-    head_keys, head_c = _columns(frequent(words, HEAD_WORDS), "key", "c")
+    head_keys, head_c = _columns(model.head, "key", "c")
     order = np.argsort(head_keys)
-    head_keys, head_base = head_keys[order], np.log10(head_c[order] + 1.0)
-    pair_head, pair_c = _columns(frequent(pairs, HEAD_PAIRS), "key", "c")
+    head_keys, head_c = head_keys[order], head_c[order]
+    default = float(np.log10(model.p1(0, model.n)))
+    head_words = head_keys, np.log10(head_c + 1.0), np.log10(model.p1(head_c, model.n)), np.log10(1 - model.context_weight(head_c))
+    gains = staged(model.gains().select("key", "c", F.col("gain").cast("float").alias("gain")), "gains")
+    pair_head, pair_gain = _columns(frequent(gains, HEAD_PAIRS), "key", "gain")
     order = np.argsort(pair_head)
-    pair_head, pair_gain = pair_head[order], model.pair_gain(pair_head[order], pair_c[order]).astype(np.float32)
-    log_p1 = np.log10(model.p1)
-    log_rest = np.log10(1 - model.context_weight())
-    log_other, place, size = np.log10(model.other), model.place, model.size
-    shared = spark.sparkContext.broadcast((vocabulary, head_keys, head_base, pair_head, pair_gain, log_p1, log_rest))  # bounded by the three sizes above
-
-    def look(keys: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(head):
-            return np.zeros(len(keys), dtype=int), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
-        return at, head[at] == keys
-
-    def parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row of sums for each text (n null), and rows (row, key, n) of the types that still need their weight; keys of pairs are negative."""
-        vocabulary, head_keys, head_base, pair_head, pair_gain, log_p1, log_rest = shared.value
-        hashes, ids = WordHashes(), Ids(vocabulary)
+    shared = spark.sparkContext.broadcast((*head_words, pair_head[order], pair_gain[order]))  # bounded by the two sizes
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of sums for each text, and rows (row, key, n, m) of the types that still need their weight: words n times as x and m times as prev, pairs n times."""
+        head_keys, base_of, p1_of, rest_of, pair_head, pair_gain = shared.value
+        hashes = WordHashes()
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            keys, sizes = word_keys(hashes, b["text"])
-            starts, doc, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(b)), sizes), b["row"].to_numpy()
-            types, type_of = np.unique(keys, return_inverse=True)
-            type_ids = ids.of(types)
-            at, known = look(types, head_keys)
-            base = np.where(known, head_base[at], 0.0) if len(head_base) else np.zeros(len(types))
-            # a word of the other class has its own weight, here if it is a head word, else below
-            own = log_p1[type_ids] + np.where(type_ids == OTHER, base - log_other, 0.0)
-            x = type_ids[type_of]
-            pairs = pair_keys(x, sizes)
-            pair_types, pair_of = np.unique(pairs, return_inverse=True)
-            pat, seen = look(pair_types, pair_head)
-            gains = np.where(seen, pair_gain[pat], 0.0) if len(pair_gain) else np.zeros(len(pair_types))
-            total = np.add.reduceat(own[type_of] + log_rest[place(pairs >> SHIFT)] + gains[pair_of], starts)
-            head = pd.DataFrame({"row": row, "doc_id": b["doc_id"], "tokens": sizes, "known": np.add.reduceat(known[type_of].astype(np.int64), starts), "base": np.add.reduceat(base[type_of], starts), "total": total})
-            head["key"] = -(1 << 62) - row % (1 << 61)
+            keys, sizes = word_keys(hashes, _texts(b))
+            row = b.column("row").to_numpy()
+            starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(row)), sizes)
+            types, x = np.unique(keys, return_inverse=True)
+            prev = before(x, sizes)
+            end = int(np.searchsorted(types, END))
+            prev[starts] = end
+            at, known = _look(types, head_keys)
+            base = _at(base_of, at, known, 0.0)
+            pair_types, first, pair = np.unique(prev * len(types) + x, return_index=True, return_inverse=True)
+            names = pair_keys(types[prev[first]], types[x[first]])
+            pat, seen = _look(names, pair_head)
+            total = _at(p1_of, at, known, default)[x] + _at(rest_of, at, known, 0.0)[prev] + _at(pair_gain, pat, seen, 0.0)[pair]
+            sums = np.column_stack([np.add.reduceat(base[x], starts), np.add.reduceat(total, starts)])
+            own = np.column_stack([sizes, np.add.reduceat(known[x].astype(np.int64), starts)])
             # types sent for their weights, once a text
-            rows, sent, counts = [], [], []
-            for found, of, listed in ((known, type_of, types), (seen, pair_of, -1 - pair_types)):
-                lost = ~found[of]
-                place_, n = np.unique(doc[lost] * len(listed) + of[lost], return_counts=True)
-                rows.append(row[place_ // len(listed)])
-                sent.append(listed[place_ % len(listed)])
-                counts.append(n)
-            tail = pd.DataFrame({"row": np.concatenate(rows), "key": np.concatenate(sent), "n": np.concatenate(counts)})
-            yield pd.concat([head, tail]).astype({"doc_id": "Int64", "tokens": "Int64", "known": "Int64", "n": "Int64"})[["row", "key", "n", "doc_id", "tokens", "known", "base", "total"]]
+            lost = ~seen[pair]
+            place, n = np.unique(doc[lost] * len(names) + pair[lost], return_counts=True)
+            rows, sent, ns, ms = [row[place // len(names)]], [names[place % len(names)]], [n], [np.zeros(len(n), dtype=np.int64)]
+            rare_x, rare_prev = ~known[x], ~known[prev]
+            both = np.concatenate([doc[rare_x] * len(types) + x[rare_x], doc[rare_prev] * len(types) + prev[rare_prev]])
+            place, of = np.unique(both, return_inverse=True)
+            cut = int(rare_x.sum())
+            rows.append(row[place // len(types)])
+            sent.append(types[place % len(types)])
+            ns.append(np.bincount(of[:cut], minlength=len(place)))
+            ms.append(np.bincount(of[cut:], minlength=len(place)))
+            tail = sum(map(len, rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([*rows, row])), pa.array(np.concatenate([*sent, np.iinfo(np.int64).min + row])),
+                    pa.array(np.concatenate([*ns, np.zeros(len(row), dtype=np.int64)]).astype(np.int32)), pa.array(np.concatenate([*ms, np.zeros(len(row), dtype=np.int64)]).astype(np.int32)),
+                    _lists(tail, sums), _lists(tail, own), pa.concat_arrays([pa.nulls(tail, pa.int64()), b.column("doc_id").cast(pa.int64())]),
+                ],
+                names=["row", "key", "n", "m", "sums", "own", "doc_id"],
+            )
 
     # rows are told apart by their place in the scan, which a recomputed task gives again
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    sparse = source.mapInPandas(parts, "row long, key long, n long, doc_id long, tokens long, known long, base double, total double")
-
-    @F.pandas_udf("double")
-    def gain(key: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(model.pair_gain(key.to_numpy(), c.to_numpy()))
-
+    sparse = source.mapInArrow(run, "row long, key long, n int, m int, sums array<double>, own array<long>, doc_id long")
+    weights = model.word_weights().withColumn("known", F.lit(1))
     none = F.lit(0.0)
-    word_weights = words.select("key", F.log10(F.col("c") + F.lit(1.0)).alias("wb"), F.log10(F.col("c") + F.lit(1.0)).alias("ws"), F.lit(1).alias("wk"))
-    pair_weights = pairs.select((F.lit(-1) - F.col("key")).alias("key"), none.alias("wb"), gain("key", "c").alias("ws"), F.lit(0).alias("wk"))
-    joined = sparse.join(word_weights.unionByName(pair_weights), "key", "left")
-    n = F.coalesce("n", F.lit(0))
-    found = joined.groupBy("row").agg(
+    weights = weights.unionByName(gains.select("key", none.alias("base"), F.col("gain").cast("double").alias("as_x"), none.alias("as_prev"), F.lit(0).alias("known")))
+    n, value = F.col("n"), lambda c: F.coalesce(F.col(c), none)
+    found = sparse.join(weights, "key", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
-        F.sum("tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("known", F.lit(0))) + F.sum(n * F.coalesce("wk", F.lit(0)))).alias("n_known"),
-        (F.sum(F.coalesce("base", none)) + F.sum(n * F.coalesce("wb", none))).alias("raw_base"),
-        (F.sum(F.coalesce("total", none)) + F.sum(n * F.coalesce("ws", none))).alias("score"),
-    )
-    return found.select(
-        "doc_id", "n_tokens", "n_known", F.lit(int(total["n"])).cast("long").alias("train_tokens"),
-        (F.col("raw_base") - F.col("n_tokens") * F.lit(float(base_n))).alias("base_score"), "score",
+        F.sum(F.col("own")[0]).alias("n_tokens"),
+        (F.sum(F.col("own")[1]) + F.sum(n * F.coalesce("known", F.lit(0)))).alias("n_known"),
+        (F.sum(F.col("sums")[0]) + F.sum(n * value("base"))).alias("raw_base"),
+        (F.sum(F.col("sums")[1]) + F.sum(n * value("as_x") + F.col("m") * value("as_prev"))).alias("score"),
     )
+    least = float(np.log10(model.n + model.types + 1))
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), (F.col("raw_base") - F.col("n_tokens") * F.lit(least)).alias("base_score"), "score")
+
+
+def _lists(empty: int, values: np.ndarray) -> pa.Array:
+    """So many nulls, then a list for each row of values."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    own = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+    return pa.concat_arrays([pa.nulls(empty, own.type), own])
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = fold_of("doc_id", FOLDS)
-    found = score(docs, docs.where(fold != HELD_OUT))
+    found = score(docs, fit(docs.where(fold != HELD_OUT)))
     return found.select("doc_id", (fold == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def brute_force_base(rows: list[tuple[int, str | None, bool]]) -> dict[int, tuple[int, int, int, float]]:
-    """doc_id -> (n_tokens, n_known, train_tokens, base_score), by plain counting; rows: doc_id, text, training."""
-    import math
-    from collections import Counter as Count
-
-    tokens = {i: [*words_of(t), b"\n"] for i, t, _ in rows}
-    c = Count(w for i, _, training in rows if training for w in tokens[i])
-    n, v = sum(c.values()), len(c)
-    return {i: (len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for i, t in tokens.items()}

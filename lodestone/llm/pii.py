@@ -2,14 +2,18 @@
 
 Detected entities get a replacement that a key decides: the same entity gets the same one everywhere (coreference), two entities of a type get
 two (distinctness). Replacements keep type, format, script and case: every letter or digit stays one of its own alphabet, punctuation stays, card numbers stay
-valid, addresses stay addresses, and a person keeps the gender that title or first name tell.
+valid, addresses stay addresses, and a person keeps the gender that title or first name tell. People are found by a title or a listed first name before a capitalised one; further
+mentions of a full name in the text, and of its surname alone, get the same surrogate and its surname. Surnames are replaced alike whatever the title or first name.
 
 Letters and digits go through a keyed permutation of all strings of the same format (a Feistel network with cycle walking), so two entities of one format cannot
 meet. Names also take a listed first name, so they can. The collision check therefore counts, over the whole corpus, (type, surrogate) pairs of several entities and surrogates that
-equal a real entity; those entities, all but the smallest, move to the key's next round until none is left. Entities past round 0 are few; they travel
-to their documents in a join, which Spark broadcasts only where their files are small.
+equal a real entity; those entities, all but the smallest, move to the key's next round until none is left. The rounds end: a first name gets a keyed letter more in
+each round, so its space grows 20 times or more; other types draw anew from the space of their format, and from round EXTEND on, which only a nearly full space
+reaches, from formats one character longer each round (addresses: IPv6 ones). So each round leaves a shrinking share of the collisions, log N rounds in all.
+Entities past round 0 are few; they travel to their rows in a join by row key, which Spark broadcasts only where their files are small.
 
-Defined cases: null text stays null, with 0 entities; very long texts are read whole; overlapping detections keep the earlier, then the longer; the text between entities is untouched; repeated rows give a row each.
+Defined cases: null text stays null, with 0 entities; very long texts are read whole; overlapping detections keep the earlier, then the longer; the text between entities is untouched; repeated rows give a row each; rows
+with a null or repeated doc_id get the surrogates of their own text; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, staged, table
+from lodestone.llm.common import KEYS, keyed, small_batches, staged, table
 
 KEY = b"lodestone"
-MAX_ROUNDS = 12
+EXTEND = 8
 # Alphabets, by script and case.
 ALPHABETS = [
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "ÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ",
@@ -59,6 +63,9 @@ PATTERNS = [
     ("person", None, re.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Mme|Madame|Sr|Sra|Señora?|Sir|г-н|г-жа)\.? ({_NAME}(?: {_NAME}){{0,2}})")),
 ]
 _DIGIT = re.compile(r"\d")
+_LISTED = "|".join(sorted(n for script in FIRST_NAMES.values() for names in script.values() for n in names))
+#: A listed first name and one or two capitalised ones.
+KNOWN = re.compile(rf"\b(?:{_LISTED})(?: {_NAME}){{1,2}}")
 
 
 def _luhn(digits: list[int]) -> int:
@@ -142,10 +149,17 @@ def _digits_into(shape: str, digits: list[int]) -> str:
     return "".join(str(next(it)) if c.isdigit() else c for c in shape)
 
 
+def _longer(text: str, n: int) -> str:
+    """text with n more characters of the class of its last letter or digit, after that."""
+    at = next((i for i in range(len(text) - 1, -1, -1) if text[i].isalnum()), -1)
+    return text[: at + 1] + (text[at] if at >= 0 else "0") * n + text[at + 1 :]
+
+
 def surrogate(kind: str, entity: str, round_: int = 0, key: bytes = KEY) -> str:
     """The replacement of an entity in a round of the collision check. kind: a type, for people with the gender: person:f."""
-    tag = f"{kind}|{round_}"
+    tag, extra = f"{kind}|{round_}", max(0, round_ - EXTEND + 1)
     if kind == "card":
+        entity = _longer(entity, extra)
         d = [int(c) for c in entity if c.isdigit()]
         middle = permuted("".join(map(str, d[1:-1])), key, tag)
         new = [d[0], *map(int, middle)]
@@ -154,52 +168,99 @@ def surrogate(kind: str, entity: str, round_: int = 0, key: bytes = KEY) -> str:
         value = 0
         for x in entity.split("."):
             value = value << 8 | int(x)
+        if extra:  # in the range kept for documentation
+            low = _round_function(key, tag, 0, value, 80)
+            return "2001:db8:0:" + ":".join(f"{low >> s & 0xFFFF:x}" for s in (64, 48, 32, 16, 0))
         while True:
             value = permute(value, 1 << 32, key, tag)
             if 1 <= value >> 24 <= 223:
                 return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
     if kind == "phone" and (m := re.match(r"\+\d{1,3}(?=[ .(-])", entity)):
-        return m[0] + permuted(entity[m.end() :], key, tag)
+        return m[0] + permuted(_longer(entity[m.end() :], extra), key, tag)
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         name, dot, top = domain.rpartition(".")
-        return f"{permuted(f'{local}@{name}', key, tag)}{dot}{top}"
+        return f"{permuted(f'{_longer(local, extra)}@{name}', key, tag)}{dot}{top}"
+    if kind.startswith("person"):
+        first, *rest = entity.split(" ")
+        gender = kind.partition(":")[2]
+        last = [permuted(_longer(w, extra), key, f"surname|{round_}") for w in rest]
+        if gender and (rest or first.lower() in _GENDER):
+            script = "cyrillic" if re.search(r"[а-яА-Я]", first) else "latin"
+            names, letters = FIRST_NAMES[script][gender], ALPHABETS[5 if script == "cyrillic" else 1]
+            draw = _round_function(key, tag, 0, int.from_bytes(hashlib.sha256(entity.encode()).digest()[:8], "big"), 64 + 8 * round_)
+            draw, at = divmod(draw, len(names))
+            more = ""
+            for _ in range(round_):
+                draw, i = divmod(draw, len(letters))
+                more += letters[i]
+            return " ".join([names[at] + more, *last])
+        return " ".join([permuted(_longer(first, extra), key, f"surname|{round_}"), *last])
+    entity = _longer(entity, extra)
     if kind == "iban":
         return entity[:2] + permuted(entity[2:], key, tag)
     if kind == "secret" and entity.upper().startswith("AKIA"):
         return entity[:4] + permuted(entity[4:], key, tag)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]{16,}", entity):
         return permuted(entity, key, tag, ["0123456789abcdef"])
-    if kind.startswith("person"):
-        first, *rest = entity.split(" ")
-        gender = kind.partition(":")[2] or gender_of(entity)
-        script = "cyrillic" if re.search(r"[а-яА-Я]", first) else "latin"
-        if gender and (rest or first.lower() in _GENDER):
-            names = FIRST_NAMES[script][gender]
-            first = names[_round_function(key, tag, 0, int.from_bytes(hashlib.sha256(entity.encode()).digest()[:8], "big"), 32) % len(names)]
-            return " ".join([first, *(permuted(w, key, tag) for w in rest)])
     return permuted(entity, key, tag)
 
 
+def _capitalised(words: list[str]) -> str:
+    n = next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
+    return " ".join(words[:n])
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, type with gender, entity)."""
+    """(start, end, type, entity): in order and apart. For a person the type has the gender, and the entity of a surname alone is the full name that it stands for in the text."""
+    if not text:
+        return []
+    found = [(a, b, kind) for a, b, kind in detect(text)]
+    taken = [(a, b) for a, b, _ in found]
+    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
+    for m in KNOWN.finditer(text):
+        name = _capitalised(m[0].split(" "))
+        if " " in name and free(m.start(), m.start() + len(name)):
+            found.append((m.start(), m.start() + len(name), "person"))
+            taken.append(found[-1][:2])
+    people: dict[str, str] = {}
+    for a, b, kind in found:
+        if kind == "person":
+            name = text[a:b]
+            people[name] = people.get(name) or (gender_of(name, text[:a].rstrip(" .").rpartition(" ")[2][-10:]) if " " in name else _GENDER.get(name.lower(), ""))
+    full = sorted((n for n in people if " " in n), key=lambda n: (-len(n), n))
+    of = {n: n for n in full}
+    for a, b, kind in sorted(found):  # of people who share a surname the first
+        if kind == "person" and " " in text[a:b] and len(last := text[a:b].rpartition(" ")[2]) > 2:
+            of.setdefault(last, text[a:b])
+    if of:
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(of, key=lambda n: (-len(n), n)))) + r")(?!\w)", text):
+            if free(*m.span()):
+                found.append((*m.span(), "person"))
+                taken.append(m.span())
     out = []
-    for a, b, kind in detect(text) if text else []:
+    for a, b, kind in sorted(found):
         entity = text[a:b]
         if kind == "person":
-            gender = gender_of(entity, text[:a].rstrip(" .").rpartition(" ")[2][-10:])
-            kind = f"person:{gender}" if gender else kind
+            entity = of.get(entity, entity)
+            kind = f"person:{people[entity]}" if people.get(entity) else kind
         out.append((a, b, kind, entity))
     return out
 
 
+def _put(mention: str, kind: str, entity: str, made: str) -> str:
+    """What stands for a mention of an entity: of a surname alone the surrogate's surname."""
+    return made.rpartition(" ")[2] if kind.startswith("person") and mention != entity else made
+
+
 def _found(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, k, e, surrogate(k, e)) for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for k, e in {(x[2], x[3]) for x in entities(t)}]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "entity", "made"]).astype({"doc_id": "Int64"})
+            rows = [(x, y, k, e, surrogate(k, e)) for x, y, t in zip(b[KEYS[0]], b[KEYS[1]], b["text"], strict=True) for k, e in sorted({(f[2], f[3]) for f in entities(t)})]
+            yield pd.DataFrame(rows, columns=[*KEYS, "kind", "entity", "made"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, kind string, entity string, made string")
+    rows = keyed(docs).select(*KEYS, F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, f"{KEYS[0]} long, {KEYS[1]} long, kind string, entity string, made string")
 
 
 def moved_on(found: DataFrame) -> DataFrame:
@@ -211,7 +272,7 @@ def moved_on(found: DataFrame) -> DataFrame:
 
     state = staged(found.select("kind", "entity", "made", F.lit(0).alias("turn")).distinct(), "surrogates")
     base = F.substring_index("kind", ":", 1)
-    for _ in range(MAX_ROUNDS):
+    while True:
         typed = state.withColumn("base", base)
         first = typed.groupBy("base", "made").agg(F.min(F.struct("kind", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = typed.join(first, ["base", "made"]).where(F.struct("kind", "entity") != F.col("first")).select("kind", "entity")
@@ -222,7 +283,6 @@ def moved_on(found: DataFrame) -> DataFrame:
         turn = F.col("turn") + 1
         next_ = state.join(clashes, ["kind", "entity"], "left_semi").select("kind", "entity", again("kind", "entity", turn).alias("made"), turn.alias("turn"))
         state = staged(state.join(clashes, ["kind", "entity"], "left_anti").unionByName(next_), "surrogates")
-    raise RuntimeError("surrogates still collide")
 
 
 def replace(docs: DataFrame) -> DataFrame:
@@ -230,9 +290,9 @@ def replace(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     found = staged(_found(docs), "entities")
     moved = moved_on(found)
-    per_doc = staged(
-        found.select("doc_id", "kind", "entity").join(moved, ["kind", "entity"]).where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "made")).alias("moved")), "moved"
-    )  # bounded by the entities of one document
+    per_row = staged(
+        found.select(*KEYS, "kind", "entity").join(moved, ["kind", "entity"]).groupBy(*KEYS).agg(F.collect_set(F.struct("kind", "entity", "made")).alias("moved")), "moved"
+    )  # bounded by the entities of one text
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -241,13 +301,13 @@ def replace(docs: DataFrame) -> DataFrame:
                 special = {(m["kind"], m["entity"]): m["made"] for m in moved} if moved is not None else {}
                 spans, out, at = entities(text), [], 0
                 for a, z, k, e in spans:
-                    out += [text[at:a], special.get((k, e)) or surrogate(k, e)]
+                    out += [text[at:a], _put(text[a:z], k, e, special.get((k, e)) or surrogate(k, e))]
                     at = z
                 rows.append((doc, "".join([*out, text[at:]]) if text is not None else None, len(spans), ",".join(sorted({x[2].partition(":")[0] for x in spans}))))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "n_entities", "kinds"]).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(per_doc, "doc_id", "left").mapInPandas(run, "doc_id long, text string, n_entities long, kinds string")
+    rows = keyed(docs).select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(per_row, list(KEYS), "left").select("doc_id", "text", "moved").mapInPandas(run, "doc_id long, text string, n_entities long, kinds string")
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Quality classifier: random Fourier features approximate a Gaussian kernel over document statistics.
 
-Ridge regression in that feature space is fitted from normal equations: each partition sums its own part,
+Ridge regression in that feature space, in which the constant and the standardised statistics themselves stand too (a linear kernel beside the Gaussian one, so a score keeps
+its slope far from the training data), is fitted from normal equations: each partition sums its own part,
 GROUPS tasks add the partitions' sums, and the driver adds those GROUPS matrices of fixed size. Isotonic regression on another
 fold (pooled over at most 4001 score bins) makes the raw scores probabilities.
 
-Only the text is read for a score. Defined cases: null text counts as empty and is scored like any other; documents without a label are scored;
-several labels of one document count as their mean; a null label is no label; without any label every score is 0.5; an empty table gives none.
+Only the text is read for a score. Defined cases: null text counts as empty and is scored like any other; very long texts are read whole; repeated rows give a row and a score each, and
+count each in training; documents without a label are scored; several labels of one document count as their mean; a null label or a null doc_id is no label; other columns
+are ignored, whatever their names; without any label every score is 0.5; an empty table gives none.
 """
 
 from __future__ import annotations
