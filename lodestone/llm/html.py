@@ -7,7 +7,7 @@ a text that all pages share stays a constant; each part counts the pages that ho
 a third of all pages costs one small expression a partition.
 
 A page is then read along its host's wrapper. The wrapper says where the main region is: from the body down, into the element that holds MAIN_SHARE of the characters of varying slots (those on
-TEMPLATE_SHARE of the pages), as long as there is one that is not repeated and is made of blocks; with it go the headings that stand beside it on the way. Where the wrapper has article or main elements with most of those
+TEMPLATE_SHARE of the pages), as long as there is one that is not repeated and is made of blocks; with it go the headings that stand beside it on the way. Where the wrapper has article or main elements with NAMED_SHARE of those
 characters, names settle it: the region is what lies in these. Hosts of fewer than TEMPLATE_PAGES pages show no variation to go by; there names decide, else the body is the region. From the region go
 menus, headers, footers, sidebars, notices, adverts, forms and comments (by element and class names), constants of the wrapper (where other slots vary, and
 TEMPLATE_PAGES pages or more and TEMPLATE_SHARE of the host's hold them), and, outside articles, blocks that are mostly links.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import small_batches, staged, table
 
 PERIOD, SALTS, WIDE, RARE, TEMPLATE_PAGES, TEMPLATE_SHARE, HOSTS = 4, 32, 64, 16, 5, 0.5, 2000
-DEPTH, MAIN_SHARE = 100, 0.6
+DEPTH, MAIN_SHARE, NAMED_SHARE = 100, 0.6, 0.25
 #: Cells of an alignment table held at once.
 CELLS = 1 << 24
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
@@ -342,7 +342,7 @@ class Wrapper:
     def _choose(self, e: list) -> None:
         """Names settle the region where it has most of the varying text, else its share of that does."""
         whole = self._varying(e)
-        if not whole or self.named and 2 * self._varying(e, True) >= whole:
+        if not whole or self.named and self._varying(e, True) >= NAMED_SHARE * whole:
             return
         self.named, way = False, []
         while True:
