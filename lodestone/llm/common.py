@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Row keys up to this count (32 MB of longs) may be broadcast in a semi or anti join; beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Columns that `keyed` adds.
 KEYS = ("_lodestone_key_1", "_lodestone_key_2")
 #: At most so many keys are hot enough for a broadcast of their own.
@@ -55,7 +56,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     and gives the planner real file sizes for its broadcast decisions."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffles of this write again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark.sparkContext, path))

@@ -6,10 +6,12 @@ f2, f1: maximum-likelihood estimates from the counts of all pairs and all words
 the bucket (power of two) of the count of prev. Before a text stands its end mark as prev. All weights are learned by expectation-maximisation on the counts of a held-out
 fold against estimates with that fold's counts deleted, summed into BINS bins an octave of the ratio f2 / P1 (of f1 (V + 1) for M).
 
-Counting is one pass over the texts: pairs, counted in the worker, then by Spark; words follow from pairs. Scoring is a second pass, and a sum over the types in a
+Counting is two passes over the texts, of words and of pairs. Scoring is a third, and a sum over the types in a
 text: log P splits into log(1 - L) of each prev, log P1 of each word, and log(1 + L f2 / ((1 - L) P1)) of each pair that training has. Counts and weights of the most frequent
 types go to the workers in tables of bounded size (HEAD_WORDS, HEAD_PAIRS); all other types of a text meet their weights in a join, so nothing is capped: the tables only save shuffling.
-Words are told apart by 63-bit hashes, pairs by two of them.
+A pair of head words that training has once, in no held-out text, is not written: a training text that does not find its pair there knows that the pair is its own, so counts 1, and
+its weight follows from the head table. A bitmap of BITS bits of the written pairs (of a fixed size; it has all of them) tells most such pairs without a join.
+Words are told apart by 62-bit hashes, pairs that are not of two head words too.
 
 Trigrams are left out: see the README for the figures.
 
@@ -23,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +33,20 @@ from lodestone.llm.common import body, fold_of, small_batches, staged, table
 from lodestone.llm.tokens import WordHashes, mixed
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-HEAD_WORDS, HEAD_PAIRS, FLUSH = 1 << 18, 1 << 20, 1_000_000
+HEAD_WORDS, HEAD_PAIRS, FLUSH, BITS, SLICES = 1 << 18, 1 << 20, 1_000_000, 1 << 27, 32
+#: Pairs of head words are one number: the place of prev, and that of x in so many bits.
+SHIFT = 20
 BINS, WEIGHT, MOST = 64, 0.5, 0.9999
 #: The end of a text as a token: no word, as words hold no line feed. It also stands before a text.
-END = WordHashes()[b"\n"] >> 1
+END = WordHashes()[b"\n"] >> 2
+#: Keys in the join: words are below PAIR, pairs of head words from there on, other pairs below 0, and texts' own rows below those, from OWN on.
+PAIR, OWN = 1 << 62, -(1 << 63)
 #: The bin of what training without the held-out fold has not seen.
 UNSEEN = -100_000
 
 
 def word_keys(hashes: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """63-bit keys of the tokens of all texts, each text's end included, and how many each text has."""
+    """62-bit keys of the tokens of all texts, each text's end included, and how many each text has."""
     words: list[bytes] = []
     sizes = []
     for text in texts:
@@ -47,41 +54,60 @@ def word_keys(hashes: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.nd
         words += own
         words.append(b"\n")
         sizes.append(len(own) + 1)
-    return (hashes.of(words) >> np.uint64(1)).view(np.int64), np.array(sizes, dtype=np.int64)
+    return (hashes.of(words) >> np.uint64(2)).view(np.int64), np.array(sizes, dtype=np.int64)
 
 
-def before(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The token before each."""
+def before(keys: np.ndarray, sizes: np.ndarray, first: int = END) -> np.ndarray:
+    """What stands before each token; first: before a text."""
     out = np.empty_like(keys)
     out[1:] = keys[:-1]
-    out[np.cumsum(sizes) - sizes] = END
+    out[np.cumsum(sizes) - sizes] = first
     return out
 
 
 def pair_keys(prev: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A negative key of each pair, so that words and pairs are apart."""
     key = mixed(prev.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(x.view(np.uint64)))
-    return -1 - (key >> np.uint64(1)).view(np.int64)
+    return -1 - (key >> np.uint64(2)).view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def counted_pairs(rows: DataFrame) -> DataFrame:
-    """prev, x, c, h over rows (text, tuning): counts of all rows and of the tuning fold."""
+class Head:
+    """The most frequent words: key, count, count in the tuning fold, by place (the most frequent first)."""
 
-    def counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        prev, x, tuning = (np.concatenate(p) for p in zip(*parts, strict=True))
-        _, first, of, c = np.unique(pair_keys(prev, x), return_index=True, return_inverse=True, return_counts=True)
-        h = np.bincount(of, weights=tuning, minlength=len(first)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in (prev[first], x[first], c, h)], names=["prev", "x", "c", "h"])
+    def __init__(self, keys: np.ndarray, c: np.ndarray, h: np.ndarray) -> None:
+        order = np.lexsort((keys, -c))
+        self.c, self.h = c[order], h[order]
+        by_key = np.argsort(keys[order])
+        self.sorted, self.places = keys[order][by_key], by_key
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Places of word keys, -1 for others."""
+        at, known = _look(keys, self.sorted)
+        return np.where(known, self.places[at], -1) if len(self.places) else np.full(len(keys), -1)
+
+
+def named(prev: np.ndarray, x: np.ndarray, prev_at: np.ndarray, x_at: np.ndarray) -> np.ndarray:
+    """Keys of pairs, of words and their places: places where both are head words, a negative hash otherwise."""
+    return np.where((prev_at >= 0) & (x_at >= 0), (prev_at << SHIFT) | x_at, pair_keys(prev, x))
+
+
+def counted_words(rows: DataFrame) -> DataFrame:
+    """key, c, h over rows (text, tuning): counts of all rows and of the tuning fold."""
+
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, tuning = (np.concatenate(p) for p in zip(*parts, strict=True))
+        found, of, c = np.unique(keys, return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(c), pa.array(np.bincount(of, weights=tuning, minlength=len(found)).astype(np.int64))], names=["key", "c", "h"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, held = WordHashes(), [], 0
         for b in batches:
             keys, sizes = word_keys(hashes, _texts(b))
-            parts.append((before(keys, sizes), keys, np.repeat(b.column("tuning").to_numpy(zero_copy_only=False), sizes)))
+            parts.append((keys, np.repeat(b.column("tuning").to_numpy(zero_copy_only=False), sizes)))
             held += len(keys)
             if held > FLUSH:
                 yield counted(parts)
@@ -89,7 +115,41 @@ def counted_pairs(rows: DataFrame) -> DataFrame:
         if parts:
             yield counted(parts)
 
-    return rows.mapInArrow(run, "prev long, x long, c long, h long").groupBy("prev", "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+    return rows.mapInArrow(run, "key long, c long, h long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+
+
+def counted_pairs(rows: DataFrame, head: Broadcast) -> DataFrame:
+    """key, prev, x, c, h over rows (text, training, tuning) of all texts; prev and x are 0 in pairs of head words. Left out are pairs that training does not have, and pairs of head words that
+    it has once and no other text has."""
+
+    def counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        prev, x, key, training, tuning = (np.concatenate(p) for p in zip(*parts, strict=True))
+        found, first, of = np.unique(key, return_index=True, return_inverse=True)
+        count = lambda w: np.bincount(of, weights=w, minlength=len(found)).astype(np.int64)
+        c, h = count(training), count(tuning)
+        other = (count(~training) > 0).astype(np.int32)
+        names = [np.where(found < 0, w[first], 0) for w in (prev, x)]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in (found, *names, c, h, other)], names=["key", "prev", "x", "c", "h", "other"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, parts, held = WordHashes(), [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, sizes = word_keys(hashes, _texts(b))
+            prev, at = before(keys, sizes), head.value.of(keys)
+            prev_at = before(at, sizes, head.value.of(np.array([END]))[0])
+            flags = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("training", "tuning")]
+            parts.append((prev, keys, named(prev, keys, prev_at, at), *flags))
+            held += len(keys)
+            if held > FLUSH:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    found = rows.mapInArrow(run, "key long, prev long, x long, c long, h long, other int").groupBy("key", "prev", "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"), F.max("other").alias("other"))
+    return found.where("c > 1 or c > 0 and (key < 0 or other > 0)").drop("other")
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -131,54 +191,91 @@ def _ratios(bins: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The counts, staged, and the learned weights: a number m and one a bucket."""
+    """The counts, staged, the head words, and the learned weights: a number m and one a bucket."""
 
-    def __init__(self, pairs: DataFrame, words: DataFrame) -> None:
-        self.pairs, self.words = pairs, words
+    def __init__(self, texts: DataFrame, words: DataFrame) -> None:
+        spark = words.sparkSession
+        self.words = words
         total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
         self.n, self.types, self.held = total["n"], total["v"], total["h"]
-        self.head = staged(frequent(words, HEAD_WORDS), "head")  # HEAD_WORDS rows at most
+        self.head = Head(*_columns(frequent(words, HEAD_WORDS), "key", "c", "h"))  # HEAD_WORDS rows at most
+        self.shared = spark.sparkContext.broadcast(self.head)
         ratio = (F.col("c") - F.col("h")) / F.lit(float(max(1, self.n - self.held))) * F.lit(float(self.types + 1))
         got = words.where("h > 0").groupBy(_bin(ratio).alias("bin")).agg(F.sum("h").alias("h"))
         b, h = _columns(got, "bin", "h")
         self.m = expectation_maximisation(_ratios(b), h) if self.n else 0.0
+
+        self.pairs = staged(counted_pairs(texts, self.shared), "pairs")
         self.weights = np.full(64, WEIGHT)
         p1 = self.p1(F.col("xc") - F.col("xh"), self.n - self.held)
         kept = F.col("pc") - F.col("ph")
-        ratio = F.when(kept > 0, (F.col("c") - F.col("h")) / kept / p1).otherwise(0.0)
-        got = self.counts_of(pairs.where("h > 0")).groupBy(_bucket(kept).alias("bucket"), _bin(ratio).alias("bin")).agg(F.sum("h").alias("h"))
-        k, b, h = _columns(got, "bucket", "bin", "h")
-        for bucket in np.unique(k):
-            self.weights[bucket] = expectation_maximisation(_ratios(b[k == bucket]), h[k == bucket])
+        ratio = (F.col("c") - F.col("h")) / kept / p1
+        # a pair that training without the fold does not have adds to its bucket's rest only, written or not
+        got = self.counts_of(self.pairs.where("h > 0 and c > h")).groupBy(_bucket(kept).alias("bucket"), _bin(ratio).alias("bin")).agg(F.sum("h").alias("h"))
+        k, b, h = _columns(staged(got, "bins"), "bucket", "bin", "h")
+        contexts = {r["bucket"]: r["h"] for r in words.where("h > 0").groupBy(_bucket(F.col("c") - F.col("h")).alias("bucket")).agg(F.sum("h").alias("h")).collect()}
+        for bucket, whole in contexts.items():
+            own = k == bucket
+            self.weights[bucket] = expectation_maximisation(np.append(_ratios(b[own]), 0.0), np.append(h[own], whole - h[own].sum()))
 
     def p1(self, count: Column | np.ndarray, total: int) -> Column | np.ndarray:
         rest = (1 - self.m) / (self.types + 1)
         return count * (self.m / max(1, total)) + rest
 
     def counts_of(self, pairs: DataFrame) -> DataFrame:
-        """pairs with the counts of prev (pc, ph) and x (xc, xh): from the head words by broadcast, the others in a shuffle."""
-        named = lambda df, key: df.select(F.col("key").alias(key), F.col("c").alias(f"{key[0]}c"), F.col("h").alias(f"{key[0]}h"))
-        marked = pairs.join(F.broadcast(named(self.head, "prev")), "prev", "left").join(F.broadcast(named(self.head, "x")), "x", "left")
-        known = F.col("pc").isNotNull() & F.col("xc").isNotNull()
-        rest = marked.where(~known).select(*pairs.columns).join(named(self.words, "prev"), "prev").join(named(self.words, "x"), "x")
-        return marked.where(known).unionByName(rest)
+        """key, c, h of pairs with the counts of prev (pc, ph) and x (xc, xh): of pairs of head words from the head table, of others in a shuffle."""
+        shared = self.shared
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            head = shared.value
+            for b in batches:
+                key = b.column("key").to_numpy()
+                prev, x = key >> SHIFT, key & ((1 << SHIFT) - 1)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(a) for a in (head.c[prev], head.h[prev], head.c[x], head.h[x]))], names=names)
+
+        names = ["key", "c", "h", "pc", "ph", "xc", "xh"]
+        own = pairs.where("key >= 0").select("key", "c", "h").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        count = lambda key: self.words.select(F.col("key").alias(key), F.col("c").alias(f"{key[0]}c"), F.col("h").alias(f"{key[0]}h"))
+        rest = pairs.where("key < 0").join(count("prev"), "prev").join(count("x"), "x")
+        return own.unionByName(rest.select(*names))
 
     def context_weight(self, counts: np.ndarray) -> np.ndarray:
         """L of contexts by their counts."""
         return np.where(counts > 0, self.weights[np.floor(np.log2(np.maximum(counts, 1)) + 1e-9).astype(int)], 0.0)
 
+    def gain(self, c: np.ndarray, prev_count: np.ndarray, x_count: np.ndarray) -> np.ndarray:
+        """What a pair of count c adds to the logarithm."""
+        w = self.context_weight(prev_count)
+        return np.log10(1 + w * c / np.maximum(prev_count, 1) / ((1 - w) * self.p1(x_count, self.n)))
+
     def gains(self) -> DataFrame:
-        """key, c and gain of each pair."""
+        """key, gain of each written pair, and of one of head words the gain at a count of 1, else 0."""
         weight = F.element_at(F.array(*(F.lit(float(w)) for w in self.weights)), _bucket(F.col("pc")) + 1)
-        more = weight * F.col("c") / F.col("pc") / ((F.lit(1.0) - weight) * self.p1(F.col("xc"), self.n))
-
-        @F.pandas_udf("long")
-        def key(prev, x):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            return pd.Series(pair_keys(prev.to_numpy(), x.to_numpy()))
-
-        return self.counts_of(self.pairs).select(key("prev", "x").alias("key"), "c", F.log10(F.lit(1.0) + more).alias("gain"))
+        one = weight / F.col("pc") / ((F.lit(1.0) - weight) * self.p1(F.col("xc"), self.n))
+        at_one = F.when(F.col("key") >= 0, F.log10(F.lit(1.0) + one)).otherwise(0.0)
+        return self.counts_of(self.pairs).select("key", F.log10(F.lit(1.0) + one * F.col("c")).alias("gain"), at_one.alias("one"))
+
+    def bitmap(self) -> np.ndarray:
+        """BITS bits, of which one is set for each written pair: in SLICES tasks, BITS / 8 bytes in all."""
+        width = BITS // SLICES
+
+        def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(b.column("key").to_numpy())))], names=["place"])
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits: dict[int, np.ndarray] = {}
+            for b in batches:
+                at = b.column("place").to_numpy()
+                for k in np.unique(at // width).tolist():
+                    bits.setdefault(k, np.zeros(width, dtype=np.uint8))[at[at // width == k] - k * width] = 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())], names=["slice", "bits"])
+
+        rows = self.pairs.select("key").mapInArrow(places, "place long").withColumn("slice", F.floor(F.col("place") / width))
+        out = np.zeros(BITS // 8, dtype=np.uint8)
+        for r in staged(rows.repartition(SLICES, "slice").select("place").mapInArrow(run, "slice long, bits binary"), "bitmap").collect():
+            out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+        return out
 
     def word_weights(self) -> DataFrame:
         """key; base, as_x, as_prev: what a word past the head tables adds to a text's sums."""
@@ -189,12 +286,22 @@ class Model:
         )
 
 
-def fit(train: DataFrame) -> Model:
-    small_batches(train.sparkSession)
-    rows = train.select(body().alias("text"), (fold_of("doc_id", FOLDS) == TUNING).alias("tuning"))
-    pairs = staged(counted_pairs(rows), "pairs")
-    words = staged(pairs.groupBy(F.col("x").alias("key")).agg(F.sum("c").alias("c"), F.sum("h").alias("h")), "words")
-    return Model(pairs, words)
+def _place(keys: np.ndarray) -> np.ndarray:
+    """The bit of a pair's key."""
+    return (mixed(keys.view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def _folds(docs: DataFrame) -> tuple[Column, Column]:
+    fold = fold_of("doc_id", FOLDS)
+    return (fold != HELD_OUT).alias("training"), (fold == TUNING).alias("tuning")
+
+
+def fit(docs: DataFrame) -> Model:
+    """From the rows of docs outside the fold HELD_OUT; the others only say which pairs they ask for."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(body().alias("text"), *_folds(docs))
+    words = staged(counted_words(rows.where("training").select("text", "tuning")), "words")
+    return Model(rows, words)
 
 
 def _look(keys: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,69 +317,77 @@ def _at(values: np.ndarray, at: np.ndarray, known: np.ndarray, default: float) -
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs: row's doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row of docs, on which the model was fitted: row's doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    head_keys, head_c = _columns(model.head, "key", "c")
-    order = np.argsort(head_keys)
-    head_keys, head_c = head_keys[order], head_c[order]
+    head = model.head
+    top, top_c = _columns(frequent(model.pairs.where("key >= 0"), HEAD_PAIRS), "key", "c")
+    order = np.argsort(top)
+    top, top_c = top[order], top_c[order]
+    top_gain = model.gain(top_c, head.c[top >> SHIFT], head.c[top & ((1 << SHIFT) - 1)])
     default = float(np.log10(model.p1(0, model.n)))
-    head_words = head_keys, np.log10(head_c + 1.0), np.log10(model.p1(head_c, model.n)), np.log10(1 - model.context_weight(head_c))
-    gains = staged(model.gains().select("key", "c", F.col("gain").cast("float").alias("gain")), "gains")
-    pair_head, pair_gain = _columns(frequent(gains, HEAD_PAIRS), "key", "gain")
-    order = np.argsort(pair_head)
-    shared = spark.sparkContext.broadcast((*head_words, pair_head[order], pair_gain[order]))  # bounded by the two sizes
+    of_word = np.log10(head.c + 1.0), np.log10(model.p1(head.c, model.n)), np.log10(1 - model.context_weight(head.c))
+    settings = model.m, model.n, model.types, model.weights
+    shared = spark.sparkContext.broadcast((head, *of_word, top, top_gain, model.bitmap(), settings))  # bounded by HEAD_WORDS, HEAD_PAIRS and BITS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums for each text, and rows (row, key, n, m) of the types that still need their weight: words n times as x and m times as prev, pairs n times."""
-        head_keys, base_of, p1_of, rest_of, pair_head, pair_gain = shared.value
+        """A row of sums for each text, and rows (row, key, n, m) of the types that still need their weight: words n times as x and m times as prev, pairs n times, and m times less the weight of a count of 1."""
+        head, base_of, p1_of, rest_of, top, top_gain, bitmap, settings = shared.value
+        small = Model.__new__(Model)
+        small.m, small.n, small.types, small.weights = settings
         hashes = WordHashes()
         for b in batches:
             if not b.num_rows:
                 continue
             keys, sizes = word_keys(hashes, _texts(b))
-            row = b.column("row").to_numpy()
+            row, training = b.column("row").to_numpy(), b.column("training").to_numpy(zero_copy_only=False)
             starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(row)), sizes)
             types, x = np.unique(keys, return_inverse=True)
-            prev = before(x, sizes)
-            end = int(np.searchsorted(types, END))
-            prev[starts] = end
-            at, known = _look(types, head_keys)
+            prev = before(x, sizes, int(np.searchsorted(types, END)))
+            at = head.of(types)
+            known = at >= 0
             base = _at(base_of, at, known, 0.0)
             pair_types, first, pair = np.unique(prev * len(types) + x, return_index=True, return_inverse=True)
-            names = pair_keys(types[prev[first]], types[x[first]])
-            pat, seen = _look(names, pair_head)
-            total = _at(p1_of, at, known, default)[x] + _at(rest_of, at, known, 0.0)[prev] + _at(pair_gain, pat, seen, 0.0)[pair]
+            of_prev, of_x = prev[first], x[first]
+            names = named(types[of_prev], types[of_x], at[of_prev], at[of_x])
+            both = names >= 0
+            pat, seen = _look(names, top)
+            seen &= both
+            bit = _place(names)
+            asked = ~seen & ((bitmap[bit >> 3] >> (7 - (bit & 7)) & 1) > 0)
+            gains, once = _at(top_gain, pat, seen, 0.0), np.zeros(len(names))
+            alone = both & ~seen
+            once[alone] = small.gain(np.ones(int(alone.sum())), head.c[at[of_prev[alone]]], head.c[at[of_x[alone]]])
+            total = _at(p1_of, at, known, default)[x] + _at(rest_of, at, known, 0.0)[prev] + gains[pair] + np.where(training[doc], once[pair], 0.0)
             sums = np.column_stack([np.add.reduceat(base[x], starts), np.add.reduceat(total, starts)])
             own = np.column_stack([sizes, np.add.reduceat(known[x].astype(np.int64), starts)])
             # types sent for their weights, once a text
-            lost = ~seen[pair]
+            lost, sent_as = asked[pair], np.where(both, names | PAIR, names)
             place, n = np.unique(doc[lost] * len(names) + pair[lost], return_counts=True)
-            rows, sent, ns, ms = [row[place // len(names)]], [names[place % len(names)]], [n], [np.zeros(len(n), dtype=np.int64)]
+            rows, sent, ns, ms = [row[place // len(names)]], [sent_as[place % len(names)]], [n], [np.where(training[place // len(names)], n, 0)]
             rare_x, rare_prev = ~known[x], ~known[prev]
-            both = np.concatenate([doc[rare_x] * len(types) + x[rare_x], doc[rare_prev] * len(types) + prev[rare_prev]])
-            place, of = np.unique(both, return_inverse=True)
+            each = np.concatenate([doc[rare_x] * len(types) + x[rare_x], doc[rare_prev] * len(types) + prev[rare_prev]])
+            place, of = np.unique(each, return_inverse=True)
             cut = int(rare_x.sum())
             rows.append(row[place // len(types)])
             sent.append(types[place % len(types)])
             ns.append(np.bincount(of[:cut], minlength=len(place)))
             ms.append(np.bincount(of[cut:], minlength=len(place)))
-            tail = sum(map(len, rows))
+            tail, zeros = sum(map(len, rows)), np.zeros(len(row), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([*rows, row])), pa.array(np.concatenate([*sent, np.iinfo(np.int64).min + row])),
-                    pa.array(np.concatenate([*ns, np.zeros(len(row), dtype=np.int64)]).astype(np.int32)), pa.array(np.concatenate([*ms, np.zeros(len(row), dtype=np.int64)]).astype(np.int32)),
+                    pa.array(np.concatenate([*rows, row])), pa.array(np.concatenate([*sent, OWN + row])), pa.array(np.concatenate([*ns, zeros]).astype(np.int32)), pa.array(np.concatenate([*ms, zeros]).astype(np.int32)),
                     _lists(tail, sums), _lists(tail, own), pa.concat_arrays([pa.nulls(tail, pa.int64()), b.column("doc_id").cast(pa.int64())]),
                 ],
                 names=["row", "key", "n", "m", "sums", "own", "doc_id"],
             )
 
     # rows are told apart by their place in the scan, which a recomputed task gives again
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"), _folds(docs)[0])
     sparse = source.mapInArrow(run, "row long, key long, n int, m int, sums array<double>, own array<long>, doc_id long")
-    weights = model.word_weights().withColumn("known", F.lit(1))
     none = F.lit(0.0)
-    weights = weights.unionByName(gains.select("key", none.alias("base"), F.col("gain").cast("double").alias("as_x"), none.alias("as_prev"), F.lit(0).alias("known")))
+    weights = model.word_weights().withColumn("known", F.lit(1))
+    weights = weights.unionByName(model.gains().select(F.when(F.col("key") >= 0, F.col("key").bitwiseOR(F.lit(PAIR))).otherwise(F.col("key")).alias("key"), none.alias("base"), F.col("gain").alias("as_x"), (-F.col("one")).alias("as_prev"), F.lit(0).alias("known")))
     n, value = F.col("n"), lambda c: F.coalesce(F.col(c), none)
     found = sparse.join(weights, "key", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
@@ -295,5 +410,5 @@ def _lists(empty: int, values: np.ndarray) -> pa.Array:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = fold_of("doc_id", FOLDS)
-    found = score(docs, fit(docs.where(fold != HELD_OUT)))
+    found = score(docs, fit(docs))
     return found.select("doc_id", (fold == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

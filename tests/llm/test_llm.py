@@ -219,13 +219,13 @@ def test_isotonic():
 # near duplicates
 
 
-def brute_components(rows):
+def brute_components(rows, share=85):
     sets = {}
     for i, t in rows:
         w = words_of(t)
         sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
     least = {i: i for i in sets}
-    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])]
     before = None
     while before != least:
         before = dict(least)
@@ -422,7 +422,7 @@ def test_language_model(spark, monkeypatch, heads):
     rows += [(20 + i, " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", f"rare{i}"], [9, 5, 4, 3, 2, 1, 1], k=rng.randint(1, 30)))) for i in range(90)] + [(190, "unseen words only here"), (191, "The cat")]
     docs = docs_of(spark, rows)
     fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", common.fold_of("doc_id", 7).alias("f")).collect()}
-    got = everything(lm.score(docs, lm.fit(docs.where(common.fold_of("doc_id", 7) != 2))))
+    got = everything(lm.score(docs, lm.fit(docs)))
     want = brute_force_model(rows, fold)
     assert len(got) == len(rows)
     for r in got:
@@ -442,21 +442,25 @@ def test_language_model_without_training(spark):
 
 def test_language_model_is_proper(spark):
     """The probabilities of all words after a context, and of one unseen word, add up to 1."""
+    from collections import Counter
+
     import numpy as np
 
-    docs = docs_of(spark, [(i, f"the cat {'sat' if i % 3 else 'ran'} on the mat {i % 5}") for i in range(60)])
+    rows = [(i, f"the cat {'sat' if i % 3 else 'ran'} on the mat {i % 5}") for i in range(60)]
+    docs = docs_of(spark, rows)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", common.fold_of("doc_id", 7).alias("f")).collect()}
     model = lm.fit(docs)
-    seen = {r["key"]: r["c"] for r in model.words.collect()}
-    pairs = {(r["prev"], r["x"]): r["c"] for r in model.pairs.collect()}
+    c, c2 = Counter(), Counter()
+    for i, t in rows:
+        if fold[i] != lm.HELD_OUT:
+            words = [*words_of(t), b"\n"]
+            c.update(words)
+            c2.update(zip([b"\n", *words], words, strict=False))
     total = model.p1(0, model.n)
-    assert sum(model.p1(c, model.n) for c in seen.values()) + total == pytest.approx(1)
-    gains = {r["key"]: r["gain"] for r in model.gains().collect()}
-    for prev, c in seen.items():
-        w = float(model.context_weight(np.array([c]))[0])
-        p = 0.0
-        for x, cx in seen.items():
-            key = int(lm.pair_keys(np.array([prev]), np.array([x]))[0])
-            p += (1 - w) * model.p1(cx, model.n) * 10 ** (gains[key] if (prev, x) in pairs else 0.0)
+    assert sum(model.p1(n, model.n) for n in c.values()) + total == pytest.approx(1)
+    for prev, n in c.items():
+        w = float(model.context_weight(np.array([n]))[0])
+        p = sum((1 - w) * model.p1(k, model.n) * 10 ** float(model.gain(np.array([c2[prev, x]]), np.array([n]), np.array([k]))[0]) for x, k in c.items())
         assert p + (1 - w) * total == pytest.approx(1)
 
 
@@ -710,3 +714,88 @@ def test_pipeline(spark):
     assert len(ids) == len(set(ids)) and 0.6 * len(before) < len(ids) < len(before)
     assert len({before[i] for i in ids}) == len(ids)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "decontaminate", "mix"]
+
+
+def corpus(spark, folder, rows, labels, items):
+    """The three tables of the pipeline, with a column whose name the operators use inside."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
+    spark.createDataFrame([(i, t, k, "s", len(t or ""), True) for i, t, k in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept: null and repeated ids, null and empty texts, ties, copies, passages of the benchmark."""
+    import corpus_pipeline
+
+    source = common.table(spark, SF, "documents").where("length(text) < 3000").orderBy("doc_id").limit(150).collect()
+    items = [(r["item_id"], r["text"]) for r in common.table(spark, SF, "benchmark").orderBy("item_id").limit(8).collect()] + [(99, None)]
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in source]
+    long = next(t for i, t, k in rows if k == "en" and t and len(t.split()) > 150).split()
+    near_copy = [*long[:-1], "changed"]
+    rows += [(None, None, None), (None, "", "en"), (9001, " ".join(long), "en"), (9002, " ".join(near_copy), "en"), (9003, f"{items[0][1]} and more", "en"), (9004, rows[0][1], None)]
+    rows += [(None, " ".join(reversed(long)), "en"), (None, " ".join(reversed(long)), "en"), (rows[1][0], " ".join(reversed(long[:90])), None), (9005, "zz " * 2000, None)]
+    labels = [(i, int(n % 3 > 0), int(n % 7 == 0)) for n, (i, _, _) in enumerate(rows) if i is not None and n % 2] + [(None, 1, 0), (9001, None, 1)]
+    folder = corpus(spark, tmp_path, rows, labels, items)
+
+    docs = common.table(spark, folder, "documents")
+    columns, at = docs.columns, docs
+    dictionaries = langid.fit(docs)
+    hashes = decontam.WordHashes()
+    words = [hashes.of(decontam.plain_words(t)) for _, t in items if t]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r["doc_id"], r["text"]) for r in at.select("doc_id", "text").collect()]
+        at = common.staged(stage(spark, at, folder), name)
+        got = [(r["doc_id"], r["text"]) for r in at.select("doc_id", "text").collect()]
+        if name == "language":
+            want = [(i, t) for i, t in before if t and langid.LETTER.search(t) and not plain_prediction(t, dictionaries)[1]]
+        elif name == "exact_dedup":
+            top = {}
+            for i, t in before:
+                top[t] = max(top.get(t, -1), -1 if i is None else i)
+            want = [(None if i < 0 else i, t) for t, i in top.items()]
+        elif name == "near_dedup":
+            groups = {}
+            for n, (_, c) in brute_components(list(enumerate(t for _, t in before)), near.STAGE_SHARE).items():
+                groups.setdefault(c, []).append(before[n])
+            least = {c: min((i for i, _ in g if i is not None), default=None) for c, g in groups.items()}
+            assert len(got) == len(groups)
+            assert sorted(map(str, (i for i, _ in got))) == sorted(map(str, least.values())) and set(got) <= set(before)
+            want = got
+        elif name == "decontaminate":
+            held = lambda t: any(decontam.best_stretch(w, hashes.of(decontam.plain_words(t)))[0] <= decontam.edits_allowed(len(w)) for w in words)  # noqa: B023, E731
+            want = [(i, t) for i, t in before if not held(t)]
+        else:
+            want = before
+            assert at.columns == [*columns, "mix_rate", "mix_copies"] and at.where("mix_rate < 0 or mix_rate is null or mix_copies is null").isEmpty()
+        assert sorted(got, key=str) == sorted(want, key=str), name
+        assert name == "mix" or at.columns == columns
+    kept = {i for i, _ in got}
+    assert 9003 not in kept and 9002 not in kept and 9005 not in kept and len(got) < len(rows) - 10
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, corpus(spark, tmp_path, [], [], []))
+    assert out.count() == 0 and out.columns[-2:] == ["mix_rate", "mix_copies"]
+
+
+def test_decontamination_recall_on_a_table(spark):
+    """Against the edit distance of every item to every text, over the small documents of a whole table."""
+    sf = SF.replace("0.001", "0.01")
+    docs = common.table(spark, sf, "documents").where("length(text) < 2500")
+    benchmark = common.table(spark, sf, "benchmark").orderBy("item_id").limit(40)
+    hashes = decontam.WordHashes()
+    items = {r["item_id"]: hashes.of(decontam.plain_words(r["text"])) for r in benchmark.collect() if decontam.plain_words(r["text"])}
+    want = set()
+    for r in docs.where("doc_id % 4 = 0").collect():
+        text = hashes.of(decontam.plain_words(r["text"]))
+        have = set(text.tolist())
+        for i, w in items.items():
+            # each edit spares all words but one, so fewer common words than this are too far
+            if sum(x in have for x in w.tolist()) >= len(w) - decontam.edits_allowed(len(w)) and decontam.best_stretch(w, text)[0] <= decontam.edits_allowed(len(w)):
+                want.add((r["doc_id"], i))
+    got = {(r["doc_id"], r["item_id"]) for r in everything(decontam.matches(docs.where("doc_id % 4 = 0"), benchmark))}
+    assert got <= want and len(got) >= 0.9 * len(want)
