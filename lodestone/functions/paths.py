@@ -14,6 +14,23 @@ def normalised(path: Column) -> Column:
     return F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
 
 
+def key(path: Column) -> Column:
+    """A path as a key: forward slashes, none at the end but of a root."""
+    p = F.regexp_replace(path, r"\\", "/")
+    return F.regexp_replace(p, "^(.{3}.*?)/+$", "$1")
+
+
+def cache_name(path: Column) -> Column:
+    """A path as a file name: slashes and colons as underscores."""
+    return F.regexp_replace(normalised(path), r"[\\/:]", "_")
+
+
+def index_name(root: Column) -> Column:
+    """The name of a project's index: its folder's and the first digits of the path's digest."""
+    name = filename(root)
+    return F.concat_ws("_", F.when(name == "", "Root").otherwise(name), F.substring(F.sha2(root, 256), 1, 16))
+
+
 def filename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -73,6 +90,13 @@ def clean_type(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def pointee(text: Column, depth: int = 8) -> Column:
+    """The type inside the outermost brackets, and again up to `depth` times; without const, * and &."""
+    for _ in range(depth):
+        text = F.when(text.rlike("<.*>"), F.regexp_extract(text, "<(.*)>", 1)).otherwise(text)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^(const )+", ""), r"[*&\s]+$", ""))
+
+
 def element_type(text: Column) -> Column:
     """What a container holds: the element, of a map the value."""
     inner = F.regexp_extract(text, r"^\s*(?:TArray|TSet|TQueue|TSortedMap|TMap|TMultiMap)\s*<(.*)>\s*$", 1)

@@ -16,7 +16,7 @@ from lodestone.operators.storage import cut
 from lodestone.plans.service import CodeIndex
 from lodestone.sources import build_rules, cpp, files
 
-TABLES = ["modules", "files", "classes", "members", "enum_values", "inheritance", "file_includes", "components"]
+TABLES = ["modules", "files", "classes", "members", "enum_values", "inheritance", "file_includes", "components", "calls"]
 
 
 def _last(root: str) -> str:
@@ -54,8 +54,8 @@ def modules(walked: DataFrame, project: str, engine: str | None) -> DataFrame:
     return both.select(F.xxhash64("name", "root_path").alias("id"), "name", "type", "scope", "root_path", F.coalesce("deep_dependencies", F.array().cast("array<string>")).alias("deep_dependencies"), "owner")
 
 
-def build(spark: SparkSession, project: str, engine: str | None = None, extensions: list[str] | None = None, excluded: list[str] | None = None) -> CodeIndex:
-    """Walks the folders once for names and once for the contents that are parsed."""
+def build(spark: SparkSession, project: str, engine: str | None = None, extensions: list[str] | None = None, excluded: list[str] | None = None, fast: bool = False) -> CodeIndex:
+    """Walks the folders once for names and once for the contents that are parsed. fast: headers without a sign of an indexed symbol are listed, but not parsed."""
     kinds = files.EXTENSIONS if extensions is None else extensions
     project, engine = project.rstrip("/"), engine.rstrip("/") if engine else None
     walked = files.walk(spark, [project] + ([engine] if engine else []), sorted({*kinds, "uplugin", "cs"}), excluded)
@@ -69,7 +69,14 @@ def build(spark: SparkSession, project: str, engine: str | None = None, extensio
         F.xxhash64("name", "root").alias("module_id"), F.col("extension").isin("h", "hpp").alias("is_header"),
     )
     table = cut(table.join(files.hashes(sources).withColumnRenamed("path", "full_path"), "full_path", "left"))
-    return CodeIndex(mods, table, *parsed(files.texts(sources), table), components(walked, project, engine))
+    texts = files.texts(sources)
+    texts = texts.where(cpp.worth_parsing(F.col("path"), F.col("content"))) if fast else texts
+    return CodeIndex(mods, table, *parsed(texts, table), components(walked, project, engine), call_table(texts))
+
+
+def call_table(sources: DataFrame) -> DataFrame:
+    """(file_id, name, line) of the call sites of sources(path, content)."""
+    return cpp.calls(sources).select(F.xxhash64("path").alias("file_id"), "name", "line")
 
 
 def parsed(sources: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -117,6 +124,7 @@ def updated(index: CodeIndex, sources: DataFrame, deleted: DataFrame | None = No
     return CodeIndex(
         index.modules, table, classes, without(index.members, "file_id").unionByName(members), without_classes(index.enum_values, "enum_id").unionByName(values),
         incremental.resolve_any(bases, "parent_name", classes, "name", "id", "parent_class_id"), incremental.resolve_unique(lines, "base_filename", table, "filename", "id", "resolved_file_id"), index.components,
+        None if index.calls is None else without(index.calls, "file_id").unionByName(call_table(fresh)),
     )
 
 
@@ -124,10 +132,14 @@ SCHEMA_VERSION = 2
 SNAPSHOT = "version long, schema_version int, saved_at timestamp, project_revision string, engine_revision string, meta map<string,string>"
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """The log of saved versions; empty where nothing was saved."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshots")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not _there(spark, f"{folder}/snapshots"):
         return spark.createDataFrame([], SNAPSHOT)
     return spark.read.schema(SNAPSHOT).parquet(f"{folder}/snapshots")
 
@@ -143,7 +155,8 @@ def save(index: CodeIndex, folder: str, project_revision: str | None = None, eng
     spark = index.classes.sparkSession
     version = (_snapshots(spark, folder).agg(F.max("version")).first()[0] or 0) + 1
     for name in TABLES:
-        getattr(index, name).write.parquet(f"{folder}/v{version}/{name}")
+        if getattr(index, name) is not None:
+            getattr(index, name).write.parquet(f"{folder}/v{version}/{name}")
     entry = spark.createDataFrame([(version, SCHEMA_VERSION, project_revision, engine_revision, meta or {})], "version long, schema_version int, project_revision string, engine_revision string, meta map<string,string>")
     entry.withColumn("saved_at", F.current_timestamp()).select(*(c.split(" ")[0] for c in SNAPSHOT.split(", "))).coalesce(1).write.mode("append").parquet(f"{folder}/snapshots")
     return version
@@ -156,7 +169,7 @@ def load(spark: SparkSession, folder: str, version: int | None = None) -> CodeIn
         if entry is None:
             raise ValueError(f"no index of schema {SCHEMA_VERSION} in {folder}")
         version = entry["version"]
-    return CodeIndex(*(spark.read.parquet(f"{folder}/v{version}/{name}") for name in TABLES))
+    return CodeIndex(*(spark.read.parquet(f"{folder}/v{version}/{name}") for name in TABLES if name != "calls" or _there(spark, f"{folder}/v{version}/{name}")))
 
 
 def needs_full_refresh(spark: SparkSession, folder: str, engine_revision: str | None = None) -> bool:
@@ -192,8 +205,7 @@ def replaced_components(old: DataFrame, new: DataFrame, engine_owner: str | None
 def engine_version(spark: SparkSession, engine: str) -> dict[str, str]:
     """The meta keys of the engine's version file; none without it."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "Build.version").option("recursiveFileLookup", "true")
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{engine}/Engine/Build")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not _there(spark, f"{engine}/Engine/Build"):
         return {}
     fields = "MajorVersion int, MinorVersion int, PatchVersion int, BranchName string"
     rows = found.load(f"{engine}/Engine/Build").where(F.col("path").endswith("/Engine/Build/Build.version")).select(F.from_json(F.col("content").cast("string"), fields).alias("v")).select("v.*").dropna()

@@ -3,7 +3,8 @@
 Tables (names inlined, full_path materialised once): directories(id, parent_id, name, full_path), modules(id, name, type, scope, root_path, deep_dependencies),
 files(id, dir_id, full_path, filename, extension, mtime, module_id, is_header), classes(id, name, namespace, base_class, file_id, line, end_line, symbol_type),
 members(id, class_id, name, type, flags, access, detail, return_type, is_static, line, file_id), enum_values(enum_id, name, line, file_id),
-inheritance(child_id, parent_name, parent_class_id), file_includes(file_id, include_path, base_filename, resolved_file_id), components(name, display_name, type, owner, root_path).
+inheritance(child_id, parent_name, parent_class_id), file_includes(file_id, include_path, base_filename, resolved_file_id), components(name, display_name, type, owner, root_path),
+calls(file_id, name, line), which an index may lack.
 Every limit has a total order.
 """
 
@@ -35,6 +36,7 @@ class CodeIndex:
     inheritance: DataFrame
     file_includes: DataFrame
     components: DataFrame
+    calls: DataFrame | None = None
     cache: dict = field(default_factory=dict)
 
     # joins that most queries share
@@ -234,6 +236,11 @@ class CodeIndex:
         best = graph.best_per(rows.select("name", "return_type", "type", "access", "depth", "line"), ["name", "return_type"], [F.col("depth"), F.col("line")])
         return best.select("name", "return_type", "type", "access").orderBy("name", "return_type").limit(limit)
 
+    def get_parent_class_name(self, name: str) -> DataFrame:
+        """The name of the first base of a class, by the smallest definition that has one."""
+        rows = self.classes.where((F.col("name") == name) & F.col("base_class").isNotNull())
+        return rows.agg(F.min_by("base_class", "id").alias("parent")).where("parent is not null")
+
     def is_subclass_of(self, child: str, parent: str) -> bool:
         return not self._ancestors(child).where("depth > 0").join(self.classes.where(F.col("name") == parent), "id", "left_semi").isEmpty()
 
@@ -380,6 +387,12 @@ class CodeIndex:
         columns = ["path", "module_name", "module_root"]
         return found.select(*columns).union(peers.select(*columns)).distinct()
 
+    def get_call_sites(self, name: str, limit: int = 300) -> DataFrame:
+        """path, module_name, line where a function of that name is called, from the table of calls; the first `limit` by place."""
+        if self.calls is None:
+            raise ValueError("this index has no table of calls")
+        return self.calls.where(F.col("name") == name).join(self._files(), "file_id").select("path", "module_name", "line").orderBy("path", "line").limit(limit)
+
     def find_symbol_usages(self, sources: DataFrame, symbol: str, header: str | None = None, method: str | None = None, limit: int = 300) -> DataFrame:
         """path, module_name, module_root, line, column, context of a type's uses, or of its method's, in sources(path, content) of the scope; the first `limit` by place."""
         scope = self.search_scope(symbol, header)

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
@@ -451,6 +451,18 @@ def includes(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(found).alias("include_path")).withColumn("base_filename", F.substring_index("include_path", "/", -1))
 
 
+# What a header holds that has anything to index.
+SIGNS = ["UCLASS(", "USTRUCT", "DECLARE", "include", "#define", "GAMEPLAY_TAG"]
+
+
+def worth_parsing(path: Column, content: Column) -> Column:
+    """False for headers without a sign of an indexed symbol, which a fast scan passes over; true for all other files."""
+    held = F.lit(False)
+    for sign in SIGNS:
+        held = held | content.contains(sign)
+    return ~F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin("h", "hpp", "inl") | F.coalesce(held, F.lit(False))
+
+
 def index_tables(files: DataFrame) -> dict[str, DataFrame]:
     """The index's tables of files(path, content), keyed by path and name: classes, members, enum_values, inheritance, file_includes."""
     found = symbols(files)

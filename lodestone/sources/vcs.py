@@ -22,6 +22,22 @@ def git_status(lines: DataFrame, column: str = "value", submodule: bool = False)
     return rows.where(F.col("status") != "??") if submodule else rows
 
 
+def git_unpushed(lines: DataFrame, root: str, column: str = "value") -> DataFrame:
+    """(path, status) of the names of files in commits that are not pushed, each once."""
+    name = F.regexp_replace(F.col(column), '^"|"$', "")
+    return lines.where(F.trim(column) != "").select(F.concat(F.lit(root.rstrip("/") + "/"), name).alias("path")).distinct().select("path", F.lit("Unpushed").alias("status"))
+
+
+def git_between(lines: DataFrame, root: str, column: str = "value") -> DataFrame:
+    """(path) of `diff --name-only` between two revisions."""
+    return lines.where(F.trim(column) != "").select(F.concat(F.lit(root.rstrip("/") + "/"), F.col(column)).alias("path"))
+
+
+def reference(hash_: Column) -> Column:
+    """A stored revision as the tool takes it: without its provider."""
+    return F.regexp_replace(hash_, "^(git|svn|p4):", "")
+
+
 def svn_summary(lines: DataFrame, column: str = "value") -> DataFrame:
     """(status, path) of `diff --summarize`: eight status columns, then the path."""
     text = F.col(column)

@@ -82,3 +82,11 @@ def test_references(spark):
     df = spark.createDataFrame([("a.h", text), ("b.h", "none"), ("c.h", None)], "path string, content string")
     assert sorted(map(tuple, cpp.references(df, "AThing").collect())) == [("a.h", 4, 0, "AThing* a = new AThing();"), ("a.h", 4, 16, "AThing* a = new AThing();")]
     assert {(r["name"], r["line"]) for r in cpp.words(df).where("name = 'a'").collect()} == {("a", 4)}
+
+
+def test_calls_and_fast_scan(spark, tree, index):
+    changed = spark.createDataFrame([(f"{tree}/Game/Source/Game/Public/Player.h", "void F() { Go(1); Go(2); }")], "path string, content string")
+    now = load.updated(index, changed)
+    assert [(r["path"].rpartition("/")[2], r["line"]) for r in now.get_call_sites("Go").collect()][-2:] == [("Player.h", 1), ("Player.h", 1)]
+    df = spark.createDataFrame([("a.h", "class A {};"), ("b.h", '#include "x"'), ("c.cpp", "int x;"), ("d.inl", None), ("e.hpp", "USTRUCT() struct E {};")], "path string, content string")
+    assert [r["path"] for r in df.where(cpp.worth_parsing(F.col("path"), F.col("content"))).collect()] == ["b.h", "c.cpp", "e.hpp"]

@@ -7,7 +7,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import ignore_rules
+from lodestone.functions import ignore_rules, paths
 from lodestone.sources import manifests, vcs
 
 RULES = "# note\n\n*.log\n!keep.log\nSaved/\n/root.txt\ndocs/*.md\n**/deep/x\na/**/z\nout/**\nf?o[0-9].c\n\\#odd\n trail \n[!a]q\n"
@@ -65,3 +65,31 @@ def test_target_edit():
     assert '"M",\n\t\t\t"N"\n\t\t});' in flat
     with pytest.raises(ValueError):
         manifests.with_target_module("class X {}", "M")
+
+
+def test_names_and_types(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(paths.key(F.lit(x))) for x in ("a\\\\b/", "C:/", "/x//", "/")] == ["a/b", "C:/", "/x", "/"]
+    assert one(paths.cache_name(F.lit("C:\\Work\\Game/"))) == "c__Work_Game"
+    import hashlib
+
+    assert one(paths.index_name(F.lit("/w/Game"))) == "Game_" + hashlib.sha256(b"/w/Game").hexdigest()[:16] and one(paths.index_name(F.lit("/"))).startswith("Root_")
+    assert [one(paths.pointee(F.lit(x))) for x in ("TObjectPtr<UFoo>", "const AActor*", "FBar&", "TArray<TObjectPtr<const UX*>>")] == ["UFoo", "AActor", "FBar", "UX"]
+
+
+def test_revisions(spark):
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert sorted(tuple(r) for r in vcs.git_unpushed(lines("a.h", '"b c.h"', "a.h", ""), "/w/").collect()) == [("/w/a.h", "Unpushed"), ("/w/b c.h", "Unpushed")]
+    assert [r[0] for r in vcs.git_between(lines("a.h", ""), "/w").collect()] == ["/w/a.h"]
+    assert spark.range(1).select(vcs.reference(F.lit("git:abc"))).first()[0] == "abc"
+    versions = spark.createDataFrame([(5, 3, None, "++main"), (None, None, None, None)], "MajorVersion int, MinorVersion int, PatchVersion int, BranchName string")
+    assert [r[0] for r in vcs.build_fingerprint(versions).collect()] == ["ue:5.3.0+++main", "ue:0.0.0+Unknown"]
+
+
+def test_router(spark):
+    from lodestone.streaming.changes import router
+
+    got = {}
+    note = lambda kind: lambda df: got.setdefault(kind, sorted(r["path"] for r in df.collect()))
+    router(note("config"), note("asset"), note("source"))(spark.createDataFrame([("/a.ini",), ("/b.umap",), ("/c.H",), ("/d.txt",), ("/e.cs",)], "path string"), 0)
+    assert got == {"config": ["/a.ini"], "asset": ["/b.umap"], "source": ["/c.H", "/e.cs"]}
