@@ -172,91 +172,6 @@ def fitted(rows: DataFrame, targets: dict[str, float]) -> list[list[float]]:
     raise RuntimeError(f"rates did not settle in {STEPS} steps: the projected gradient is {size:.2g}, the limit {CLOSE:.2g}")
 
 
-def posteriors(self, rows: DataFrame) -> DataFrame:
-        """rows (with tokens) and q_<domain>. Step by step, so that nothing is computed twice."""
-        known = F.array(*map(F.lit, self.words)) if self.words else F.array().cast("array<string>")
-        present = F.transform(F.array_intersect("tokens", known), lambda w: F.array_position(known, w).cast("int"))
-
-        def log_of(start: float, gain: np.ndarray) -> Column:
-            gains = F.array(*(F.lit(float(g)) for g in gain))
-            return F.aggregate("present", F.lit(float(start)), lambda a, i: a + F.element_at(gains, i)) if len(gain) else F.lit(float(start))
-
-        logs = [f"log_{d}" for d in DOMAINS]
-        rows = rows.withColumn("present", present).drop("tokens").withColumns({c: log_of(*x) for c, x in zip(logs, zip(self.start, self.gain, strict=True), strict=True)})
-        rows = rows.withColumn("top", F.greatest(*logs)).withColumns({f"mass_{d}": F.exp(F.col(c) - F.col("top")) for c, d in zip(logs, DOMAINS, strict=True)})
-        rows = rows.withColumn("mass", reduce(lambda a, b: a + b, (F.col(f"mass_{d}") for d in DOMAINS)))
-        return rows.withColumns({f"q_{d}": F.col(f"mass_{d}") / F.col("mass") for d in DOMAINS})
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
-    """From a bounded sample of the labelled documents."""
-    marks = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), domain().alias("domain"))
-    n = marks.count()
-    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30))
-    sample = staged(marks.where(draw < int((1 << 30) * min(1.0, LABELLED / max(1, n)))), "sample")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # about LABELLED rows at most
-    marked = staged(tokenised(rows).join(F.broadcast(sample), "doc_id").select("domain", "tokens"), "marked")
-    sizes = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    if not total:
-        return None
-    counts = marked.select("domain", F.explode("tokens").alias("word")).groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS))
-    # telling: the chi-square of presence against domain
-    every = sum(F.col(d) for d in DOMAINS)
-    chi = reduce(lambda a, b: a + b, (F.pow(F.col(d) - every * (sizes[d] / total), 2) / (every * (sizes[d] / total)) for d in DOMAINS if sizes.get(d)))
-    best = counts.where(every >= 5).orderBy(F.desc(F.round(chi, 6)), "word").limit(VOCABULARY).collect()
-    words = [r["word"] for r in best]
-    share = np.array([[(r[d] + 0.5) / (sizes.get(d, 0) + 1.0) for r in best] for d in DOMAINS]).reshape(len(DOMAINS), len(words))
-    share = np.clip(share, 1e-6, 1 - 1e-6)
-    prior = np.log([max(sizes.get(d, 0), 1e-300) / total for d in DOMAINS])
-    return Classifier(words, prior + np.log(1 - share).sum(axis=1), np.log(share) - np.log(1 - share))
-
-
-def _stepped(rate: Column, gradient: list[float]) -> Column:
-    """A row's rate after a step; gradient: M (s - T)."""
-    toward = sum((F.col(f"q_{d}") * F.lit(float(g)) for d, g in zip(DOMAINS, gradient, strict=True)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), rate * F.lit(1 - STEP * RIDGE) + F.lit(STEP * RIDGE) - F.lit(STEP) * toward)
-
-
-def rate_of(gradients: list[list[float]]) -> Column:
-    """The rate of a row with posteriors q_<domain> after all steps."""
-    if not gradients:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in gradients))
-    toward = lambda g: sum((F.col(f"q_{d}") * g[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r * F.lit(1 - STEP * RIDGE) + F.lit(STEP * RIDGE) - F.lit(STEP) * toward(g)))
-
-
-def fitted(rows: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """The gradients M (s - T) of all steps to the minimum. rows: q_<domain> and w (tokens)."""
-    qs = [F.col(f"q_{d}") for d in DOMAINS]
-    weigh = lambda c, name: F.coalesce(F.sum(F.col("w") * c), F.lit(0.0)).alias(name)
-    pairs = [(i, j) for i in range(len(qs)) for j in range(i, len(qs))]
-    moments = rows.agg(weigh(F.lit(1.0), "w"), *(weigh(q, f"m{k}") for k, q in enumerate(qs)), *(weigh(qs[i] * qs[j], f"f{i}{j}") for i, j in pairs)).first()
-    total = moments["w"]
-    if not total:
-        return []
-    s = np.array([moments[f"m{k}"] for k in range(len(qs))]) / total
-    target = np.where(s > 0, [targets[d] for d in DOMAINS], 0.0)
-    target = target / target.sum() if target.sum() else s
-    second = np.zeros((len(qs), len(qs)))
-    for i, j in pairs:
-        second[i, j] = second[j, i] = moments[f"f{i}{j}"] / total
-    metric = np.linalg.pinv(second, rcond=1e-12, hermitian=True)
-    gradients: list[list[float]] = []
-    state = rows.select(*qs, "w", F.lit(1.0).alias("r"))
-    for _ in range(STEPS):
-        gradients.append((metric @ (s - target)).tolist())
-        state = state.select(*qs, "w", F.col("r").alias("before"), _stepped(F.col("r"), gradients[-1]).alias("r"))
-        if len(gradients) % WRITTEN == 0:
-            state = staged(state, "rates")
-        got = state.agg(*(weigh(F.col("r") * q, f"s{k}") for k, q in enumerate(qs)), weigh(F.pow((F.col("r") - F.col("before")) / F.lit(STEP), 2), "moved")).first()
-        if np.sqrt(got["moved"] / total) < CLOSE:
-            return gradients
-        s = np.array([got[f"s{k}"] for k in range(len(qs))]) / total
-    raise RuntimeError(f"rates did not settle in {STEPS} steps: the projected gradient is {np.sqrt(got['moved'] / total):.2g}, the limit {CLOSE:.2g}")
-
-
 def posteriors(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """row (the whole input row), doc_id, n_tokens, q_<domain>; without a model all mass is in the first domain."""
     rows = tokenised(docs)
