@@ -4,14 +4,12 @@ P(x | prev) = L f2(x | prev) + (1 - L) P1(x),  P1(x) = M f1(x) + (1 - M) / (V +
 
 f2, f1: maximum-likelihood estimates from the counts of all pairs and all words of the training texts, none left out; V: distinct words, with one place more for all unseen ones; L depends on
 the bucket (power of two) of the count of prev. Before a text stands its end mark as prev. All weights are learned by expectation-maximisation on the counts of a held-out
-fold against estimates with that fold's counts deleted, summed into BINS bins an octave of the ratio f2 / P1 (of f1 (V + 1) for M).
+fold against estimates with that fold's counts deleted, summed into BINS bins an octave of the ratio f2 / P1 (of f1 for M).
 
-Counting is two passes over the texts, of words and of pairs. Scoring is a third, and a sum over the types in a
-text: log P splits into log(1 - L) of each prev, log P1 of each word, and log(1 + L f2 / ((1 - L) P1)) of each pair that training has. Counts and weights of the most frequent
-types go to the workers in tables of bounded size (HEAD_WORDS, HEAD_PAIRS); all other types of a text meet their weights in a join, so nothing is capped: the tables only save shuffling.
-A pair of head words that training has once, in no held-out text, is not written: a training text that does not find its pair there knows that the pair is its own, so counts 1, and
-its weight follows from the head table. A bitmap of BITS bits of the written pairs (of a fixed size; it has all of them) tells most such pairs without a join.
-Words are told apart by 62-bit hashes, pairs that are not of two head words too.
+Texts are read once, into blocks of about HEAD_PAIRS tokens. A block cuts its sorted distinct words and pairs (64-bit hashes) into a piece for each of so many ranges of the hash, with its own
+counts; the task of a range adds up the pieces of all blocks and answers each with the whole counts, in the order in which it asked, so neither keys nor rows of texts travel back and nothing is
+joined. With its answers a block knows all counts of its texts: it gives its share of the bins, and, once the weights are learned, the scores. A frequent word or pair is one entry of a block's
+piece however often it occurs. All that is shuffled or written is packed: differences of sorted keys, and counts in the fewest bytes, compressed.
 
 Trigrams are left out: see the README for the figures.
 
@@ -21,159 +19,222 @@ scored as rows of their own; without training rows every count is zero and the m
 
 from __future__ import annotations
 
+import struct
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard as zstd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestone.llm.common import body, fold_of, small_batches, staged, table
 from lodestone.llm.tokens import WordHashes, mixed
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-HEAD_WORDS, HEAD_PAIRS, FLUSH, BITS, SLICES = 1 << 18, 1 << 20, 1_000_000, 1 << 27, 32
-#: Pairs of head words are one number: the place of prev, and that of x in so many bits.
-SHIFT = 20
+#: So many words' hashes a worker remembers; a block ends at the text with which it has more than so many pairs.
+HEAD_WORDS, HEAD_PAIRS = 1 << 18, 1 << 20
 BINS, WEIGHT, MOST = 64, 0.5, 0.9999
 #: The end of a text as a token: no word, as words hold no line feed. It also stands before a text.
-END = WordHashes()[b"\n"] >> 2
-#: Keys in the join: words are below PAIR, pairs of head words from there on, other pairs below 0, and texts' own rows below those, from OWN on.
-PAIR, OWN = 1 << 62, -(1 << 63)
+END = WordHashes()[b"\n"]
 #: The bin of what training without the held-out fold has not seen.
-UNSEEN = -100_000
+UNSEEN = -(1 << 30)
+#: A cell is a bucket and a bin in one number.
+CELL = 1 << 32
+#: What a block holds, and what a piece asks with and is answered with.
+BLOCK = "block long, doc_ids array<long>, sizes binary, folds binary, types binary, tokens binary"
+PIECE = "part int, block long, asks boolean, words binary, pairs binary, word_c binary, word_h binary, pair_c binary, pair_h binary"
+COUNTS = ["word_c", "word_h", "pair_c", "pair_h"]
 
 
-def word_keys(hashes: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """62-bit keys of the tokens of all texts, each text's end included, and how many each text has."""
-    words: list[bytes] = []
-    sizes = []
-    for text in texts:
-        own = text.lower().split()
-        words += own
-        words.append(b"\n")
-        sizes.append(len(own) + 1)
-    return (hashes.of(words) >> np.uint64(2)).view(np.int64), np.array(sizes, dtype=np.int64)
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on: the first byte of each, the second of each, as far as one needs it, compressed."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return struct.pack("<BI", width, len(values)) + zstd.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
-def before(keys: np.ndarray, sizes: np.ndarray, first: int = END) -> np.ndarray:
+def unpacked(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BI", data)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if width and n:
+        out[:, :width] = np.frombuffer(zstd.ZstdDecompressor().decompress(data[5:]), dtype=np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
+def before(tokens: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
     """What stands before each token; first: before a text."""
-    out = np.empty_like(keys)
-    out[1:] = keys[:-1]
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
     out[np.cumsum(sizes) - sizes] = first
     return out
 
 
-def pair_keys(prev: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A negative key of each pair, so that words and pairs are apart."""
-    key = mixed(prev.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(x.view(np.uint64)))
-    return -1 - (key >> np.uint64(2)).view(np.int64)
+class Block:
+    """Texts one after the other: sizes (tokens of each text), tokens and prev (places in the block's types distinct words), pair (a place among its distinct pairs for each token),
+    pair_prev and pair_x (places of words for each distinct pair)."""
 
+    def __init__(self, row: dict, types: int, end: int) -> None:
+        self.sizes, self.tokens = unpacked(row["sizes"]).astype(np.int64), unpacked(row["tokens"]).astype(np.int64)
+        self.prev = before(self.tokens, self.sizes, end)
+        pairs, self.pair = np.unique(self.prev * types + self.tokens, return_inverse=True)
+        self.types, self.pair_prev, self.pair_x = types, pairs // max(1, types), pairs % max(1, types)
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+    def counts(self, folds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts of words in training and in the tuning fold, and so of pairs; folds: of each text, 0 not in training, 2 in the tuning fold, 1 in the rest of training."""
+        fold = np.repeat(folds, self.sizes)
+        return tuple(np.bincount(of[fold >= least], minlength=n) for of, n in ((self.tokens, self.types), (self.pair, len(self.pair_x))) for least in (1, 2))
 
 
-class Head:
-    """The most frequent words: key, count, count in the tuning fold, by place (the most frequent first)."""
+def hashed(row: dict) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
+    """The block of a row BLOCK, the sorted keys of its words, those of its pairs, and for each distinct pair its place in these."""
+    types = unpacked_keys(row["types"])
+    block = Block(row, len(types), int(np.searchsorted(types, np.uint64(END))))
+    first, second = types * np.uint64(0x9E3779B97F4A7C15), mixed(types)
+    return block, types, *np.unique(mixed(first[block.pair_prev] + second[block.pair_x]), return_inverse=True)
 
-    def __init__(self, keys: np.ndarray, c: np.ndarray, h: np.ndarray) -> None:
-        order = np.lexsort((keys, -c))
-        self.c, self.h = c[order], h[order]
-        by_key = np.argsort(keys[order])
-        self.sorted, self.places = keys[order][by_key], by_key
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """Places of word keys, -1 for others."""
-        at, known = _look(keys, self.sorted)
-        return np.where(known, self.places[at], -1) if len(self.places) else np.full(len(keys), -1)
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
 
 
-def named(prev: np.ndarray, x: np.ndarray, prev_at: np.ndarray, x_at: np.ndarray) -> np.ndarray:
-    """Keys of pairs, of words and their places: places where both are head words, a negative hash otherwise."""
-    return np.where((prev_at >= 0) & (x_at >= 0), (prev_at << SHIFT) | x_at, pair_keys(prev, x))
+def _batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def counted_words(rows: DataFrame) -> DataFrame:
-    """key, c, h over rows (text, tuning): counts of all rows and of the tuning fold."""
+def _arrow(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
-    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, tuning = (np.concatenate(p) for p in zip(*parts, strict=True))
-        found, of, c = np.unique(keys, return_inverse=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(c), pa.array(np.bincount(of, weights=tuning, minlength=len(found)).astype(np.int64))], names=["key", "c", "h"])
+
+def blocks_of(docs: DataFrame, training: bool) -> DataFrame:
+    """The blocks, staged; training: whether the rows outside the fold HELD_OUT are counted."""
+    small_batches(docs.sparkSession)
+    fold = fold_of("doc_id", FOLDS)
+    folds = F.when(fold == HELD_OUT, 0).when(fold == TUNING, 2).otherwise(1) if training else F.lit(0)
+    schema, remembered, most = _arrow(BLOCK), HEAD_WORDS, HEAD_PAIRS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held = WordHashes(), [], 0
+        hashes, task, k = WordHashes(remembered), TaskContext.get().partitionId(), 0
+        ids, folds, parts, held = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            types, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+            own = {"sizes": packed(np.array([len(x) for x in parts])), "folds": packed(np.array(folds)), "types": packed_keys(types), "tokens": packed(tokens)}
+            return _batch(schema, [{"block": task << 32 | k, "doc_ids": ids} | own])
+
         for b in batches:
-            keys, sizes = word_keys(hashes, _texts(b))
-            parts.append((keys, np.repeat(b.column("tuning").to_numpy(zero_copy_only=False), sizes)))
-            held += len(keys)
-            if held > FLUSH:
-                yield counted(parts)
-                parts, held = [], 0
+            columns = b.column("doc_id").to_pylist(), b.column("fold").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
+            for i, f, text in zip(*columns, strict=True):
+                words = text.lower().split()
+                words.append(b"\n")
+                ids.append(i)
+                folds.append(f)
+                parts.append(hashes.of(words))
+                held += len(words)
+                if held > most:
+                    yield block()
+                    k += 1
+                    ids, folds, parts, held = [], [], [], 0
         if parts:
-            yield counted(parts)
+            yield block()
+
+    # blocks are as one committed write of each task has them, so a lost executor changes none
+    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"), folds.cast("int").alias("fold")).mapInArrow(run, BLOCK), "blocks")
 
-    return rows.mapInArrow(run, "key long, c long, h long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
 
+def parts_for(*blocks: DataFrame) -> int:
+    """So many ranges of the hash that the task of one holds the pieces of four blocks' size at most."""
+    return max(int(blocks[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(b.count() for b in blocks) // 4))
 
-def counted_pairs(rows: DataFrame, head: Broadcast) -> DataFrame:
-    """key, prev, x, c, h over rows (text, training, tuning) of all texts; prev and x are 0 in pairs of head words. Left out are pairs that training does not have, and pairs of head words that
-    it has once and no other text has."""
 
-    def counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        prev, x, key, training, tuning = (np.concatenate(p) for p in zip(*parts, strict=True))
-        found, first, of = np.unique(key, return_index=True, return_inverse=True)
-        count = lambda w: np.bincount(of, weights=w, minlength=len(found)).astype(np.int64)
-        c, h = count(training), count(tuning)
-        other = (count(~training) > 0).astype(np.int32)
-        names = [np.where(found < 0, w[first], 0) for w in (prev, x)]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in (found, *names, c, h, other)], names=["key", "prev", "x", "c", "h", "other"])
+def pieces(blocks: DataFrame, parts: int, asks: bool) -> DataFrame:
+    """The pieces of all blocks; asks: whether they want an answer."""
+    schema = _arrow(PIECE)
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held = WordHashes(), [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, sizes = word_keys(hashes, _texts(b))
-            prev, at = before(keys, sizes), head.value.of(keys)
-            prev_at = before(at, sizes, head.value.of(np.array([END]))[0])
-            flags = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("training", "tuning")]
-            parts.append((prev, keys, named(prev, keys, prev_at, at), *flags))
-            held += len(keys)
-            if held > FLUSH:
-                yield counted(parts)
-                parts, held = [], 0
-        if parts:
-            yield counted(parts)
+        for row in _rows(batches):
+            block, words, pairs, place = hashed(row)
+            word_c, word_h, *of_pairs = block.counts(unpacked(row["folds"]))
+            pair_c, pair_h = (np.bincount(place, weights=c, minlength=len(pairs)).astype(np.int64) for c in of_pairs)
+            cuts = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys in (words, pairs)]
+            out = []
+            for k in range(parts):
+                w, p = (slice(cut[k], cut[k + 1]) for cut in cuts)
+                counts = dict(zip(COUNTS, map(packed, (word_c[w], word_h[w], pair_c[p], pair_h[p])), strict=True))
+                out.append({"part": k, "block": row["block"], "asks": asks, "words": packed_keys(words[w]), "pairs": packed_keys(pairs[p])} | counts)
+            yield _batch(schema, out)
+
+    return blocks.select("block", "sizes", "folds", "types", "tokens").mapInArrow(run, PIECE)
+
+
+def answers(asked: DataFrame, parts: int) -> DataFrame:
+    """Staged: a row with the whole counts for each piece that asks, and one for each part, of null block: n, v, held (tokens, distinct words, tokens of the tuning fold) and by
+    bin of the training counts without that fold its tokens."""
+    ddl = "part int, block long, word_c binary, word_h binary, pair_c binary, pair_h binary, n long, v long, held long, bins array<long>, sums array<long>"
+    schema, width = _arrow(ddl), BINS
+
+    def whole(keys: list[np.ndarray], *counts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each entry the place of its key, then by place the sums of the counts."""
+        found, of = np.unique(np.concatenate(keys), return_inverse=True)
+        return [of, *(np.bincount(of, weights=np.concatenate(c), minlength=len(found)).astype(np.int64) for c in counts)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part = defaultdict(list)
+        for row in _rows(batches):
+            by_part[row["part"]].append(row)
+        for part, rows in by_part.items():
+            keys = {name: [unpacked_keys(r[name]) for r in rows] for name in ("words", "pairs")}
+            own = {name: [unpacked(r[name]) for r in rows] for name in COUNTS}
+            word, word_c, word_h = whole(keys["words"], own["word_c"], own["word_h"])
+            pair, pair_c, pair_h = whole(keys["pairs"], own["pair_c"], own["pair_h"])
+            bins, sums = summed(binned(word_c - word_h, width)[word_h > 0], word_h[word_h > 0])
+            yield _batch(schema, [{"part": part, "n": int(word_c.sum()), "v": int((word_c > 0).sum()), "held": int(word_h.sum()), "bins": bins, "sums": sums}])
+            w = p = 0
+            for i, r in enumerate(rows):
+                at_word, at_pair = word[w : w + len(keys["words"][i])], pair[p : p + len(keys["pairs"][i])]
+                w, p = w + len(at_word), p + len(at_pair)
+                if r["asks"]:
+                    got = map(packed, (word_c[at_word], word_h[at_word], pair_c[at_pair], pair_h[at_pair]))
+                    yield _batch(schema, [{"part": part, "block": r["block"]} | dict(zip(COUNTS, got, strict=True))])
 
-    found = rows.mapInArrow(run, "key long, prev long, x long, c long, h long, other int").groupBy("key", "prev", "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"), F.max("other").alias("other"))
-    return found.where("c > 1 or c > 0 and (key < 0 or other > 0)").drop("other")
+    return staged(asked.repartitionById(parts, F.col("part")).mapInArrow(run, ddl), "answers")
 
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows whose count reaches the least threshold that at most `most` rows reach."""
-    steps = sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total, least = 0, (steps[0][0] + 1 if steps else 1)
-    for c, n in steps:
-        if total + n > most:
-            break
-        total, least = total + n, c
-    return counts.where(F.col("c") >= least)
+def binned(ratio: np.ndarray, width: int) -> np.ndarray:
+    return np.where(ratio > 0, np.round(np.log2(np.where(ratio > 0, ratio, 1)) * width), UNSEEN).astype(np.int64)
 
 
-def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    t = df.select(*names).toArrow()
-    return [t[n].to_numpy() for n in names]
+def summed(cells: np.ndarray, weight: np.ndarray) -> tuple[list[int], list[int]]:
+    """The distinct cells, and the sum of the weight of each."""
+    found, of = np.unique(cells, return_inverse=True)
+    return found.tolist(), np.bincount(of, weights=weight, minlength=len(found)).astype(np.int64).tolist()
 
 
-def _bucket(count: Column) -> Column:
-    return F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double")) + F.lit(1e-9)).cast("int")
+def _bucket(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64)
 
 
-def _bin(ratio: Column) -> Column:
-    return F.when(ratio > 0, F.round(F.log2(ratio) * BINS).cast("int")).otherwise(UNSEEN)
+def _sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of the columns bins and sums, and the sum of each."""
+    each = rows.select(F.explode(F.arrays_zip("bins", "sums")).alias("cell")).select("cell.*")
+    t = each.groupBy("bins").agg(F.sum("sums").alias("sums")).toArrow()
+    return t["bins"].to_numpy(), t["sums"].to_numpy()
 
 
 def expectation_maximisation(ratio: np.ndarray, weight: np.ndarray, turns: int = 200) -> float:
@@ -190,221 +251,119 @@ def _ratios(bins: np.ndarray) -> np.ndarray:
     return np.where(bins == UNSEEN, 0.0, 2.0 ** (np.where(bins == UNSEEN, 0, bins) / BINS))
 
 
-class Model:
-    """The counts, staged, the head words, and the learned weights: a number m and one a bucket."""
-
-    def __init__(self, texts: DataFrame, words: DataFrame) -> None:
-        spark = words.sparkSession
-        self.words = words
-        total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("h"), F.lit(0)).alias("h")).first()
-        self.n, self.types, self.held = total["n"], total["v"], total["h"]
-        self.head = Head(*_columns(frequent(words, HEAD_WORDS), "key", "c", "h"))  # HEAD_WORDS rows at most
-        self.shared = spark.sparkContext.broadcast(self.head)
-        ratio = (F.col("c") - F.col("h")) / F.lit(float(max(1, self.n - self.held))) * F.lit(float(self.types + 1))
-        got = words.where("h > 0").groupBy(_bin(ratio).alias("bin")).agg(F.sum("h").alias("h"))
-        b, h = _columns(got, "bin", "h")
-        self.m = expectation_maximisation(_ratios(b), h) if self.n else 0.0
-
-        self.pairs = staged(counted_pairs(texts, self.shared), "pairs")
-        self.weights = np.full(64, WEIGHT)
-        p1 = self.p1(F.col("xc") - F.col("xh"), self.n - self.held)
-        kept = F.col("pc") - F.col("ph")
-        ratio = (F.col("c") - F.col("h")) / kept / p1
-        # a pair that training without the fold does not have adds to its bucket's rest only, written or not
-        got = self.counts_of(self.pairs.where("h > 0 and c > h")).groupBy(_bucket(kept).alias("bucket"), _bin(ratio).alias("bin")).agg(F.sum("h").alias("h"))
-        k, b, h = _columns(staged(got, "bins"), "bucket", "bin", "h")
-        contexts = {r["bucket"]: r["h"] for r in words.where("h > 0").groupBy(_bucket(F.col("c") - F.col("h")).alias("bucket")).agg(F.sum("h").alias("h")).collect()}
-        for bucket, whole in contexts.items():
-            own = k == bucket
-            self.weights[bucket] = expectation_maximisation(np.append(_ratios(b[own]), 0.0), np.append(h[own], whole - h[own].sum()))
-
-    def p1(self, count: Column | np.ndarray, total: int) -> Column | np.ndarray:
-        rest = (1 - self.m) / (self.types + 1)
-        return count * (self.m / max(1, total)) + rest
-
-    def counts_of(self, pairs: DataFrame) -> DataFrame:
-        """key, c, h of pairs with the counts of prev (pc, ph) and x (xc, xh): of pairs of head words from the head table, of others in a shuffle."""
-        shared = self.shared
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            head = shared.value
-            for b in batches:
-                key = b.column("key").to_numpy()
-                prev, x = key >> SHIFT, key & ((1 << SHIFT) - 1)
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(a) for a in (head.c[prev], head.h[prev], head.c[x], head.h[x]))], names=names)
-
-        names = ["key", "c", "h", "pc", "ph", "xc", "xh"]
-        own = pairs.where("key >= 0").select("key", "c", "h").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-        count = lambda key: self.words.select(F.col("key").alias(key), F.col("c").alias(f"{key[0]}c"), F.col("h").alias(f"{key[0]}h"))
-        rest = pairs.where("key < 0").join(count("prev"), "prev").join(count("x"), "x")
-        return own.unionByName(rest.select(*names))
+class Estimates:
+    """n tokens and types distinct words of training, held of the tokens in the tuning fold, and the learned weights: a number m and one a bucket."""
+
+    def __init__(self, n: int, types: int, held: int, m: float, weights: np.ndarray) -> None:
+        self.n, self.types, self.held, self.m, self.weights = n, types, held, m, weights
+
+    def p1(self, count: np.ndarray, total: int) -> np.ndarray:
+        return count * (self.m / max(1, total)) + (1 - self.m) / (self.types + 1)
 
     def context_weight(self, counts: np.ndarray) -> np.ndarray:
         """L of contexts by their counts."""
-        return np.where(counts > 0, self.weights[np.floor(np.log2(np.maximum(counts, 1)) + 1e-9).astype(int)], 0.0)
+        return np.where(counts > 0, self.weights[_bucket(counts)], 0.0)
 
     def gain(self, c: np.ndarray, prev_count: np.ndarray, x_count: np.ndarray) -> np.ndarray:
         """What a pair of count c adds to the logarithm."""
         w = self.context_weight(prev_count)
         return np.log10(1 + w * c / np.maximum(prev_count, 1) / ((1 - w) * self.p1(x_count, self.n)))
 
-    def gains(self) -> DataFrame:
-        """key, gain of each written pair, and of one of head words the gain at a count of 1, else 0."""
-        weight = F.element_at(F.array(*(F.lit(float(w)) for w in self.weights)), _bucket(F.col("pc")) + 1)
-        one = weight / F.col("pc") / ((F.lit(1.0) - weight) * self.p1(F.col("xc"), self.n))
-        at_one = F.when(F.col("key") >= 0, F.log10(F.lit(1.0) + one)).otherwise(0.0)
-        return self.counts_of(self.pairs).select("key", F.log10(F.lit(1.0) + one * F.col("c")).alias("gain"), at_one.alias("one"))
-
-    def bitmap(self) -> np.ndarray:
-        """BITS bits, of which one is set for each written pair: in SLICES tasks, BITS / 8 bytes in all."""
-        width = BITS // SLICES
-
-        def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(b.column("key").to_numpy())))], names=["place"])
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits: dict[int, np.ndarray] = {}
-            for b in batches:
-                at = b.column("place").to_numpy()
-                for k in np.unique(at // width).tolist():
-                    bits.setdefault(k, np.zeros(width, dtype=np.uint8))[at[at // width == k] - k * width] = 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())], names=["slice", "bits"])
-
-        rows = self.pairs.select("key").mapInArrow(places, "place long").withColumn("slice", F.floor(F.col("place") / width))
-        out = np.zeros(BITS // 8, dtype=np.uint8)
-        for r in staged(rows.repartition(SLICES, "slice").select("place").mapInArrow(run, "slice long, bits binary"), "bitmap").collect():
-            out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-        return out
-
-    def word_weights(self) -> DataFrame:
-        """key; base, as_x, as_prev: what a word past the head tables adds to a text's sums."""
-        weight = F.element_at(F.array(*(F.lit(float(w)) for w in self.weights)), _bucket(F.col("c")) + 1)
-        default = float(np.log10(self.p1(0, self.n)))
-        return self.words.select(
-            "key", F.log10(F.col("c") + F.lit(1.0)).alias("base"), (F.log10(self.p1(F.col("c"), self.n)) - F.lit(default)).alias("as_x"), F.log10(F.lit(1.0) - weight).alias("as_prev")
-        )
-
-
-def _place(keys: np.ndarray) -> np.ndarray:
-    """The bit of a pair's key."""
-    return (mixed(keys.view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
-
-
-def _folds(docs: DataFrame) -> tuple[Column, Column]:
-    fold = fold_of("doc_id", FOLDS)
-    return (fold != HELD_OUT).alias("training"), (fold == TUNING).alias("tuning")
+    def cells(self, block: Block, pair_held: np.ndarray, word_c: np.ndarray, word_h: np.ndarray, pair_c: np.ndarray, pair_h: np.ndarray, width: int) -> tuple[list[int], list[int]]:
+        """Of the tuning fold's pairs in the block (pair_held: their numbers there) the cells of bucket and bin, and how many each has."""
+        at = np.flatnonzero(pair_held)
+        prev, x = block.pair_prev[at], block.pair_x[at]
+        kept = word_c[prev] - word_h[prev]
+        ratio = (pair_c[at] - pair_h[at]) / np.maximum(kept, 1) / self.p1(word_c[x] - word_h[x], self.n - self.held)
+        return summed(_bucket(kept) * CELL + binned(ratio, width), pair_held[at])
 
 
-def fit(docs: DataFrame) -> Model:
-    """From the rows of docs outside the fold HELD_OUT; the others only say which pairs they ask for."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(body().alias("text"), *_folds(docs))
-    words = staged(counted_words(rows.where("training").select("text", "tuning")), "words")
-    return Model(rows, words)
+def answered(blocks: DataFrame, replies: DataFrame, estimates: Estimates) -> DataFrame:
+    """Staged: a row for each block with the whole counts of its words and distinct pairs, the place of the end among the words, and its cells."""
+    ddl = "doc_ids array<long>, sizes binary, tokens binary, end long, word_c binary, pair_c binary, bins array<long>, sums array<long>"
+    schema, width = _arrow(ddl), BINS
 
+    def joined(row: dict, got: list[dict]) -> pa.RecordBatch:
+        block, types, _, place = hashed(row)
+        word_c, word_h, pair_c, pair_h = (np.concatenate([unpacked(r[name]) for r in got]).astype(np.int64) for name in COUNTS)
+        bins, sums = estimates.cells(block, block.counts(unpacked(row["folds"]))[3], word_c, word_h, pair_c[place], pair_h[place], width)
+        kept = {name: row[name] for name in ("doc_ids", "sizes", "tokens")} | {"end": int(np.searchsorted(types, np.uint64(END)))}
+        return _batch(schema, [kept | {"word_c": packed(word_c), "pair_c": packed(pair_c[place]), "bins": bins, "sums": sums}])
 
-def _look(keys: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in the sorted head, and whether they are there."""
-    if not len(head):
-        return np.zeros(len(keys), dtype=int), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
-    return at, head[at] == keys
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, got = None, []
+        for r in _rows(batches):
+            if r["part"] < 0:
+                if row:
+                    yield joined(row, got)
+                row, got = r, []
+            else:
+                got.append(r)
+        if row:
+            yield joined(row, got)
+
+    both = blocks.withColumn("part", F.lit(-1)).unionByName(replies.where("block is not null").select("part", "block", *COUNTS), allowMissingColumns=True)
+    return staged(both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, ddl), "answered")
+
+
+class Model(Estimates):
+    """Fitted on docs, whose blocks and answers are staged."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.docs, self.blocks = docs, blocks_of(docs, True)
+        parts = parts_for(self.blocks)
+        replies = answers(pieces(self.blocks, parts, True), parts)
+        whole = replies.where("block is null")
+        total = whole.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "held"))).first()
+        super().__init__(total["n"], total["v"], total["held"], 0.0, np.full(64, WEIGHT))
+        bins, sums = _sums(whole)
+        if self.n:
+            self.m = expectation_maximisation(_ratios(bins) * ((self.types + 1) / max(1, self.n - self.held)), sums)
+        self.own = answered(self.blocks, replies, self.estimates())
+        cells, sums = _sums(self.own)
+        buckets = (cells + CELL // 2) // CELL
+        for bucket in np.unique(buckets):
+            at = buckets == bucket
+            self.weights[bucket] = expectation_maximisation(_ratios(cells[at] - bucket * CELL), sums[at])
+
+    def estimates(self) -> Estimates:
+        """The numbers alone, for the workers."""
+        return Estimates(self.n, self.types, self.held, self.m, self.weights)
+
+    def counted(self, docs: DataFrame) -> DataFrame:
+        """The blocks of docs with their counts in the training texts."""
+        if docs is self.docs:
+            return self.own
+        asking = blocks_of(docs, False)
+        parts = parts_for(self.blocks, asking)
+        asked = pieces(self.blocks, parts, False).unionByName(pieces(asking, parts, True))
+        return answered(asking, answers(asked, parts), self.estimates())
 
 
-def _at(values: np.ndarray, at: np.ndarray, known: np.ndarray, default: float) -> np.ndarray:
-    return np.where(known, values[at], default) if len(values) else np.full(len(at), default)
+def fit(docs: DataFrame) -> Model:
+    """From the rows of docs outside the fold HELD_OUT; of the others, only what they ask for is counted."""
+    return Model(docs)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs, on which the model was fitted: row's doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    head = model.head
-    top, top_c = _columns(frequent(model.pairs.where("key >= 0"), HEAD_PAIRS), "key", "c")
-    order = np.argsort(top)
-    top, top_c = top[order], top_c[order]
-    top_gain = model.gain(top_c, head.c[top >> SHIFT], head.c[top & ((1 << SHIFT) - 1)])
-    default = float(np.log10(model.p1(0, model.n)))
-    of_word = np.log10(head.c + 1.0), np.log10(model.p1(head.c, model.n)), np.log10(1 - model.context_weight(head.c))
-    settings = model.m, model.n, model.types, model.weights
-    shared = spark.sparkContext.broadcast((head, *of_word, top, top_gain, model.bitmap(), settings))  # bounded by HEAD_WORDS, HEAD_PAIRS and BITS
+    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score. The frame on which the model was fitted has its counts already."""
+    ddl = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    estimates, schema = model.estimates(), _arrow(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums for each text, and rows (row, key, n, m) of the types that still need their weight: words n times as x and m times as prev, pairs n times, and m times less the weight of a count of 1."""
-        head, base_of, p1_of, rest_of, top, top_gain, bitmap, settings = shared.value
-        small = Model.__new__(Model)
-        small.m, small.n, small.types, small.weights = settings
-        hashes = WordHashes()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, sizes = word_keys(hashes, _texts(b))
-            row, training = b.column("row").to_numpy(), b.column("training").to_numpy(zero_copy_only=False)
-            starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(row)), sizes)
-            types, x = np.unique(keys, return_inverse=True)
-            prev = before(x, sizes, int(np.searchsorted(types, END)))
-            at = head.of(types)
-            known = at >= 0
-            base = _at(base_of, at, known, 0.0)
-            pair_types, first, pair = np.unique(prev * len(types) + x, return_index=True, return_inverse=True)
-            of_prev, of_x = prev[first], x[first]
-            names = named(types[of_prev], types[of_x], at[of_prev], at[of_x])
-            both = names >= 0
-            pat, seen = _look(names, top)
-            seen &= both
-            bit = _place(names)
-            asked = ~seen & ((bitmap[bit >> 3] >> (7 - (bit & 7)) & 1) > 0)
-            gains, once = _at(top_gain, pat, seen, 0.0), np.zeros(len(names))
-            alone = both & ~seen
-            once[alone] = small.gain(np.ones(int(alone.sum())), head.c[at[of_prev[alone]]], head.c[at[of_x[alone]]])
-            total = _at(p1_of, at, known, default)[x] + _at(rest_of, at, known, 0.0)[prev] + gains[pair] + np.where(training[doc], once[pair], 0.0)
-            sums = np.column_stack([np.add.reduceat(base[x], starts), np.add.reduceat(total, starts)])
-            own = np.column_stack([sizes, np.add.reduceat(known[x].astype(np.int64), starts)])
-            # types sent for their weights, once a text
-            lost, sent_as = asked[pair], np.where(both, names | PAIR, names)
-            place, n = np.unique(doc[lost] * len(names) + pair[lost], return_counts=True)
-            rows, sent, ns, ms = [row[place // len(names)]], [sent_as[place % len(names)]], [n], [np.where(training[place // len(names)], n, 0)]
-            rare_x, rare_prev = ~known[x], ~known[prev]
-            each = np.concatenate([doc[rare_x] * len(types) + x[rare_x], doc[rare_prev] * len(types) + prev[rare_prev]])
-            place, of = np.unique(each, return_inverse=True)
-            cut = int(rare_x.sum())
-            rows.append(row[place // len(types)])
-            sent.append(types[place % len(types)])
-            ns.append(np.bincount(of[:cut], minlength=len(place)))
-            ms.append(np.bincount(of[cut:], minlength=len(place)))
-            tail, zeros = sum(map(len, rows)), np.zeros(len(row), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([*rows, row])), pa.array(np.concatenate([*sent, OWN + row])), pa.array(np.concatenate([*ns, zeros]).astype(np.int32)), pa.array(np.concatenate([*ms, zeros]).astype(np.int32)),
-                    _lists(tail, sums), _lists(tail, own), pa.concat_arrays([pa.nulls(tail, pa.int64()), b.column("doc_id").cast(pa.int64())]),
-                ],
-                names=["row", "key", "n", "m", "sums", "own", "doc_id"],
-            )
-
-    # rows are told apart by their place in the scan, which a recomputed task gives again
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"), _folds(docs)[0])
-    sparse = source.mapInArrow(run, "row long, key long, n int, m int, sums array<double>, own array<long>, doc_id long")
-    none = F.lit(0.0)
-    weights = model.word_weights().withColumn("known", F.lit(1))
-    weights = weights.unionByName(model.gains().select(F.when(F.col("key") >= 0, F.col("key").bitwiseOR(F.lit(PAIR))).otherwise(F.col("key")).alias("key"), none.alias("base"), F.col("gain").alias("as_x"), (-F.col("one")).alias("as_prev"), F.lit(0).alias("known")))
-    n, value = F.col("n"), lambda c: F.coalesce(F.col(c), none)
-    found = sparse.join(weights, "key", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum(F.col("own")[0]).alias("n_tokens"),
-        (F.sum(F.col("own")[1]) + F.sum(n * F.coalesce("known", F.lit(0)))).alias("n_known"),
-        (F.sum(F.col("sums")[0]) + F.sum(n * value("base"))).alias("raw_base"),
-        (F.sum(F.col("sums")[1]) + F.sum(n * value("as_x") + F.col("m") * value("as_prev"))).alias("score"),
-    )
-    least = float(np.log10(model.n + model.types + 1))
-    return found.select("doc_id", "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), (F.col("raw_base") - F.col("n_tokens") * F.lit(least)).alias("base_score"), "score")
-
-
-def _lists(empty: int, values: np.ndarray) -> pa.Array:
-    """So many nulls, then a list for each row of values."""
-    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-    own = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
-    return pa.concat_arrays([pa.nulls(empty, own.type), own])
+        for row in _rows(batches):
+            word_c, pair_c = (unpacked(row[name]).astype(np.int64) for name in ("word_c", "pair_c"))
+            block = Block(row, len(word_c), row["end"])
+            known, base = (word_c > 0).astype(np.int64), np.log10(word_c + 1.0) - np.log10(estimates.n + estimates.types + 1)
+            as_x, as_prev = np.log10(estimates.p1(word_c, estimates.n)), np.log10(1 - estimates.context_weight(word_c))
+            gain = estimates.gain(pair_c, word_c[block.pair_prev], word_c[block.pair_x])
+            total = as_x[block.tokens] + as_prev[block.prev] + gain[block.pair]
+            starts = np.cumsum(block.sizes) - block.sizes
+            sums = [np.add.reduceat(x, starts) for x in (known[block.tokens], base[block.tokens], total)]
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(block.sizes), *map(pa.array, sums)], schema=schema)
+
+    found = model.counted(docs).select("doc_ids", "sizes", "tokens", "end", "word_c", "pair_c").mapInArrow(run, ddl)
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

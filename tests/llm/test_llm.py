@@ -440,6 +440,41 @@ def test_language_model_without_training(spark):
     assert lm.score(docs.limit(0), lm.fit(docs)).count() == 0
 
 
+def test_language_model_scores_other_texts(spark, monkeypatch):
+    """Texts on which the model was not fitted are scored by all its words and pairs too, those that training has once included."""
+    monkeypatch.setattr(lm, "BINS", 1 << 16)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", f"rare{i} alone{i}"], [9, 5, 4, 3, 2, 1, 2], k=rng.randint(1, 30)))) for i in range(90)]
+    others = [(1000 + i, f"{t} the cat rare{i} alone{i} unseen") for i, t in rows[:40]] + [(2000, None)]
+    docs = docs_of(spark, rows)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", common.fold_of("doc_id", 7).alias("f")).collect()}
+    want = brute_force_model(rows + others, fold | {i: lm.HELD_OUT for i, _ in others})
+    got = everything(lm.score(docs_of(spark, others), lm.fit(docs)))
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in others]
+    for r in got:
+        n_tokens, n_known, train, base, total = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n_tokens, n_known, train)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(total, rel=1e-4)
+
+
+def test_language_model_moves_few_bytes(spark, monkeypatch):
+    """Counting all words and pairs moves less than twice and a half the texts' bytes where most words are rare and few pairs come twice, as in a large corpus."""
+    monkeypatch.setattr(lm, "HEAD_WORDS", 1000)
+    rng = random.Random(9)
+    docs = docs_of(spark, [(i, " ".join(f"word{int(30_000 * rng.random() ** 4)}" for _ in range(800))) for i in range(300)])
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    sc = spark.sparkContext
+
+    def moved():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(k) for k in range(stages.size()))}
+
+    earlier = moved()
+    assert lm.score(docs, lm.fit(docs)).agg(F.sum("n_tokens")).first()[0] == 300 * 801
+    total = sum(n for k, n in moved().items() if k not in earlier)
+    assert 0 < total < 2.5 * size
+
+
 def test_language_model_is_proper(spark):
     """The probabilities of all words after a context, and of one unseen word, add up to 1."""
     from collections import Counter
