@@ -45,34 +45,43 @@ END = WordHashes()[b"\n"]
 UNSEEN = -(1 << 30)
 #: A cell is a bucket and a bin in one number.
 CELL = 1 << 32
-#: What a block holds, and what a piece asks with and is answered with.
+#: What a block holds; a piece has its words and pairs (each key less the one before, the first less the start of the range), and their counts in training and in the tuning fold.
 BLOCK = "block long, doc_ids array<long>, sizes binary, folds binary, types binary, tokens binary"
-PIECE = "part int, block long, asks boolean, words binary, pairs binary, word_c binary, word_h binary, pair_c binary, pair_h binary"
-COUNTS = ["word_c", "word_h", "pair_c", "pair_h"]
+PIECE = "part int, block long, asks boolean, piece binary"
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Numbers from 0 on: the first byte of each, the second of each, as far as one needs it, compressed."""
+def planes(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on: the first byte of each, then the second of each, as far as one needs it."""
     values = np.ascontiguousarray(values, dtype="<u8")
     width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
-    return struct.pack("<BI", width, len(values)) + zstd.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    width, n = struct.unpack_from("<BI", data)
-    out = np.zeros((n, 8), dtype=np.uint8)
-    if width and n:
-        out[:, :width] = np.frombuffer(zstd.ZstdDecompressor().decompress(data[5:]), dtype=np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of planes, compressed together."""
+    sizes = b"".join(struct.pack("<BI", *a.shape) for a in arrays)
+    return sizes + zstd.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys, by their differences."""
-    return packed(np.diff(keys, prepend=np.uint64(0)))
+def unpacked(data: bytes, arrays: int = 1) -> list[np.ndarray]:
+    """The numbers of so many arrays."""
+    bytes_, at, out = np.frombuffer(zstd.ZstdDecompressor().decompress(data[5 * arrays :]), dtype=np.uint8), 0, []
+    for k in range(arrays):
+        width, n = struct.unpack_from("<BI", data, 5 * k)
+        values = np.zeros((n, 8), dtype=np.uint8)
+        values[:, :width] = bytes_[at : at + width * n].reshape(width, n).T
+        out.append(values.view("<u8").ravel())
+        at += width * n
+    return out
+
+
+def one(data: bytes) -> np.ndarray:
+    return unpacked(data)[0].astype(np.int64)
 
 
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64)
+def differences(keys: np.ndarray) -> np.ndarray:
+    """Of each sorted key and the one before."""
+    return np.diff(keys, prepend=np.uint64(0))
 
 
 def before(tokens: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
@@ -88,7 +97,7 @@ class Block:
     pair_prev and pair_x (places of words for each distinct pair)."""
 
     def __init__(self, row: dict, types: int, end: int) -> None:
-        self.sizes, self.tokens = unpacked(row["sizes"]).astype(np.int64), unpacked(row["tokens"]).astype(np.int64)
+        self.sizes, self.tokens = one(row["sizes"]), one(row["tokens"])
         self.prev = before(self.tokens, self.sizes, end)
         pairs, self.pair = np.unique(self.prev * types + self.tokens, return_inverse=True)
         self.types, self.pair_prev, self.pair_x = types, pairs // max(1, types), pairs % max(1, types)
@@ -101,7 +110,7 @@ class Block:
 
 def hashed(row: dict) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
     """The block of a row BLOCK, the sorted keys of its words, those of its pairs, and for each distinct pair its place in these."""
-    types = unpacked_keys(row["types"])
+    types = np.cumsum(unpacked(row["types"])[0], dtype=np.uint64)
     block = Block(row, len(types), int(np.searchsorted(types, np.uint64(END))))
     first, second = types * np.uint64(0x9E3779B97F4A7C15), mixed(types)
     return block, types, *np.unique(mixed(first[block.pair_prev] + second[block.pair_x]), return_inverse=True)
@@ -109,8 +118,8 @@ def hashed(row: dict) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
-        for i in range(b.num_rows):
-            yield b.slice(i, 1).to_pylist()[0]
+        for i in range(0, b.num_rows, 16):
+            yield from b.slice(i, 16).to_pylist()
 
 
 def _batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
@@ -134,8 +143,8 @@ def blocks_of(docs: DataFrame, training: bool) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             types, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-            own = {"sizes": packed(np.array([len(x) for x in parts])), "folds": packed(np.array(folds)), "types": packed_keys(types), "tokens": packed(tokens)}
-            return _batch(schema, [{"block": task << 32 | k, "doc_ids": ids} | own])
+            own = {"sizes": np.array([len(x) for x in parts]), "folds": np.array(folds), "types": differences(types), "tokens": tokens}
+            return _batch(schema, [{"block": task << 32 | k, "doc_ids": ids} | {name: packed(planes(x)) for name, x in own.items()}])
 
         for b in batches:
             columns = b.column("doc_id").to_pylist(), b.column("fold").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
@@ -165,19 +174,27 @@ def parts_for(*blocks: DataFrame) -> int:
 def pieces(blocks: DataFrame, parts: int, asks: bool) -> DataFrame:
     """The pieces of all blocks; asks: whether they want an answer."""
     schema = _arrow(PIECE)
-    edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+    edges = np.array([(k << 64) // parts for k in range(parts)], dtype=np.uint64)
+
+    def cut(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ranges begin and end in sorted keys, and the planes of the keys."""
+        cuts = np.append(np.searchsorted(keys, edges), len(keys))
+        full = cuts[:-1] < cuts[1:]
+        apart = differences(keys)
+        apart[cuts[:-1][full]] = keys[cuts[:-1][full]] - edges[full]
+        return cuts, planes(apart)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block, words, pairs, place = hashed(row)
-            word_c, word_h, *of_pairs = block.counts(unpacked(row["folds"]))
-            pair_c, pair_h = (np.bincount(place, weights=c, minlength=len(pairs)).astype(np.int64) for c in of_pairs)
-            cuts = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys in (words, pairs)]
+            *of_words, pair_c, pair_h = block.counts(one(row["folds"]))
+            of_pairs = (np.bincount(place, weights=c, minlength=len(pairs)).astype(np.int64) for c in (pair_c, pair_h))
+            (word_cuts, words), (pair_cuts, pairs) = cut(words), cut(pairs)
+            of_words, of_pairs = [words, *map(planes, of_words)], [pairs, *map(planes, of_pairs)]
             out = []
             for k in range(parts):
-                w, p = (slice(cut[k], cut[k + 1]) for cut in cuts)
-                counts = dict(zip(COUNTS, map(packed, (word_c[w], word_h[w], pair_c[p], pair_h[p])), strict=True))
-                out.append({"part": k, "block": row["block"], "asks": asks, "words": packed_keys(words[w]), "pairs": packed_keys(pairs[p])} | counts)
+                w, p = (slice(cuts[k], cuts[k + 1]) for cuts in (word_cuts, pair_cuts))
+                out.append({"part": k, "block": row["block"], "asks": asks, "piece": packed(*(x[:, w] for x in of_words), *(x[:, p] for x in of_pairs))})
             yield _batch(schema, out)
 
     return blocks.select("block", "sizes", "folds", "types", "tokens").mapInArrow(run, PIECE)
@@ -186,32 +203,32 @@ def pieces(blocks: DataFrame, parts: int, asks: bool) -> DataFrame:
 def answers(asked: DataFrame, parts: int) -> DataFrame:
     """Staged: a row with the whole counts for each piece that asks, and one for each part, of null block: n, v, held (tokens, distinct words, tokens of the tuning fold) and by
     bin of the training counts without that fold its tokens."""
-    ddl = "part int, block long, word_c binary, word_h binary, pair_c binary, pair_h binary, n long, v long, held long, bins array<long>, sums array<long>"
+    ddl = "part int, block long, counts binary, n long, v long, held long, bins array<long>, sums array<long>"
     schema, width = _arrow(ddl), BINS
 
-    def whole(keys: list[np.ndarray], *counts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each entry the place of its key, then by place the sums of the counts."""
-        found, of = np.unique(np.concatenate(keys), return_inverse=True)
-        return [of, *(np.bincount(of, weights=np.concatenate(c), minlength=len(found)).astype(np.int64) for c in counts)]
+    def whole(apart: list[np.ndarray], c: list[np.ndarray], h: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """By distinct key the sums of c and h, for each entry the place of its key, and where each piece begins and ends."""
+        found, of = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in apart]), return_inverse=True)
+        sums = (np.bincount(of, weights=np.concatenate(x), minlength=len(found)).astype(np.int64) for x in (c, h))
+        return *sums, of, np.cumsum([0, *map(len, apart)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part = defaultdict(list)
         for row in _rows(batches):
-            by_part[row["part"]].append(row)
+            by_part[row["part"]].append((row["block"], row["asks"], row["piece"]))
         for part, rows in by_part.items():
-            keys = {name: [unpacked_keys(r[name]) for r in rows] for name in ("words", "pairs")}
-            own = {name: [unpacked(r[name]) for r in rows] for name in COUNTS}
-            word, word_c, word_h = whole(keys["words"], own["word_c"], own["word_h"])
-            pair, pair_c, pair_h = whole(keys["pairs"], own["pair_c"], own["pair_h"])
+            own = [list(x) for x in zip(*(unpacked(piece, 6) for _, _, piece in rows), strict=True)]
+            word_c, word_h, word, word_cuts = whole(*own[:3])
+            pair_c, pair_h, pair, pair_cuts = whole(*own[3:])
+            del own
             bins, sums = summed(binned(word_c - word_h, width)[word_h > 0], word_h[word_h > 0])
-            yield _batch(schema, [{"part": part, "n": int(word_c.sum()), "v": int((word_c > 0).sum()), "held": int(word_h.sum()), "bins": bins, "sums": sums}])
-            w = p = 0
-            for i, r in enumerate(rows):
-                at_word, at_pair = word[w : w + len(keys["words"][i])], pair[p : p + len(keys["pairs"][i])]
-                w, p = w + len(at_word), p + len(at_pair)
-                if r["asks"]:
-                    got = map(packed, (word_c[at_word], word_h[at_word], pair_c[at_pair], pair_h[at_pair]))
-                    yield _batch(schema, [{"part": part, "block": r["block"]} | dict(zip(COUNTS, got, strict=True))])
+            out = [{"part": part, "n": int(word_c.sum()), "v": int((word_c > 0).sum()), "held": int(word_h.sum()), "bins": bins, "sums": sums}]
+            of_words, of_pairs = [planes(c[word]) for c in (word_c, word_h)], [planes(c[pair]) for c in (pair_c, pair_h)]
+            for i, (block, asks, _) in enumerate(rows):
+                w, p = (slice(cuts[i], cuts[i + 1]) for cuts in (word_cuts, pair_cuts))
+                if asks:
+                    out.append({"part": part, "block": block, "counts": packed(*(x[:, w] for x in of_words), *(x[:, p] for x in of_pairs))})
+            yield _batch(schema, out)
 
     return staged(asked.repartitionById(parts, F.col("part")).mapInArrow(run, ddl), "answers")
 
@@ -285,10 +302,10 @@ def answered(blocks: DataFrame, replies: DataFrame, estimates: Estimates) -> Dat
 
     def joined(row: dict, got: list[dict]) -> pa.RecordBatch:
         block, types, _, place = hashed(row)
-        word_c, word_h, pair_c, pair_h = (np.concatenate([unpacked(r[name]) for r in got]).astype(np.int64) for name in COUNTS)
-        bins, sums = estimates.cells(block, block.counts(unpacked(row["folds"]))[3], word_c, word_h, pair_c[place], pair_h[place], width)
+        word_c, word_h, pair_c, pair_h = (np.concatenate(x).astype(np.int64) for x in zip(*(unpacked(r["counts"], 4) for r in got), strict=True))
+        bins, sums = estimates.cells(block, block.counts(one(row["folds"]))[3], word_c, word_h, pair_c[place], pair_h[place], width)
         kept = {name: row[name] for name in ("doc_ids", "sizes", "tokens")} | {"end": int(np.searchsorted(types, np.uint64(END)))}
-        return _batch(schema, [kept | {"word_c": packed(word_c), "pair_c": packed(pair_c[place]), "bins": bins, "sums": sums}])
+        return _batch(schema, [kept | {"word_c": packed(planes(word_c)), "pair_c": packed(planes(pair_c[place])), "bins": bins, "sums": sums}])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, got = None, []
@@ -302,7 +319,7 @@ def answered(blocks: DataFrame, replies: DataFrame, estimates: Estimates) -> Dat
         if row:
             yield joined(row, got)
 
-    both = blocks.withColumn("part", F.lit(-1)).unionByName(replies.where("block is not null").select("part", "block", *COUNTS), allowMissingColumns=True)
+    both = blocks.withColumn("part", F.lit(-1)).unionByName(replies.where("block is not null").select("part", "block", "counts"), allowMissingColumns=True)
     return staged(both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, ddl), "answered")
 
 
@@ -352,7 +369,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            word_c, pair_c = (unpacked(row[name]).astype(np.int64) for name in ("word_c", "pair_c"))
+            word_c, pair_c = one(row["word_c"]), one(row["pair_c"])
             block = Block(row, len(word_c), row["end"])
             known, base = (word_c > 0).astype(np.int64), np.log10(word_c + 1.0) - np.log10(estimates.n + estimates.types + 1)
             as_x, as_prev = np.log10(estimates.p1(word_c, estimates.n)), np.log10(1 - estimates.context_weight(word_c))
